@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import near_duplicates, splitting
+from . import function_docs, leakage, mixing, near_duplicates, splitting, truncation
 
 QUERIES = {
     "p1_found": near_duplicates.p1_found,
     "p1_groups": near_duplicates.p1_groups,
     "p3_found": splitting.p3_found,
     "p3_pieces": splitting.p3_pieces,
+    "p4_found": function_docs.p4_found,
+    "p4_pairs": function_docs.p4_pairs,
+    "p6_found": truncation.p6_found,
+    "p6_shares": truncation.p6_shares,
+    "p8_found": leakage.p8_found,
+    "p8_matches": leakage.p8_matches,
+    "p8_items": leakage.p8_items,
+    "p9_mixture": mixing.p9_mixture,
+    "p9_shares": mixing.p9_shares,
 }
 
 #: p3_found's cases follow from lengths, so SQL can state them.
