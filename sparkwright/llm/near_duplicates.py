@@ -10,7 +10,7 @@
 
 A prefix that few records share gives its pairs directly. One that many share (``PAIR_BOUND``) is resolved
 by pivots: all members are verified against one, those near it leave, and only what the triangle
-inequality of the Jaccard distance allows is compared further. So no bucket is cut and none is quadratic
+inequality of the Jaccard distance allows is compared further; the rest goes on with more pivots. So no bucket is cut and none is quadratic
 in its near copies.
 
 Null and blank texts belong to no group. Texts with fewer words than a shingle are alike only if their words
@@ -33,7 +33,9 @@ from ..tables import Stage, load
 
 TREES, DEPTH, TARGET_RECALL = 48, 6, 0.999
 #: Members of a prefix up to which their pairs are listed; larger prefixes go through pivots.
-PAIR_BOUND = 32
+PAIR_BOUND = 512
+#: Pivots per round of such a prefix, from the second round on.
+PIVOTS = 32
 _WORD = re.compile(r"\w+")
 
 
@@ -190,24 +192,27 @@ class Forest:
         return found
 
     def _pivots(self, active: DataFrame) -> DataFrame:
-        """Links within prefixes that many share, see the module's text."""
-        far = 1 - self.threshold
-        found = None
+        """Links within prefixes that many share, see the module's text. One pivot in the first round, several later."""
+        far, eps = 1 - self.threshold, 1e-9
+        found, rounds = None, 0
         active = self.st.put(active)
         while not active.isEmpty():
-            pivot = active.groupBy("bucket").agg(F.min("id").alias("p"))
-            spokes = self.st.put(active.join(pivot, "bucket").where("id <> p"))
-            sims = self.verify(spokes.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), None)
-            at = self.st.put(spokes.join(sims, (spokes["p"] == sims["a"]) & (spokes["id"] == sims["b"])).select("bucket", "id", (1 - F.col("sim")).alias("d"), "sim", "p"))
-            new = at.where(F.col("d") <= far + 1e-12).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"), "sim")
-            near = at.where(F.col("d") <= far + 1e-12).select("bucket", F.col("id").alias("x"), F.col("d").alias("dx"))
-            rest = at.where(F.col("d") > far + 1e-12)
-            gray = rest.where(F.col("d") <= 2 * far + 1e-12).select("bucket", F.col("id").alias("y"), F.col("d").alias("dy"))
-            cross = near.join(gray, "bucket").where(F.col("dy") - F.col("dx") <= far + 1e-12).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            new = new.union(self.verify(cross.distinct(), self.threshold).where(F.col("sim") >= self.threshold))
-            found = new if found is None else found.union(new)
-            found = self.st.put(found.distinct())
-            active = self.st.put(rest.select("bucket", "id"))
+            part = F.pmod(F.xxhash64("id", F.lit(rounds)), F.lit(PIVOTS if rounds else 1))
+            pivot = active.groupBy("bucket", part.alias("part")).agg(F.min("id").alias("p")).select("bucket", "p")
+            spokes = self.st.put(active.join(pivot, "bucket").where("id <> p").select("bucket", "p", "id"))
+            # what the screen leaves out is farther than twice the distance allowed
+            sims = self.verify(spokes.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), 1 - 2 * far)
+            at = spokes.join(sims, (F.least("p", "id") == sims["a"]) & (F.greatest("p", "id") == sims["b"])).where(F.col("sim") >= 1 - 2 * far - eps)
+            at = self.st.put(at.select("bucket", "p", "id", "a", "b", "sim", (F.col("sim") >= self.threshold).alias("near")))
+            links = at.where("near").select("a", "b", "sim")
+            near = at.where("near").select("bucket", "p", F.col("id").alias("x"), F.col("sim").alias("sx"))
+            gray = at.where("not near").select("bucket", "p", F.col("id").alias("y"), F.col("sim").alias("sy"))
+            cross = near.join(gray, ["bucket", "p"]).where(F.col("sx") - F.col("sy") <= far + eps).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            links = links.union(self.verify(cross.distinct(), self.threshold).where(F.col("sim") >= self.threshold))
+            found = self.st.put((links if found is None else links.union(found)).distinct())
+            left = near.select("bucket", F.col("x").alias("id")).union(pivot.select("bucket", F.col("p").alias("id")))
+            active = self.st.put(active.join(left, ["bucket", "id"], "left_anti"))
+            rounds += 1
         return found
 
     def groups(self) -> DataFrame:
