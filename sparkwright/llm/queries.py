@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import function_docs, leakage, mixing, near_duplicates, splitting, truncation
+from . import code_prose, doc_language, function_docs, leakage, mixing, near_duplicates, splitting, truncation
 
 QUERIES = {
     "p1_found": near_duplicates.p1_found,
@@ -11,6 +11,9 @@ QUERIES = {
     "p3_pieces": splitting.p3_pieces,
     "p4_found": function_docs.p4_found,
     "p4_pairs": function_docs.p4_pairs,
+    "p5_found": code_prose.p5_found,
+    "p5_shares": code_prose.p5_shares,
+    "p5_totals": code_prose.p5_totals,
     "p6_found": truncation.p6_found,
     "p6_shares": truncation.p6_shares,
     "p8_found": leakage.p8_found,
@@ -18,6 +21,9 @@ QUERIES = {
     "p8_items": leakage.p8_items,
     "p9_mixture": mixing.p9_mixture,
     "p9_shares": mixing.p9_shares,
+    "p10_found": doc_language.p10_found,
+    "p10_segments": doc_language.p10_segments,
+    "p10_languages": doc_language.p10_languages,
 }
 
 #: p3_found's cases follow from lengths, so SQL can state them.
