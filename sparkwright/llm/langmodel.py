@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
+from .sampling import bounded_sample
 
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
 # Notations of the languages.
@@ -199,14 +200,14 @@ def label_sentences(docs: list[tuple[str, str | None]], rounds: int = 2) -> tupl
 
 
 def training_documents(spark: SparkSession, sf_dir: str, n: int) -> list[tuple[str, str | None]]:
-    """At most ``n`` labelled documents, those with the smallest hashes of their ids: a bounded sample for fitting."""
+    """About ``n`` labelled documents: a bounded sample for fitting."""
     d = load(spark, sf_dir, "documents", "doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null and trim(lang) <> ''")
-    return [(r[0], r[1]) for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("text", "lang").collect()]
+    return sorted((r[0], r[1]) for r in bounded_sample(d, "doc_id", n).select("text", "lang").collect())
 
 
 def training_code(rows: DataFrame, column: str, key: str, n: int) -> list[str]:
-    """At most ``n`` texts of a code column, those with the smallest hashes of their ids."""
-    return [r[0] for r in rows.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(n).select(column).collect()]
+    """About ``n`` texts of a code column: a bounded sample for fitting."""
+    return sorted(r[0] for r in bounded_sample(rows.where(F.col(column).isNotNull()), key, n).select(column).collect())
 
 
 def group_by_length(lengths: list[int], size: int = 2048) -> list[list[int]]:
