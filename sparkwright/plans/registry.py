@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..operators import hierarchy, logparse
+from . import core_queries
 
 QUERIES = {
     "p2_found": hierarchy.p2_found,
     "p2_hierarchies": hierarchy.p2_hierarchies,
     "p7_found": logparse.p7_found,
     "p7_entries": logparse.p7_entries,
-}
-ORACLE: dict[str, str] = {}
+} | core_queries.Q
+ORACLE: dict[str, str] = dict(core_queries.SQL)
