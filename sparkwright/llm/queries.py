@@ -38,6 +38,6 @@ ORACLE = {
         SELECT DISTINCT record_kind, record_id, 'oversized' AS case_kind FROM big
         UNION ALL
         SELECT DISTINCT record_kind, record_id, 'no_boundary' FROM big
-        WHERE list_max(list_transform(string_split(body, chr(10)), x -> length(x))) > max_chars
+        WHERE list_max(list_transform(string_split(body, chr(10)), lambda x: length(x))) > max_chars
     """,
 }
