@@ -50,13 +50,13 @@ _FENCE = re.compile(r"(?ms)^[ \t>*-]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t>*-]*\1[ \t]*
 _TICKS = re.compile(r"`[^`\n]*`")
 # an identifier may touch Han and kana, so its ends are told by ASCII alone
 _DROP = re.compile(
-    r"(?<![A-Za-z0-9_])(?:https?://[^\s。，、）]+"
-    r"|[A-Za-z_$][A-Za-z0-9_$]*(?:(?:\.|::|->|\#|/|\\)[A-Za-z_$][A-Za-z0-9_$]*)+(?:\([^()\n]*\))?"  # paths and member calls
-    r"|[A-Za-z_$][A-Za-z0-9_$]*\([^()\n]*\)"
-    r"|[A-Za-z]+[a-z][A-Z][A-Za-z0-9_]*|[A-Z]{2,}[a-z][A-Za-z0-9_]*|[A-Za-z0-9]*_[A-Za-z0-9_]*|[A-Za-z]*[0-9][A-Za-z0-9]*)(?![A-Za-z0-9_])"
+    r"(?<![A-Za-z0-9_])(?:[A-Za-z_$][A-Za-z0-9_$]*+"
+    r"(?:(?:(?:\.|::|->|\#|/|\\)[A-Za-z_$][A-Za-z0-9_$]*+)++(?:\([^()\n]*\))?|\([^()\n]*\)|://[^\s。，、）]+)"  # paths, calls, addresses
+    r"|[A-Z]?[a-z]++[A-Z][A-Za-z0-9_]*+|[A-Z]{2,}+[a-z][A-Za-z0-9_]*+|[A-Za-z0-9]*+_[A-Za-z0-9_]*+|[A-Za-z]*+[0-9][A-Za-z0-9]*+)(?![A-Za-z0-9_])"
 )
 # lines without any of these are prose
-_SUSPECT = re.compile(r"[;{}=|^:@#$]|\+\+|--|^\s*(?:at |from |File |In file|Traceback|Caused|\d|[A-Za-z]{2,8}\s*[({]|[})\]])|[\w.]+(?:Exception|Failure|Problem)\b")
+_SUSPECT = re.compile(r"[;{}=|^:@#$+]")
+_SUSPECT_AT = re.compile(r"\s*(?:at |from |File |In file|Traceback|Caused|\d|[A-Za-z]{2,8}\s*[({]|[})\]]|[\w.]+(?:Exception|Failure|Problem)\b)")
 _CODE_LINE = re.compile(
     r"^\s*(?:[{}()\[\];]+\s*$|.*[;{]\s*(?://.*)?$|[}\])].*|#\s*(?:include|define|pragma|if|endif)\b.*|@\w+(?:\(.*\))?\s*$"
     r"|(?:In file included )?from \S+:\d+.*|In file included.*|\S+?:\d+(?::\d+)?:\s.*|\s*\d*\s*\|.*|[\s^~]+$|\d+ (?:errors?|warnings?).* generated\.?"
@@ -66,7 +66,7 @@ _CODE_LINE = re.compile(
 )
 _LEAD = re.compile(r"^[ \t]*(?:[>*-][ \t]+)+")
 _HAN, _KANA, _CYR = re.compile("[㐀-鿿豈-﫿々〆]"), re.compile("[぀-ヿㇰ-ㇿｦ-ﾟ]"), re.compile("[Ѐ-ӿ]")
-_SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])(?=[\s\"')\]»”]|$)|\n\s*(?=[-*•>\d#]|\s*\n)|\n{2,}")
+_END = re.compile(r"[。！？]|[.!?…](?=[\s\"')\]»”]|$)|\n(?=[^\S\n]*(?:[-*•>\d#]|\n))")
 _LETTERS = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[㐀-鿿豈-﫿々〆]+|[぀-ヿㇰ-ㇿｦ-ﾟー]+|[^\W\d_㐀-鿿豈-﫿々〆぀-ヿㇰ-ㇿｦ-ﾟー]+(?:['’][^\W\d_㐀-鿿぀-ヿ]+)*")
 
@@ -89,7 +89,7 @@ def running_text(text: str) -> str:
     t = _TICKS.sub(" ", t)
     kept = []
     for line in t.split("\n"):
-        if _SUSPECT.search(line) and _CODE_LINE.match(_LEAD.sub("", line)) and (line.isascii() or not _HAN.search(line) and not _CYR.search(line)):
+        if (_SUSPECT.search(line) or _SUSPECT_AT.match(line)) and _CODE_LINE.match(_LEAD.sub("", line)) and (line.isascii() or not _HAN.search(line) and not _CYR.search(line)):
             kept.append("")
         else:
             kept.append(_DROP.sub(" ", line))
@@ -99,7 +99,7 @@ def running_text(text: str) -> str:
 def sentences(text: str) -> list[str]:
     """Sentences of running text; wrapped lines are joined, blank lines and list items end one."""
     out = []
-    for s in _SENTENCE.split(text):
+    for s in _END.sub(lambda m: m[0] + "\0", text).split("\0"):
         if s and _LETTERS.search(s):
             n = len(_CODE_MARKS.findall(s))
             if n < 3 or n * 12 < s.count(" "):  # else code that lost its lines
