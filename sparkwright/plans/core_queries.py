@@ -816,7 +816,7 @@ def duplicate_target_winner(spark, sf):
     owned = (F.regexp_extract("method_key", r"^([^:]*)", 1) == F.col("header_key")).cast("int")
     concrete = F.col("mapping_status").isin("needs_cpp_body", "needs_header_body").cast("int")
     top = m.groupBy(*RUN, "target").agg(F.max_by("method_id", F.struct(owned, concrete, -F.col("method_id"))).alias("winner"))
-    j = m.join(top, [F.col(f"m.{c}") == F.col(f"t.{c}") for c in (*RUN, "target")]) if False else m.join(top, [*RUN, "target"])
+    j = m.join(top, [*RUN, "target"])
     return j.select("method_id", F.when(F.col("method_id") == F.col("winner"), F.col("mapping_status")).otherwise("deleted_or_merged").alias("final_status"))
 
 
