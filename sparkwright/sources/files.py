@@ -43,14 +43,23 @@ def parse_sources(files: DataFrame) -> DataFrame:
     return x.withColumn("qualified_name", F.when(F.col("package") == "", F.col("type_name")).otherwise(F.concat_ws(".", "package", "type_name")))
 
 
+@F.pandas_udf(T.StringType())
+def _decode_either(c: pd.Series) -> pd.Series:
+    def one(b):
+        if b is None:
+            return None
+        try:
+            return bytes(b).decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return bytes(b).decode("gbk", "replace")
+
+    return c.map(one)
+
+
 def class_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Class rows and method rows of one JSON file per class; files that are no UTF-8 are read as GBK."""
-    read = lambda enc: spark.read.schema(CLASS_SPLIT + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").option("encoding", enc).json(path).withColumn("_file", F.col("_metadata.file_path"))
-    broken = lambda c: F.col(c).isNull() | F.col(c).contains("�")
-    suspect = broken("className") | F.coalesce(F.col("classDeclaration").contains("�"), F.lit(False)) | F.coalesce(F.exists("methods", lambda m: F.coalesce(m["methodComment"], F.lit("")).contains("�") | F.coalesce(m["methodBody"], F.lit("")).contains("�")), F.lit(False))
-    first = read("UTF-8").withColumn("_bad", suspect)
-    again = read("GBK").join(first.where("_bad").select("_file"), "_file", "left_semi").where("className is not null")
-    rows = first.where("not _bad").drop("_bad").unionByName(again).drop("_corrupt_record", "_file")
+    """Class rows and method rows of one JSON file per class; files that are no UTF-8 are read as GBK, broken ones dropped."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    rows = raw.select(F.from_json(_decode_either(F.col("content")), CLASS_SPLIT).alias("r")).select("r.*").where("className is not null")
     at = F.posexplode_outer("methods").alias("ord", "m")
     return rows.drop("methods"), rows.select("className", "filePath", at).where("m is not null").select("className", "filePath", "ord", "m.*")
 
