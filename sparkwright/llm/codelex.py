@@ -17,7 +17,7 @@ _SPAN = re.compile(
     r"|'(?:\\[^\n]{1,6}|[^'\\\n])'"
     r"|/\*"
 )
-_CODE_LINE = re.compile(r"\n(?=[ \t]*(?:@\w+|(?:public|private|protected|static|final|virtual|class|interface|enum|import|package|return|if|for|while)\b|[^\n*]*[;{}][ \t]*\r?\n))")
+_CODE_LINE = re.compile(r"\n(?=[ \t]*(?:@\w+|(?:public|private|protected|static|final|virtual|class|interface|enum|import|package|return|if|for|while)\b|[^\n*]*[;{}][ \t]*(?:\r?\n|\Z)))")
 _ESCAPE = re.compile(r"\\(?:u+([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|([0-7]{1,3})|(.))", re.S)
 # Single-letter escapes.
 _SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "0": "\0", "s": " ", "a": "\a", "v": "\v"}

@@ -84,7 +84,7 @@ def _index_batches(vocabulary: dict[str, int]):
                     ids.append(doc_id)
                     terms.append(at[pos])
                     places.append(pos.astype(np.int32))
-            yield pd.DataFrame({"doc_id": ids, "terms": terms, "positions": places})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "terms": pd.Series(terms, dtype=object), "positions": pd.Series(places, dtype=object)})
 
     return run
 
