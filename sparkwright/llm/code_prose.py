@@ -31,7 +31,7 @@ from .codelex import comment_body, literal_body, merged, spans
 from .langmodel import LANGS, CharModel, group_by_length, label_sentences, training_code, training_documents, unaccented, words
 from .splitting import code_items
 
-FIT_DOCS, FIT_CODE = 1200, 400
+FIT_DOCS, FIT_CODE = 800, 300
 LEAST_WORDS, LEAST_SIGNS = 5, 10
 #: Log-probabilities of going between code and a language, and from one language to another.
 CODE_CHANGE, LANGUAGE_CHANGE = -7.0, -13.0

@@ -29,7 +29,7 @@ from .langmodel import LANGS, LATIN, canonical, group_by_length, label_sentences
 from .langmodel import words as split_words
 
 #: Documents the field is fitted on; size of the feature table; steps of the fit.
-FIT_DOCS, FEATURES, STEPS = 1200, 1 << 16, 100
+FIT_DOCS, FEATURES, STEPS = 800, 1 << 16, 80
 #: A foreign sentence counts from so many letters (words in alphabets, signs in Han and kana).
 LEAST_WORDS, LEAST_SIGNS = 4, 6
 L = len(LANGS)
@@ -169,6 +169,9 @@ def fit(docs: list[tuple[str, str | None]], steps: int = STEPS, chunk: int = 48)
     # words met once are left to their n-grams in half of the steps, so that unseen words are learned for
     gw, gt = np.full((FEATURES, L), 1e-3, np.float64), np.full((L, L), 1e-3)
     cells, count = mask[:, :, 0], float(len(words))
+    # rare languages count more, by the root of their share
+    share = np.bincount(tag_at, minlength=L) / count
+    heavy = np.sqrt(1 / (L * np.maximum(share, 1e-3)))[gold][:, :, None].astype(np.float32)
     for _ in range(steps):
         keep = rng.random(len(flat)) > 0.3
         f, o = flat[keep], owner[keep]
@@ -176,7 +179,7 @@ def fit(docs: list[tuple[str, str | None]], steps: int = STEPS, chunk: int = 48)
         for k in range(L):
             em[:, k] = np.bincount(o, weights=weights[f, k], minlength=len(lists))
         p, expected = forward_backward(em[at] * mask, mask, trans.astype(np.float32), pairs=True)
-        diff = (one - p * mask)[cells]
+        diff = ((one - p * mask) * heavy)[cells]
         ids = at[cells]
         per_word = np.stack([np.bincount(ids, weights=diff[:, k], minlength=len(lists)) for k in range(L)], axis=1)
         grad = np.stack([np.bincount(f, weights=per_word[o, k], minlength=FEATURES) for k in range(L)], axis=1) / count - 1e-6 * weights
