@@ -15,6 +15,7 @@ QUERIES = {
     "p5_shares": code_prose.p5_shares,
     "p5_totals": code_prose.p5_totals,
     "p6_found": truncation.p6_found,
+    "p6_scores": truncation.p6_scores,
     "p6_shares": truncation.p6_shares,
     "p8_found": leakage.p8_found,
     "p8_matches": leakage.p8_matches,

@@ -62,7 +62,8 @@ def test_found_rows(spark, dirty):
     assert got["p1_found"] == {(1, 2)}
     assert got["p3_found"] == {("headers", 7, "oversized"), ("headers", 7, "no_boundary"), ("methods", 4, "oversized")}
     assert {("headers", 1, "f"), ("headers", 2, "f"), ("methods", 1, "f")} == got["p4_found"]
-    assert ("headers", 1) in got["p6_found"] and ("methods", 1) in got["p6_found"] and ("headers", 6) in got["p6_found"]
+    # a handful of texts is no model; remarks and broken characters tell without one
+    assert {("headers", 6), ("methods", 3)} <= got["p6_found"] and not {("headers", 4), ("methods", 2)} & got["p6_found"]
     assert got["p8_found"] == {(1, 1), (5, 1), (8, 1)}
 
 

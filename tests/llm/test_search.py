@@ -56,10 +56,10 @@ def test_states():
 def test_backward_model():
     whole = [f"The reader number {i} waits until the side has closed.\n\n```cpp\nvoid f{i}() {{\n    g({i});\n}}\n```" + ("\n\nDone" if i % 5 == 0 else "\n\nThe buffer is shared by all open files.") for i in range(400)]
     m = BackwardModel().fit(whole)
-    assert all(m.log_odds(final(t)[0]) > -2 for t in whole)
+    assert all(m.log_odds(final(t)[0]) > -3 for t in whole)
     cut = [t[: len(t) - 12] for t in whole if not t.endswith("Done")]
-    assert sum(m.log_odds(final(t)[0]) < -2 for t in cut) / len(cut) > 0.95
+    assert sum(m.log_odds(final(t)[0]) < -3 for t in cut) / len(cut) > 0.95
 
 
 def test_valley():
-    assert -3 < valley([(-8, 50), (-7, 40), (2, 500), (3, 400)]) < -1 and valley([]) == -2.25
+    assert -5 <= valley([(-8, 50), (-7, 40), (2, 500), (3, 400)]) <= -2 and valley([]) == -3.5
