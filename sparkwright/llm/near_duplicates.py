@@ -234,14 +234,19 @@ P1_WORDS, P1_THRESHOLD = 3, 0.7
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every headers row with text and its group."""
+    """Every headers row and its group; rows without text have none (null), rows alike to no other are groups of one."""
+    h = load(spark, sf_dir, "headers", "header_id", "source_code")
+    return h.select("header_id").join(_p1(spark, sf_dir), "header_id", "left")
+
+
+def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = load(spark, sf_dir, "headers", "header_id", "source_code").toDF("id", "body")
     return near_duplicate_groups(spark, items, P1_WORDS, P1_THRESHOLD).withColumnRenamed("id", "header_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of rows of one group, as the result's definition asks."""
-    g = p1_groups(spark, sf_dir).select("header_id", "group_id").distinct()
+    g = _p1(spark, sf_dir).select("header_id", "group_id").distinct()
     g = Stage(spark, "groups").put(g)
     many = g.groupBy("group_id").count().where("count > 1").select("group_id")
     g = g.join(many, "group_id", "left_semi")

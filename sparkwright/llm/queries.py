@@ -27,8 +27,29 @@ QUERIES = {
     "p10_languages": doc_language.p10_languages,
 }
 
-#: p3_found's cases follow from lengths, so SQL can state them.
+# full-width forms of ASCII and what they stand for
+_WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+#: What SQL can state: groups by all common sequences, cases by lengths.
 ORACLE = {
+    "p1_found": """
+        WITH RECURSIVE
+        w AS (SELECT header_id, regexp_extract_all(lower(source_code), '[\\p{L}\\p{N}_]+') AS w FROM headers WHERE source_code IS NOT NULL),
+        g AS (SELECT DISTINCT header_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT header_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3) x),
+        n AS (SELECT header_id, count(*) AS n FROM g GROUP BY header_id),
+        shared AS (SELECT a.header_id AS a, b.header_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.header_id < b.header_id GROUP BY ALL),
+        l AS (SELECT a, b FROM shared JOIN n x ON x.header_id = a JOIN n y ON y.header_id = b WHERE k >= 0.7 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT DISTINCT a AS header_id_a, b AS header_id_b FROM r WHERE a < b
+    """,
+    "p8_found": f"""
+        WITH
+        d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(translate(translate(text, '{_WIDE}', '{_PLAIN}'), chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279), ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text <> ''),
+        i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(passage)), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 12), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13) x),
+        ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 12), ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13) x)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)
+    """,
     "p3_found": """
         WITH items AS (
           SELECT 'headers' AS record_kind, header_id AS record_id, source_code AS body FROM headers
