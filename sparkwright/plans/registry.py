@@ -11,4 +11,31 @@ QUERIES = {
     "p7_found": logparse.p7_found,
     "p7_entries": logparse.p7_entries,
 } | core_queries.Q
-ORACLE: dict[str, str] = dict(core_queries.SQL)
+def _type(c: str) -> str:
+    """A type name's last part, in SQL."""
+    for _ in range(5):
+        c = f"regexp_replace({c}, '<[^<>]*>', '', 'g')"
+    return f"nullif(regexp_extract(regexp_replace({c}, '@[A-Za-z_0-9.]+', ' ', 'g'), '([A-Za-z_0-9]+)\\s*$', 1), '')"
+
+
+def _method(c: str) -> str:
+    """A method key by the types it means, in SQL."""
+    c = f"regexp_replace(regexp_replace({c}, '@[A-Za-z_0-9.]+', '', 'g'), '\\s+', '', 'g')"
+    return f"nullif(regexp_replace({c}, '(?:[A-Za-z_0-9]+[.$])+([A-Za-z_])', '\\1', 'g'), '')"
+
+
+_SAME = "{a}.project = {b}.project AND {a}.run_id = {b}.run_id"
+P2_FOUND = f"""
+  WITH RECURSIVE
+  hn AS (SELECT project, run_id, header_key, min(header_id) AS id, {_type("header_key")} AS nm FROM headers WHERE header_key IS NOT NULL GROUP BY ALL),
+  hr AS (SELECT project, run_id, header_key, parent_class AS raw FROM headers UNION SELECT project, run_id, header_key, unnest(interfaces) FROM headers),
+  hp AS (SELECT project, run_id, header_key, {_type("raw")} AS nm FROM hr WHERE raw IS NOT NULL),
+  hl AS (SELECT p.id AS a, c.id AS b FROM hp JOIN hn c ON {_SAME.format(a="c", b="hp")} AND c.header_key = hp.header_key JOIN hn p ON {_SAME.format(a="p", b="hp")} AND p.nm = hp.nm),
+  mn AS (SELECT project, run_id, {_method("method_key")} AS k, min(method_id) AS id FROM methods WHERE method_key IS NOT NULL GROUP BY ALL),
+  mr AS (SELECT project, run_id, method_key AS p, unnest(children) AS c FROM methods UNION SELECT project, run_id, unnest(parents), method_key FROM methods),
+  mp AS (SELECT DISTINCT project, run_id, {_method("p")} AS p, {_method("c")} AS c FROM mr WHERE p IS NOT NULL AND c IS NOT NULL),
+  ml AS (SELECT a.id AS a, b.id AS b FROM mp JOIN mn a ON {_SAME.format(a="a", b="mp")} AND a.k = mp.p JOIN mn b ON {_SAME.format(a="b", b="mp")} AND b.k = mp.c),
+  e AS (SELECT DISTINCT 'class' AS kind, a, b FROM hl UNION SELECT 'call', a, b FROM ml),
+  r AS (SELECT kind, a, b FROM e UNION SELECT r.kind, r.a, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.b)
+  SELECT DISTINCT kind AS link_kind, least(a, b) AS low_id, greatest(a, b) AS high_id FROM r"""
+ORACLE: dict[str, str] = dict(core_queries.SQL) | {"p2_found": P2_FOUND}
