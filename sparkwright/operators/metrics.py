@@ -57,12 +57,21 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: st
     return df.unpivot(list(keys), list(columns), name, value)
 
 
+def with_values(df: DataFrame, dimension: DataFrame, bound: int = 1000) -> DataFrame:
+    """Each row with every value of a one-column dimension, a list of names of checked size: an explode, not a join."""
+    values = [r[0] for r in dimension.where(F.col(dimension.columns[0]).isNotNull()).distinct().limit(bound + 1).collect()]
+    if len(values) > bound:
+        raise ValueError(f"{dimension.columns[0]} has more than {bound} values: no list to lay a grid over")
+    kind = dimension.schema[0].dataType
+    return df.withColumn(dimension.columns[0], F.explode(F.array(*map(F.lit, sorted(values))).cast(f"array<{kind.simpleString()}>")))
+
+
 def on_grid(df: DataFrame, grid: Sequence[DataFrame], keys: Sequence[str], fill: dict) -> DataFrame:
-    """Every combination of the grid's small dimensions, absent ones filled; the dimensions are lists of names."""
-    spine = grid[0].select(F.explode(F.sequence(F.lit(1), F.lit(1))).alias("_one"), "*")
+    """Every combination of the grid's dimensions, absent ones filled; all but the first are lists of names."""
+    spine = grid[0]
     for g in grid[1:]:
-        spine = spine.join(F.broadcast(g.withColumn("_one", F.lit(1))), "_one")
-    return spine.drop("_one").join(df, list(keys), "left").na.fill(fill)
+        spine = with_values(spine, g)
+    return spine.join(df, list(keys), "left").na.fill(fill)
 
 
 def best_with_ties(df: DataFrame, keys: Sequence[str], choice: str, score: str, joiner: str = ";") -> DataFrame:

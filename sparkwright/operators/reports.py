@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .metrics import ratio
 
-# Line prefixes of the test protocol.
-RESULT, START, COUNT = "SITP_TEST_RESULT\t", "SITP_TEST_START\t", r"SITP_TEST_COUNT\D+(\d+)"
+# Lines of the test protocol, behind any upper-case prefix.
+RESULT, START, COUNT = r"^(?:[A-Z0-9]+_)?TEST_RESULT\t", r"^(?:[A-Z0-9]+_)?TEST_START\t(.*)$", r"\b(?:[A-Z0-9]+_)?TEST_COUNT\D+(\d+)"
 
 
 def _lines(stdout: Column) -> Column:
@@ -18,13 +18,13 @@ def _lines(stdout: Column) -> Column:
 def test_results(runs: DataFrame, key: str = "project", stdout: str = "stdout") -> DataFrame:
     """(key, name, status, message) of each complete result line; lines of fewer than four parts are skipped."""
     parts = F.split("line", "\t", 4)
-    x = runs.select(key, F.posexplode(_lines(F.col(stdout))).alias("pos", "line")).where(F.col("line").startswith(RESULT) & (F.size(parts) == 4))
+    x = runs.select(key, F.posexplode(_lines(F.col(stdout))).alias("pos", "line")).where(F.col("line").rlike(RESULT) & (F.size(parts) == 4))
     return x.select(key, (F.col("pos") + 1).alias("line_no"), parts[1].alias("name"), parts[2].alias("status"), parts[3].alias("message"))
 
 
 def last_started(stdout: Column) -> Column:
     """The last test that began; empty without any."""
-    names = F.transform(F.filter(_lines(stdout), lambda x: x.startswith(START)), lambda x: F.trim(F.substring(x, len(START) + 1, 100_000)))
+    names = F.transform(F.filter(_lines(stdout), lambda x: x.rlike(START)), lambda x: F.trim(F.regexp_extract(x, START, 1)))
     return F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit(""))
 
 
@@ -40,7 +40,7 @@ def test_reports(runs: DataFrame) -> DataFrame:
     Build failures and time-outs count all planned tests as failed; rates of nothing are 0.
     """
     ran = (F.col("compile_returncode") == 0) & ~F.coalesce("timed_out", F.lit(False)) & F.col("run_returncode").isNotNull()
-    tests = F.when(ran, F.filter(_lines(F.col("stdout")), lambda x: x.startswith(RESULT) & (F.size(F.split(x, "\t", 4)) == 4))).otherwise(F.array().cast("array<string>"))
+    tests = F.when(ran, F.filter(_lines(F.col("stdout")), lambda x: x.rlike(RESULT) & (F.size(F.split(x, "\t", 4)) == 4))).otherwise(F.array().cast("array<string>"))
     passed = F.size(F.filter("tests", lambda x: F.split(x, "\t", 4)[2] == "PASS"))
     out = runs.withColumn("tests", F.coalesce(tests, F.array().cast("array<string>"))).withColumns({"passed": passed, "executed": F.size("tests")})
     all_ok = (F.col("executed") == F.col("planned")) & (F.col("passed") == F.col("executed")) & (F.col("run_returncode") == 0)

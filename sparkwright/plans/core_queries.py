@@ -367,8 +367,7 @@ def latest_run(spark, sf):
   SELECT project, ai FROM p CROSS JOIN a EXCEPT SELECT project, ai FROM headers""")
 def missing_cells(spark, sf):
     h = load(spark, sf, "headers", "project", "ai")
-    p, a = (h.select(c).where(F.col(c).isNotNull()).distinct() for c in ("project", "ai"))
-    grid = p.withColumn("one", F.lit(1)).join(F.broadcast(a.withColumn("one", F.lit(1))), "one").select("project", "ai")  # the models: a short list of names
+    grid = metrics.with_values(h.select("project").where("project is not null").distinct(), h.select("ai"))
     return ledger.missing_cells(grid, h, ["project", "ai"])
 
 

@@ -151,6 +151,17 @@ def write_summary(results: DataFrame, keys: list[str], path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
+def write_round(df: DataFrame, path: str, number: int) -> None:
+    """A round's rows under their own partition; a round that is repeated replaces itself."""
+    df.withColumn("round", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(path)
+
+
+def write_failed_logs(results: DataFrame, path: str, stem: str = "file_name") -> None:
+    """Logs of failed results by their file's stem; one table, no file per row."""
+    bad = results.where(~F.coalesce("success", F.lit(False)))
+    bad.select(F.regexp_replace(stem, r"\.[^.]*$", "").alias("stem"), "log_output").write.mode("overwrite").parquet(path)
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
     """A small report as a table; more than ``limit`` rows are refused rather than cut."""
     rows = df.limit(limit + 1).collect()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -26,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which is counted; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Stage:
     """Tables written to the shared folder: a stage survives the loss of executors and cuts lineage.
 

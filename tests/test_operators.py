@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sparkwright.operators import ledger, metrics, reports, rounds, snapshots
+from sparkwright.operators import ledger, metrics, providers, reports, rounds, snapshots
 from sparkwright.operators.components import connected_components
 from sparkwright.sources import files
 from sparkwright.streaming import ingest
@@ -41,13 +41,15 @@ def test_components(spark):
 
 
 def test_reports(spark):
-    out = "SITP_TEST_START\tone\nSITP_TEST_RESULT\tone\tPASS\t\nSITP_TEST_RESULT\ttwo\tFAIL\tx\ty\nSITP_TEST_RESULT\tbad\nSITP_TEST_START\tthree\n"
+    out = "AB_TEST_START\tone\nAB_TEST_RESULT\tone\tPASS\t\nAB_TEST_RESULT\ttwo\tFAIL\tx\ty\nAB_TEST_RESULT\tbad\nAB_TEST_START\tthree\n"
     runs = spark.createDataFrame([("p", 3, out, 0, -11, False), ("q", 2, None, 1, None, False), ("z", 0, "", 0, None, True)], "project string, planned int, stdout string, compile_returncode int, run_returncode int, timed_out boolean")
     by = {r["project"]: r for r in reports.test_reports(runs).collect()}
     p = by["p"]
     assert (p["status"], p["executed"], round(p["strict_pass_rate"], 4), p["conditional_pass_rate"], p["last_started_test"]) == ("test_failed", 2, 0.3333, 0.5, "three")
     assert by["q"]["status"] == "test_build_failed" and by["q"]["strict_pass_rate"] == 0.0 and by["z"]["status"] == "timeout"
     assert "segmentation" in p["diagnostic"]
+    src = spark.createDataFrame([("const int AB_TEST_COUNT = 7;",)], "s string")
+    assert src.select(reports.planned_count(F.col("s")).alias("n")).first()["n"] == 7
     assert [r["message"] for r in reports.test_results(runs).orderBy("line_no").collect()] == ["", "x\ty"]
     fr = spark.createDataFrame([("header", 10, 1, True, True, True, True, False), ("method", 30, 2, False, None, False, False, True)], "kind string, source_loc int, query_count int, first_syntax_success boolean, final_syntax_success boolean, first_compile_success boolean, final_compile_success boolean, stubbed boolean")
     al = {r["kind"]: r for r in reports.fragment_report(fr).collect()}["all"]
@@ -104,6 +106,38 @@ def test_files(spark, tmp_path):
     assert [tuple(x) for x in spark.createDataFrame([(log,)], "l string").select(files.run_log_status(F.col("l")).alias("s")).first()["s"]] == [("a.cpp", False), ("b.h", True)]
 
 
+def test_more_sinks(spark, tmp_path):
+    d = spark.createDataFrame([("a.cpp", False, "x"), ("b.h", True, "y"), ("c.h", None, None)], "file_name string, success boolean, log_output string")
+    files.write_failed_logs(d, str(tmp_path / "f"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "f")).collect()} == {("a", "x"), ("c", None)}
+    for _ in range(2):
+        files.write_round(d, str(tmp_path / "r"), 1)
+    files.write_round(d.limit(1), str(tmp_path / "r"), 2)
+    assert spark.read.parquet(str(tmp_path / "r")).groupBy("round").count().orderBy("round").collect() == [(1, 3), (2, 1)]
+    files.write_summary(d, ["success"], str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 3
+
+
+def test_providers(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "late"), (3, "never"), (4, None)], "id int, prompt string")
+    reply = lambda p, n: '{"name": "x"}' if p == "good" or p == "late" and n > 1 else "no"
+    got = {r["id"]: (r["reply"], r["tries"]) for r in providers.generate(df.coalesce(1), "id", "prompt", providers.Echo(reply), max_tries=3).collect()}
+    assert got == {1: ('{"name": "x"}', 1), 2: ('{"name": "x"}', 2), 3: (None, 3), 4: (None, 0)}
+    r = spark.createDataFrame([('{"b": "1"}',), ("{}",)], "r string").select(providers.reply_field(F.col("r"), "a", "b", default="-").alias("x"))
+    assert [x["x"] for x in r.collect()] == ["1", "-"]
+    assert providers.resolve_config({"a": 1}, {"m": {"a": 2, "b": 3}}, "m", b=None, c=4) == {"a": 2, "b": 3, "c": 4}
+
+
+def test_grid_is_bounded(spark):
+    import pytest
+
+    d = spark.createDataFrame([("a", 1)], "k string, n int")
+    dims = [spark.createDataFrame([("a",), ("b",)], "k string")]
+    assert metrics.on_grid(d, dims, ["k"], {"n": 0}).count() == 2
+    with pytest.raises(ValueError):
+        metrics.with_values(d, spark.range(20).selectExpr("cast(id as string) x"), 10)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "t").mkdir()
     for i in range(3):
