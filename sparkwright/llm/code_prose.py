@@ -19,6 +19,7 @@ count each. Extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,25 +49,28 @@ _TAGS = re.compile(r"(?m)\{@\w+\s*|^[ \t]*[@\\](?:param|throws|exception)\s+\S+|
 
 def fit_model(docs: list[tuple[str, str | None]], code: list[str]) -> CharModel:
     labelled, _ = label_sentences(docs)
-    model = CharModel(STATES)
+    times: Counter = Counter()
     for d, pairs in enumerate(labelled):
         for s, g in pairs:
             if g in LANGS:
-                for w in words(s.lower()):
-                    model.add(g, w)
-                    if not w.isascii() and d % 4 == 0:  # texts may have lost their accents
-                        model.add(g, unaccented(w))
-                for p in re.findall(r"[^\w\s]+", s):
-                    model.add(g, p)
+                found = words(s.lower())
+                times.update((g, w) for w in found)
+                if d % 4 == 0:  # texts may have lost their accents
+                    times.update((g, unaccented(w)) for w in found if not w.isascii())
+                times.update((g, p) for p in re.findall(r"[^\w\s]+", s))
     for text in code:
         at = 0
         for _, a, b in [*spans(text), ("", len(text), len(text))]:
             for w in _TOKEN.findall(text[at:a]):
-                model.add("code", w if _CAMEL.search(w) else w.lower())
                 if _CAMEL.search(w):
-                    for h in re.findall(r"[A-Z]?[a-z]+", w):
-                        model.add("code", h.lower())
+                    times[("code", w)] += 1
+                    times.update(("code", h.lower()) for h in re.findall(r"[A-Z]?[a-z]+", w))
+                else:
+                    times[("code", w.lower())] += 1
             at = b
+    model = CharModel(STATES)
+    for (g, w), n in times.items():
+        model.add(g, w, n)
     # the comments of the code sample, labelled by this first model, add their own vocabulary
     first, found = Decoder(model), []
     for text in code:

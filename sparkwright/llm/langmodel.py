@@ -173,15 +173,18 @@ def label_sentences(docs: list[tuple[str, str | None]], rounds: int = 2) -> tupl
     now = [[script_language(s) for s in ss] for ss in split]
     now = [[(g if c in LATIN else None) if x == "latin" else x for x in xs] for xs, c, g in zip(now, lab, lab)]
     model = CharModel(LANGS)
+    said = [[words(s.lower()) for s in ss] for ss in split]
     for r in range(rounds + 1):
-        model = CharModel(LANGS)
-        for ss, xs in zip(split, now):
-            for s, x in zip(ss, xs):
+        times: Counter = Counter()
+        for ws, xs in zip(said, now):
+            for w, x in zip(ws, xs):
                 if x in LANGS:
-                    for w in words(s.lower()):
-                        model.add(x, w)
-                        if not w.isascii() and x in LATIN:
-                            model.add(x, unaccented(w))
+                    times.update((x, v) for v in w)
+        model = CharModel(LANGS)
+        for (x, w), n in times.items():
+            model.add(x, w, n)
+            if not w.isascii() and x in LATIN:
+                model.add(x, unaccented(w), n)
         if r == rounds:
             break
         kept: dict[str, list[float]] = {}
@@ -190,7 +193,7 @@ def label_sentences(docs: list[tuple[str, str | None]], rounds: int = 2) -> tupl
                 if script_language(s) != "latin":
                     continue
                 total = [0.0] * 5
-                for w in words(s.lower()):
+                for w in said[d][j]:
                     v = kept.get(w)
                     if v is None:
                         v = kept[w] = model.score(w)[:5]
