@@ -4,11 +4,9 @@ Tokens are counted once per document and aggregated per source; repetition rates
 document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as probability.
 A draw depends on the document's id and the seed only: a lost task draws again the same.
 
-The total size is free, so the rates are scaled to the largest total at which no source that can reach its
-share passes its cap; sources that cannot (``max_repeats`` times their tokens too few) are held at their cap,
-and the others keep their targets relative to the total. The total is chosen to bring the shares as near to
-the targets as possible (the sum of absolute differences, then the largest total), among the totals at
-which some source meets its cap: between two of them the sum changes monotonically.
+The total size is free. Among the totals at which some source meets its cap (``max_repeats`` times its tokens) the one is
+taken that brings the shares nearest to the targets (least sum of absolute differences, then the largest total); a
+source beyond its cap is held at it, the others keep their targets relative to the total.
 
 Source names are matched without case, outer blanks and spelling of separators. Documents with a null or
 unlisted source, null id or null text are left out; empty texts have no tokens and are emitted like others.
@@ -34,6 +32,8 @@ from ..tables import Stage, load
 TOKENIZER_DIR = os.environ.get("SPARKWRIGHT_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 SEED = 20240229
+#: Sources with targets that the driver may hold; counted.
+MAX_SOURCES = 10_000
 # Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -94,6 +94,8 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, tokenizer_path
     t = targets.where("source is not null").select(source_key(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     t = t.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     tokens = counted(spark, docs, tokenizer_path)
+    if t.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources have targets")
     have = t.join(tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")), "source", "left").collect()
     rate = rates({r["source"]: r["n"] or 0 for r in have}, {r["source"]: (r["target_share"], r["max_repeats"]) for r in have})
     table = spark.createDataFrame([(r["source"], float(r["target_share"]), int(r["max_repeats"]), float(rate[r["source"]]), int(r["n"] or 0)) for r in have], "source string, target_share double, max_repeats int, rate double, available_tokens long")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import load
+from ..tables import load, small
 
 PIECE_SCHEMA = (
     "record_kind string, record_id long, piece_no int, n_pieces int, start_char int, end_char int, cut_kind string, "
@@ -108,10 +108,10 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of ``items`` (record_kind, record_id, body) above their limit in ``limits``.
 
     Short texts are dropped in the JVM; only oversized ones reach Python. ``limits`` is one row per record
-    kind, a fixed small table, and so broadcast.
+    kind, counted before it is broadcast.
     """
     lim = limits.where("max_chars > 0").groupBy("record_kind").agg(F.min("max_chars").alias("max_chars"), F.min(F.coalesce("overlap_chars", F.lit(0))).alias("overlap_chars"))
-    big = items.join(F.broadcast(lim), "record_kind").where(F.length("body") > F.col("max_chars"))
+    big = items.join(small(lim), "record_kind").where(F.length("body") > F.col("max_chars"))
     return big.select("record_kind", "record_id", "body", "max_chars", "overlap_chars").mapInPandas(_split_batches, PIECE_SCHEMA)
 
 
@@ -129,6 +129,6 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = load(spark, sf_dir, "piece_limits").groupBy("record_kind").agg(F.min("max_chars").alias("max_chars"))
-    whole = p3_pieces(spark, sf_dir).where("piece_no = 1").select("record_kind", "record_id", "longest_line").join(F.broadcast(limits), "record_kind")
+    whole = p3_pieces(spark, sf_dir).where("piece_no = 1").select("record_kind", "record_id", "longest_line").join(small(limits), "record_kind")
     cases = F.when(F.col("longest_line") > F.col("max_chars"), F.array(F.lit("oversized"), F.lit("no_boundary"))).otherwise(F.array(F.lit("oversized")))
     return whole.select("record_kind", "record_id", F.explode(cases).alias("case_kind")).distinct()
