@@ -313,8 +313,10 @@ def parse_logs(blocks: DataFrame) -> DataFrame:
 def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = load(spark, sf_dir, "compile_result", "result_id", "log_output", "recorded_at")
     f = load(spark, sf_dir, "compile_feedback", "feedback_id", "diagnostic_blocks", "recorded_at")
-    a = r.select(F.lit("compile_result").alias("record_kind"), F.col("result_id").alias("record_id"), F.lit(0).alias("block_no"), F.col("log_output").alias("body"), F.year("recorded_at").alias("yr"))
-    b = f.select(F.lit("compile_feedback").alias("record_kind"), F.col("feedback_id").alias("record_id"), F.posexplode("diagnostic_blocks").alias("pos", "body"), F.year("recorded_at").alias("yr"))
+    # the year in UTC, whatever the session's zone
+    year = F.year(F.to_utc_timestamp("recorded_at", F.current_timezone())).alias("yr")
+    a = r.select(F.lit("compile_result").alias("record_kind"), F.col("result_id").alias("record_id"), F.lit(0).alias("block_no"), F.col("log_output").alias("body"), year)
+    b = f.select(F.lit("compile_feedback").alias("record_kind"), F.col("feedback_id").alias("record_id"), F.posexplode("diagnostic_blocks").alias("pos", "body"), year)
     return a.union(b.select("record_kind", "record_id", (F.col("pos") + 1).alias("block_no"), "body", "yr"))
 
 

@@ -760,9 +760,11 @@ def signature_parts(spark, sf):
     )
 
 
-@query("SELECT DISTINCT method_key, regexp_replace(method_key, '^(?:[^:(]*[.])?([^.:(]+):', '\\1:') AS standard FROM methods WHERE contains(method_key, ':') AND NOT contains(method_key, '<') AND NOT contains(method_key, '.')")
+@query("""WITH k AS (SELECT DISTINCT method_key AS k FROM methods WHERE contains(method_key, ':')),
+  p AS (SELECT k, regexp_extract(split_part(k, ':', 1), '([^.]*)$', 1) AS owner, regexp_extract(k, ':([^(]*)', 1) AS name, regexp_extract(k, ':[^(]*\\((.*)\\)', 1) AS args FROM k)
+  SELECT k AS method_key, owner || ':' || CASE WHEN name = '<init>' THEN regexp_extract(owner, '([^$]*)$', 1) ELSE name END || '(' || CASE WHEN trim(args) = '' THEN '' ELSE array_to_string(list_transform(string_split(args, ','), lambda a: regexp_extract(string_split(trim(a), ' ')[1], '([^.]*)$', 1)), ',') END || ')' AS standard FROM p""")
 def signature_standard(spark, sf):
-    m = load(spark, sf, "methods", "method_key").where("contains(method_key, ':') and not contains(method_key, '<') and not contains(method_key, '.')").distinct()
+    m = load(spark, sf, "methods", "method_key").where("contains(method_key, ':')").distinct()
     return m.select("method_key", text.standard_signature(F.col("method_key")).alias("standard"))
 
 

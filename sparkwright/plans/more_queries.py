@@ -80,14 +80,13 @@ def includer_context(spark, sf):
 _LOCR = r"^\s*([^\s:][^:]*):(\d+):(\d+):"
 
 
-@query("""WITH l AS (SELECT DISTINCT project, run_id, header_key, CAST(unnest(range(1, 6)) AS BIGINT) AS line_no FROM headers),
-  c AS (SELECT project, run_id, header_key, arg_min(source_code, header_id) AS source_code FROM headers WHERE source_code IS NOT NULL GROUP BY ALL)
-  SELECT l.project, l.run_id, l.header_key, l.line_no, string_split(c.source_code, chr(10))[l.line_no] AS line FROM l JOIN c USING (project, run_id, header_key) WHERE l.line_no <= len(string_split(c.source_code, chr(10)))""")
+@query("""WITH c AS (SELECT project, run_id, header_key, arg_min(source_code, header_id) AS source_code FROM headers WHERE source_code IS NOT NULL GROUP BY ALL)
+  SELECT project, run_id, header_key, generate_subscripts(string_split(source_code, chr(10)), 1) AS line_no, unnest(string_split(source_code, chr(10))) AS line FROM c""")
 def source_lines(spark, sf):
-    """Lines of a source looked up by number (the first five of each)."""
+    """Every line of a source under its number, for lookups by (file, line)."""
     h = load(spark, sf, "headers", "header_id", *RUN, "header_key", "source_code").where("source_code is not null")
     c = h.groupBy(*RUN, "header_key").agg(F.min_by("source_code", "header_id").alias("source_code"))
-    x = c.select(*RUN, "header_key", F.posexplode(F.slice(F.split("source_code", "\n"), 1, 5)).alias("pos", "line"))
+    x = c.select(*RUN, "header_key", F.posexplode(F.split("source_code", "\n")).alias("pos", "line"))
     return x.select(*RUN, "header_key", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
@@ -163,9 +162,9 @@ def error_class_rank(spark, sf):
     return c.withColumn("rank", F.dense_rank().over(Window.partitionBy("ai").orderBy(F.desc("n"))).cast("long"))
 
 
-@query("SELECT DISTINCT header_key, array_to_string(list_distinct_keep, ';') AS candidates FROM (SELECT header_key, CASE WHEN contains(header_key, '$') THEN [header_key, regexp_extract(header_key, '([^$]*)$', 1), replace(header_key, '$', '::')] ELSE [header_key] END AS list_distinct_keep FROM headers WHERE header_key IS NOT NULL AND NOT contains(header_key, '.') AND NOT contains(header_key, ':') AND NOT contains(header_key, '<')) x")
+@query("SELECT DISTINCT header_key, array_to_string(list_distinct_keep, ';') AS candidates FROM (SELECT header_key, CASE WHEN contains(header_key, '$') THEN [header_key, regexp_extract(header_key, '([^$]*)$', 1), replace(header_key, '$', '::')] ELSE [header_key] END AS list_distinct_keep FROM headers WHERE header_key IS NOT NULL) x")
 def name_candidates(spark, sf):
-    h = load(spark, sf, "headers", "header_key").where("header_key is not null and not contains(header_key, '.') and not contains(header_key, ':') and not contains(header_key, '<')").distinct()
+    h = load(spark, sf, "headers", "header_key").where("header_key is not null").distinct()
     return h.select("header_key", F.array_join(text.name_candidates(F.col("header_key")), ";").alias("candidates"))
 
 

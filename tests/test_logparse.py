@@ -52,3 +52,14 @@ def test_edge_cases(spark, table_dir):
     got = {tuple(x) for x in p7_found(spark, table_dir(compile_result=r, compile_feedback=f)).collect()}
     assert got == {("compile_result", 1, 0, 1, "info", "none"), ("compile_result", 4, 0, 1, "error", "none"), ("compile_result", 4, 0, 1, "error", "2024-03-01 00:00:00"), ("compile_feedback", 3, 3, 1, "warn", "none")}
     assert p7_entries(spark, table_dir(compile_result=r.limit(0), compile_feedback=f.limit(0))).count() == 0
+
+
+def test_year_is_utc(spark, table_dir):
+    r = spark.createDataFrame([(1, "Jan  1 00:10:00 h p[1]: err: x", "2025-01-01 00:30:00")], "result_id long, log_output string, t string").selectExpr("result_id", "log_output", "to_timestamp(t) as recorded_at")
+    f = spark.createDataFrame([], "feedback_id long, diagnostic_blocks array<string>, recorded_at timestamp")
+    d = table_dir(compile_result=r, compile_feedback=f)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert p7_found(spark, d).first()["entry_time"] == "2025-01-01 00:10:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
