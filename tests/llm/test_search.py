@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("sparkwright.llm")
 
-from sparkwright.llm.leakage import find_leaks, words  # noqa: E402
+from sparkwright.llm.leakage import NEAR_GAP, NEAR_RUN, find_leaks, p8_found, p8_items, p8_matches, words  # noqa: E402
 from sparkwright.llm.mixing import rates  # noqa: E402
 from sparkwright.llm.truncation import BackwardModel, final, state, valley  # noqa: E402
 
@@ -40,6 +40,70 @@ def test_leaks_equal_brute_force(spark, seed):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def brute_chain(w, q):
+    """Most words of a chain of two or more runs, by trying all."""
+    runs = []
+    for i in range(len(w)):
+        for j in range(len(q)):
+            if w[i] == q[j] and not (i and j and w[i - 1] == q[j - 1]):
+                n = 0
+                while i + n < len(w) and j + n < len(q) and w[i + n] == q[j + n]:
+                    n += 1
+                if n >= NEAR_RUN:
+                    runs.append((i, j, n))
+    best, top = {}, 0
+    for i, j, n in sorted(runs):
+        best[i, j, n] = n
+        for (a, b, m), total in list(best.items()):
+            twice = max(0, a + m - i, b + m - j)
+            if a < i and b < j and twice < min(m, n) and max(i + twice - a - m, j + twice - b - m) <= NEAR_GAP:
+                best[i, j, n] = max(best[i, j, n], total + n - twice)
+                top = max(top, total + n - twice)
+    return top
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_proximity_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range([60, 60, 2][seed])]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(12, 40)))) for i in range(8)]
+    docs = []
+    for d in range(50):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(items)[1].split()
+            for at in range(len(p) - 1, 0, -rng.randrange(3, 9)):
+                p[at : at + rng.randrange(3)] = ["new"] * rng.randrange(3)
+            w += p
+        docs.append((d, " ".join(w)))
+    want = {}
+    for d, t in docs:
+        for k, p in items:
+            if len(p.split()) >= 13 and (n := brute_chain(t.split(), p.split())) >= 13:
+                want[d, k] = n
+    rows = find_leaks(spark, spark.createDataFrame(docs, "doc_id long, body string").repartition(3), spark.createDataFrame(items, "item_id long, passage string"), proximity=True).collect()
+    got = {}
+    for r in rows:
+        if r["kind"] == "proximity":
+            got[r["doc_id"], r["item_id"]] = max(got.get((r["doc_id"], r["item_id"]), 0), r["n_words"])
+    assert got == want and len(want) > 10
+
+
+def test_changed_passages_are_proximity_matches(spark, table_dir):
+    w = [f"t{i}" for i in range(40)]
+    changed = [x if i % 8 != 7 else "other" for i, x in enumerate(w)]
+    dropped = [x for i, x in enumerate(w) if i % 8 != 7]
+    added = [y for i, x in enumerate(w) for y in ([x, "more"] if i % 8 == 7 else [x])]
+    far = [y for i, x in enumerate(w) for y in ([x] + ["pad"] * 3 if i % 8 == 7 else [x])]
+    docs = [(i, " ".join(["start", *x, "end"])) for i, x in enumerate([w, changed, dropped, added, far, w[::-1]])]
+    d = table_dir(documents=spark.createDataFrame(docs, "doc_id long, text string"), eval_items=spark.createDataFrame([(7, "s", "en", " ".join(w)), (8, "s", "en", "no such words")], "item_id long, suite string, lang string, passage string"))
+    got = {(r["doc_id"], r["kind"], r["start_word"], r["n_words"], r["n_text_words"]) for r in p8_matches(spark, d).collect()}
+    assert got == {(0, "exact", 1, 40, 40), (1, "proximity", 1, 35, 39), (2, "proximity", 1, 35, 35), (3, "proximity", 1, 40, 44)}
+    assert [tuple(r) for r in p8_found(spark, d).collect()] == [(0, 7)]
+    rows = {r["item_id"]: r for r in p8_items(spark, d).collect()}
+    assert (rows[7]["n_docs"], rows[7]["n_docs_exact"], rows[7]["leaked"], rows[7]["leaked_exact"]) == (4, 1, True, True) and not rows[8]["leaked"]
+
+
 def test_rates():
     r = rates({"a": 100, "b": 1000, "c": 0}, {"a": (0.5, 2), "b": (0.4, 1), "c": (0.1, 4)})
     assert r["a"] == 2.0 and r["c"] == 0.0 and abs(r["b"] - 0.16) < 1e-9
