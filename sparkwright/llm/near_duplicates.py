@@ -216,13 +216,12 @@ class Forest:
         return found
 
     def groups(self) -> DataFrame:
-        """(id, class_id, group_id, n_links) of every record with text; n_links counts the class's verified links."""
+        """(id, class_id, group_id) of every record with text. Links are not counted: which are verified depends on the sizes of prefixes."""
         links = self.st.put(self.links().distinct())
         roots = connected_components(self.spark, links)
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-        c = self.classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-        c = c.select("lo", "hi", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        return self.members.join(c, ["lo", "hi"]).select("id", "class_id", "group_id", "n_links")
+        c = self.classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        c = c.select("lo", "hi", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"))
+        return self.members.join(c, ["lo", "hi"]).select("id", "class_id", "group_id")
 
 
 def near_duplicate_groups(spark: SparkSession, items: DataFrame, words: int = 5, threshold: float = 0.8, pair_bound: int = PAIR_BOUND) -> DataFrame:

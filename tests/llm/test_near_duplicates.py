@@ -54,6 +54,12 @@ def test_groups_equal_brute_force(spark, bound):
     assert sorted(sorted(g) for g in groups.values()) == brute(rows, 3, 0.7)
 
 
+def test_all_columns_equal_whatever_the_bound(spark):
+    items = spark.createDataFrame(texts(5, 160), "id long, body string")
+    few, many = (sorted(map(tuple, near_duplicate_groups(spark, items, 3, 0.7, pair_bound=b).collect())) for b in (2, 512))
+    assert few == many
+
+
 def test_copies_and_short_texts(spark):
     rows = [(i, "same text of many copies here") for i in range(300)] + [(400, "a b"), (401, "A  b"), (402, "b a"), (403, "x")]
     got = {r["id"]: r["group_id"] for r in near_duplicate_groups(spark, spark.createDataFrame(rows, "id long, body string")).collect()}
