@@ -2,9 +2,10 @@
 
 Each line is masked (times, levels, numbers, quoted texts and names become variables), routed in a
 fixed-depth tree by token count and leading tokens, and merged with the most similar template of its
-leaf. A template is mapped to fields once: where its time, level and component stand. Lines of a
-template without an entry head continue the entry before them. The tree is a cache of layouts: a
-line's fields depend on its own masked head only, so trees of different tasks agree.
+leaf. A template keeps the layout that its last line had. Lines of a template without an entry head
+continue the entry before them. The fields come from the line itself: the first layout in the order of
+``FORMS`` that matches it. The template's layout is taken only if none before it matches, so trees of
+different tasks agree.
 
 Null and empty texts give no entries; lines before the first entry of a text belong to none; a text
 without any entry gives none. Times without zone are UTC, without year they take that of recorded_at
@@ -218,13 +219,13 @@ CONTINUED = ("In file included", "from ", "Caused by", "Traceback", "...", ">",
 
 
 def head(line: str, year: int | None, known: int | None = None) -> tuple[tuple | None, int]:
-    """((time or None, level, component, message) or None, number of its form); the form known of the line's template goes first."""
+    """((time or None, level, component, message) or None, number of its form); the form known of the line's template counts only if no earlier one matches."""
     s = ANSI.sub("", line).rstrip("\r").lstrip("\ufeff")
     t = s.strip()
     if not t or t.startswith(CONTINUED):
         return None, -1
     if known is not None and known >= 0 and (r := FORMS[known](s, t, year)):
-        return r, known
+        return next(((e, i) for i in range(known) if (e := FORMS[i](s, t, year))), (r, known))
     for i, form in enumerate(FORMS):
         if r := form(s, t, year):
             return r, i

@@ -45,6 +45,17 @@ def test_entries():
     assert [e[0] for e in entries(many, 2025, TemplateTree(leaf_bound=2), {})] == list(range(1, 2001))
 
 
+def test_fields_do_not_depend_on_lines_before():
+    line = "2024-01-01 10:00:00: error: use of undeclared identifier x in this scope"
+    before = "a.cpp:1:2: y: error: use of undeclared identifier x in this scope"
+    for other in (before, "a.cpp:1:2: error: use of undeclared identifier x in this scope", "a.cpp:1:2 error: use of undeclared identifier x in this scope"):
+        tree, layouts = TemplateTree(), {}
+        entries(other, 2025, tree, layouts)
+        assert entries(line, 2025, tree, layouts) == entries(line, 2025)
+    for known in range(6):
+        assert head(line, 2025, known) == head(line, 2025) and head(line, 2025)[0][0] == "2024-01-01 10:00:00"
+
+
 def test_edge_cases(spark, table_dir):
     now = dt.datetime(2024, 12, 31)
     r = spark.createDataFrame([(1, "a: info: x", now, 5), (2, None, now, 5), (3, "", None, 5), (4, "Mar  1 00:00:00 h p[1]: err: x", None, 5), (4, "Mar  1 00:00:00 h p[1]: err: x", now, 5)], "result_id long, log_output string, recorded_at timestamp, level int")
