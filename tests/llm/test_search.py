@@ -7,7 +7,7 @@ pytest.importorskip("sparkwright.llm")
 
 from sparkwright.llm.leakage import NEAR_GAP, NEAR_RUN, find_leaks, p8_found, p8_items, p8_matches, words  # noqa: E402
 from sparkwright.llm.mixing import rates  # noqa: E402
-from sparkwright.llm.truncation import BackwardModel, final, state, valley  # noqa: E402
+from sparkwright.llm.truncation import BackwardModel, final, language, state, valley  # noqa: E402
 
 
 def test_words():
@@ -125,5 +125,9 @@ def test_backward_model():
     assert sum(m.log_odds(final(t)[0]) < -3 for t in cut) / len(cut) > 0.95
 
 
+def test_language_votes_on_whole_texts():
+    assert language("int x; " * 800 + "the end " + "der Leser wartet und die Seite ist nicht offen " * 5) == "de"
+
+
 def test_valley():
     assert -5 <= valley([(-8, 50), (-7, 40), (2, 500), (3, 400)]) <= -2 and valley([]) == -3.5
