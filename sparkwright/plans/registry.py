@@ -10,6 +10,7 @@ QUERIES = {
     "p2_hierarchies": hierarchy.p2_hierarchies,
     "p7_found": logparse.p7_found,
     "p7_entries": logparse.p7_entries,
+    "p7_templates": logparse.p7_templates,
 } | core_queries.Q
 def _type(c: str) -> str:
     """A type name's last part, in SQL."""

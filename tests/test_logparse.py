@@ -1,10 +1,12 @@
 import datetime as dt
 
-from sparkwright.operators.logparse import TemplateTree, entries, head, p7_entries, p7_found
+from pyspark.sql import functions as F
+
+from sparkwright.operators.logparse import TOKEN, clean, head, layout, log_lines, mask, p7_entries, p7_found, parse_heads, parse_logs, template_tree
 
 
 def first(line, year=2025):
-    h = head(line, year)[0]
+    h = head(line, year)
     return h and (h[0], h[1], h[2])
 
 
@@ -29,31 +31,67 @@ def test_forms():
 
 def test_continuations():
     for line in ("In file included from src/A.cpp:4:", "                 from src/B.h:26:", '  880 |     log("error: saddle");', "      |   ^~~", "17 errors generated.", "[3/22] Building CXX object a.o", "--------", "Traceback (most recent call last):", '  File "/a.py", line 94, in f', "\tat com.b.C.d(E.java:1)", "Caused by: com.b.X: y", "com.b.XException: y", "    > quoted: INFO x since 2019-01-03", "", "    wafer = 189"):
-        assert head(line, 2025)[0] is None, line
+        assert head(line, 2025) is None, line
+
+
+def blocks(spark, texts, year=2025):
+    return spark.createDataFrame([("r", i, 0, t, year) for i, t in enumerate(texts)], "record_kind string, record_id long, block_no int, body string, yr int")
 
 
-def test_entries():
+def test_entries(spark):
     text = "start\n2025-01-01 00:00:00 INFO [main] a - x\n  more\nb: error: y\r\n17 errors generated."
-    got = entries(text, 2025, TemplateTree(), {})
-    assert [(e[0], e[2], e[5]) for e in got] == [(2, "info", 2), (4, "error", 2)]
-    assert got[0][4] == "x\n  more"
-    assert entries(None, 1) == [] and entries("", 1) == []
-    assert entries("Feb 30 10:00:00 h a: info: x", 2025)[0][1] is None
-    assert entries("Feb 3 10:00:00 h a: info: x", None)[0][1] is None
-    # trees of other tasks give the same
-    many = "\n".join(f"b{i}: error: y {'z ' * (i % 7)}" for i in range(2000))
-    assert [e[0] for e in entries(many, 2025, TemplateTree(leaf_bound=2), {})] == list(range(1, 2001))
-
-
-def test_fields_do_not_depend_on_lines_before():
-    line = "2024-01-01 10:00:00: error: use of undeclared identifier x in this scope"
-    before = "a.cpp:1:2: y: error: use of undeclared identifier x in this scope"
-    for other in (before, "a.cpp:1:2: error: use of undeclared identifier x in this scope", "a.cpp:1:2 error: use of undeclared identifier x in this scope"):
-        tree, layouts = TemplateTree(), {}
-        entries(other, 2025, tree, layouts)
-        assert entries(line, 2025, tree, layouts) == entries(line, 2025)
-    for known in range(6):
-        assert head(line, 2025, known) == head(line, 2025) and head(line, 2025)[0][0] == "2024-01-01 10:00:00"
+    got = {r["line_no"]: r for r in parse_logs(spark, blocks(spark, [text, None, ""])).collect()}
+    assert {k: (r["log_level"], r["n_lines"]) for k, r in got.items()} == {2: ("info", 2), 4: ("error", 2)}
+    assert got[2]["message"] == "x\n  more" and got[4]["message"] == "y\n17 errors generated."
+    assert head("Feb 30 10:00:00 h a: info: x", 2025)[0] is None
+    assert head("Feb 3 10:00:00 h a: info: x", None)[0] is None
+
+
+LINES = [
+    "2024-01-01 10:00:00: error: use of undeclared identifier x in this scope",
+    "a.cpp:1:2: y: error: use of undeclared identifier x in this scope",
+    "a.cpp:1:2 error: use of undeclared identifier x in this scope",
+    "ERROR: wArn: bar baz qux",
+    "ERROR: mEow: bar baz qux",
+    '{"level": "warn", "msg": "a \\"b\\" c", "ts": 1751317237}',
+    '{"level": "odd", "msg": "a", "ts": 1751317237}',
+    "W0630 21:00:37.407490 18357 batcher.cc:665] x",
+    "time=2025-06-30T21:00:37Z level=notice component=cmake msg=abc",
+    "Jun 30 21:00:37 box4 repair-agent[10136]: debug: l'index d'entrées",
+    """it's: "don't" 'a' "b": 'c': x/y "z""w": 1""",
+    "2025-13-77 21:00:37 INFO [main] a - no such day",
+]
+
+
+def test_fields_do_not_depend_on_other_lines(spark):
+    """Every line gives alone what it gives among all others, in any order."""
+    def found(texts):
+        heads = parse_heads(spark, log_lines(spark, blocks(spark, texts)))
+        return {texts[r["record_id"]]: (r["entry_time"], r["log_level"], r["component"], r["message"]) for r in heads.collect()}
+
+    together = found(LINES)
+    assert together == found(LINES[::-1])
+    assert together == {x: h for x in LINES if (h := head(x, 2025))}
+    assert together[LINES[0]][0] == "2024-01-01 10:00:00" and together[LINES[3]][1] == "warn" and together[LINES[4]][1] == "error" and LINES[6] not in together
+
+
+def test_shapes_keep_tokens(spark):
+    rows = spark.createDataFrame([(x,) for x in LINES], "line string").select(clean(F.col("line")).alias("t")).select("t", mask(F.col("t")).alias("shape")).collect()
+    for r in rows:
+        assert len(TOKEN.findall(r["t"])) == len(TOKEN.findall(r["shape"])), r
+        assert (layout(r["t"]) is None) == (head(r["t"], 2025) is None) or "odd" in r["t"]
+
+
+def test_templates_tell_components_from_messages(spark):
+    """A word behind the level is a component where few words stand there, else it begins the message."""
+    few = [f"2025-01-01 00:00:{i % 60:02d} INFO {'store cache'.split()[i % 2]} opened file {i}" for i in range(60)]
+    many = [f"2025-01-01 00:00:{i % 60:02d} WARN {chr(97 + i % 26)}{chr(97 + i // 26)}x is not known here today" for i in range(60)]
+    heads = parse_heads(spark, log_lines(spark, blocks(spark, few + many))).collect()
+    assert {r["component"] for r in heads if r["log_level"] == "info"} == {"store", "cache"}
+    warned = [r for r in heads if r["log_level"] == "warn"]
+    assert len(warned) == 60 and all(r["component"] is None and r["message"].endswith("is not known here today") for r in warned)
+    shapes, layouts = template_tree(spark, log_lines(spark, blocks(spark, few + many)))
+    assert layouts.where("template like '%<*>%'").agg(F.sum("n")).first()[0] == 60 and shapes.count() > layouts.count()
 
 
 def test_edge_cases(spark, table_dir):
