@@ -1,17 +1,20 @@
 """Near-duplicate records with small edits: a MinHash LSH forest with exact verification.
 
 1. Every text becomes its set of word shingles; equal sets are one class, represented by its smallest id.
-2. Each representative gets one signature per tree; the sorted signatures of a tree are a prefix trie.
-   A pair meets where it shares a prefix. Prefixes are shortened, one hash at a time from the full depth,
-   until the recall at the threshold, 1 - (1 - s^depth)^trees, reaches the target.
-3. Pairs that meet are screened by their signatures (a bound of six standard deviations below the threshold) and
-   verified on the whole shingle sets.
-4. Components of the verified links are the groups; copies join through their class.
+2. Each representative gets one key per tree, ``DEPTH`` minima one after the other; the sorted keys of a tree are a
+   prefix trie. Keys that share with no other key even the shortest prefix are left out at once.
+3. Matched prefixes are shortened from the full depth. At each depth the records of a prefix are compared, those of
+   different groups only, and linked records join to groups. A prefix is shortened further only while the wider prefix
+   holds records of different groups; so what the deep prefixes have settled, copies with few edits above all, is never
+   compared again, and the descent ends early where nothing is open. The shortest prefix is that at which the expected
+   recall of links at the threshold, 1 - (1 - s^depth)^trees, reaches ``TARGET_RECALL``.
+4. Pairs are screened by their signatures (a bound of six standard deviations below the threshold) and verified on the
+   whole shingle sets. Components of the verified links are the groups; copies join through their class.
 
 A prefix that few records share gives its pairs directly. One that many share (``PAIR_BOUND``) is resolved
 by pivots: all members are verified against one, those near it leave, and only what the triangle
-inequality of the Jaccard distance allows is compared further; the rest goes on with more pivots. So no bucket is cut and none is quadratic
-in its near copies.
+inequality of the Jaccard distance allows is compared further, spread over salted keys; the rest goes on with more
+pivots. So no bucket is cut and none is quadratic in its near copies.
 
 Null and blank texts belong to no group. Texts with fewer words than a shingle are alike only if their words
 are equal. Repeated ids count once. Extra columns are not read.
@@ -31,20 +34,19 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..tables import Stage, load
 
-TREES, DEPTH, TARGET_RECALL = 48, 6, 0.999
+TREES, DEPTH, TARGET_RECALL = 48, 8, 0.999
 #: Members of a prefix up to which their pairs are listed; larger prefixes go through pivots.
 PAIR_BOUND = 512
 #: Pivots per round of such a prefix, from the second round on.
 PIVOTS = 32
+#: Records near a pivot that one task compares with those farther off.
+SALT_ROWS = 1024
 _WORD = re.compile(r"\w+")
 
 
-def stop_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix, shortened from ``depth``, at which the expected recall reaches ``target``."""
-    d = depth
-    while d > 1 and 1 - (1 - threshold**d) ** trees < target:
-        d -= 1
-    return d
+def recall(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that two records of this similarity share a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 class Shingler:
@@ -91,28 +93,23 @@ def sketch(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def _signatures(words: int, prefix: int):
+def _signatures(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         a, b = _coefficients(TREES * DEPTH)
         for pdf in batches:
             n = len(pdf)
             lo, hi = np.empty(n, np.int64), np.empty(n, np.int64)
-            sigs, prefixes = [], []
-            memo: dict[int, tuple] = {}
+            sigs = []
+            memo: dict[int, bytes] = {}
             for i, text in enumerate(pdf["body"]):
                 s = shingler(text)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 lo[i], hi[i] = np.array([d & (2**64 - 1), d >> 64], dtype=np.uint64).view(np.int64)
                 if d not in memo:
-                    m = sketch(s, a, b)
-                    forest = m.reshape(TREES, DEPTH)
-                    keys = np.array([xxhash.xxh3_64_intdigest(forest[t, :prefix].tobytes(), seed=t) for t in range(TREES)], dtype=np.uint64).view(np.int64)
-                    memo[d] = ((m & np.uint32(255)).astype(np.uint8).tobytes(), keys)
-                sig, keys = memo[d]
-                sigs.append(sig)
-                prefixes.append(keys)
-            yield pd.DataFrame({"id": pdf["id"], "lo": lo, "hi": hi, "sig": sigs, "prefixes": prefixes})
+                    memo[d] = sketch(s, a, b).astype(">u2").tobytes()  # the low halves of the minima
+                sigs.append(memo[d])
+            yield pd.DataFrame({"id": pdf["id"], "lo": lo, "hi": hi, "sig": sigs})
 
     return run
 
@@ -128,14 +125,14 @@ def _sets(words: int):
 
 def _screen(threshold: float):
     n = TREES * DEPTH
-    # equal bytes come by chance as well, which only raises the share
+    # equal halves come by chance as well, which only raises the share
     least = threshold - 6 * (threshold * (1 - threshold) / n) ** 0.5
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.frombuffer(b"".join(pdf["sa"]), dtype=np.uint8).reshape(-1, n)
-                y = np.frombuffer(b"".join(pdf["sb"]), dtype=np.uint8).reshape(-1, n)
+                x = np.frombuffer(b"".join(pdf["sa"]), dtype=np.uint16).reshape(-1, n)
+                y = np.frombuffer(b"".join(pdf["sb"]), dtype=np.uint16).reshape(-1, n)
                 yield pdf.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
 
     return run
@@ -158,37 +155,73 @@ class Forest:
         self.spark, self.words, self.threshold, self.pair_bound = spark, words, threshold, pair_bound
         self.items = items.where("id is not null and body is not null").where(F.col("body").rlike(r"\S"))
         self.st = Stage(spark, "forest")
-        prefix = stop_depth(threshold)
-        rows = self.items.mapInPandas(_signatures(words, prefix), "id long, lo long, hi long, sig binary, prefixes array<long>")
-        self.rows = self.st.put(rows)
+        self.rows = self.st.put(self.items.mapInPandas(_signatures(words), "id long, lo long, hi long, sig binary"))
         self.members = self.rows.select("id", "lo", "hi")
         classes = self.rows.groupBy("lo", "hi").agg(F.min("id").alias("rep"))
         self.classes = self.st.put(classes)
-        self.reps = self.rows.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi")
+        self.reps = self.rows.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig")
+        self.sets = None
+        self.tried = None
+
+    def shingles(self, ids: DataFrame) -> DataFrame:
+        """The shingle sets of ``ids`` and of all asked for before; each text is read once."""
+        new = ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti")
+        made = self.st.put(self.items.select("id", "body").join(new, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sets(self.words), "id long, shingles binary"))
+        self.sets = made if self.sets is None else self.sets.union(made)
+        return self.sets
 
     def verify(self, pairs: DataFrame, keep: float | None) -> DataFrame:
         """(a, b, sim) on the whole shingle sets; only pairs that can reach ``keep``, all pairs without."""
         if keep is not None:
-            sig = self.reps.select("id", "sig")
-            joined = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
+            joined = pairs.join(self.reps.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(self.reps.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
             pairs = joined.mapInPandas(_screen(keep), "a long, b long")
-        pairs = self.st.put(pairs.distinct())
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = self.st.put(self.items.select("id", "body").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sets(self.words), "id long, shingles binary"))
+        pairs = self.st.put(pairs)
+        sets = self.shingles(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "xb"}), "b")
         return self.st.put(both.mapInPandas(_similarity, "a long, b long, sim double"))
 
+    def trie(self, shortest: int) -> DataFrame:
+        """(bucket, key, id) of all keys that share their shortest prefix with another: sorted, so that prefixes lie together."""
+        size = 2 * DEPTH
+        at = F.col("tree") * size + 1
+        keys = self.reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", F.xxhash64("tree", F.substring("sig", at, F.lit(2 * shortest))).alias("bucket"), F.substring("sig", at, F.lit(size)).alias("key"))
+        keys = self.st.put(keys)
+        shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        out = self.st.put(keys.join(shared, "bucket", "left_semi"), "bucket", "key")
+        self.st.drop(keys)
+        return out
+
     def links(self) -> DataFrame:
-        """(a, b, sim) of representatives that are alike."""
-        entries = self.st.put(self.reps.select("id", F.explode("prefixes").alias("bucket")))
-        sizes = self.st.put(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1"))
-        pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        some = entries.join(sizes.where(f"n > 2 and n <= {self.pair_bound}").select("bucket"), "bucket")
-        pairs = pairs.union(some.select("bucket", F.col("id").alias("a")).join(some.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b"))
-        found = self.verify(pairs.distinct(), self.threshold).where(F.col("sim") >= self.threshold)
-        big = sizes.where(F.col("n") > self.pair_bound).select("bucket")
-        if not big.isEmpty():
-            found = found.union(self._pivots(entries.join(big, "bucket")))
+        """(a, b, sim) of representatives that are alike, enough of them to connect every group."""
+        shortest = next((d for d in range(DEPTH, 0, -1) if recall(self.threshold, d) >= TARGET_RECALL), 1)
+        trie, found, groups = self.trie(shortest), None, None
+        for depth in range(DEPTH, shortest - 1, -1):
+            here = trie.select("bucket", "id", F.substring("key", 1, 2 * depth).alias("prefix"))
+            here = here.withColumn("g", F.col("id")) if groups is None else here.join(groups, "id", "left").withColumn("g", F.coalesce("root", "id")).drop("root")
+            # what one group holds alone is settled
+            sizes = here.groupBy("bucket", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1")
+            open_ = self.st.put(here.join(sizes.select("bucket", "prefix", "n"), ["bucket", "prefix"]))
+            if depth == shortest or not open_.isEmpty():
+                new = self._compare(open_, groups)
+                found = new if found is None else found.union(new)
+                if not new.isEmpty():
+                    groups = self.st.put(connected_components(self.spark, found).withColumnRenamed("node", "id"))
+            self.st.drop(open_)
+        return found
+
+    def _compare(self, open_: DataFrame, groups: DataFrame | None) -> DataFrame:
+        """Verified links between different groups within prefixes."""
+        few = open_.where(F.col("n") <= self.pair_bound)
+        a, b = few.select("bucket", "prefix", F.col("id").alias("a"), F.col("g").alias("ga")), few.select("bucket", "prefix", F.col("id").alias("b"), F.col("g").alias("gb"))
+        pairs = a.join(b, ["bucket", "prefix"]).where("a < b and ga <> gb").select("a", "b").distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = self.st.put(pairs)
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        found = self.verify(pairs, self.threshold).where(F.col("sim") >= self.threshold)
+        many = open_.where(F.col("n") > self.pair_bound)
+        if not many.isEmpty():
+            found = found.union(self._pivots(many.select(F.xxhash64("bucket", "prefix").alias("bucket"), "id", "g")))
         return found
 
     def _pivots(self, active: DataFrame) -> DataFrame:
@@ -198,16 +231,20 @@ class Forest:
         active = self.st.put(active)
         while not active.isEmpty():
             part = F.pmod(F.xxhash64("id", F.lit(rounds)), F.lit(PIVOTS if rounds else 1))
-            pivot = active.groupBy("bucket", part.alias("part")).agg(F.min("id").alias("p")).select("bucket", "p")
-            spokes = self.st.put(active.join(pivot, "bucket").where("id <> p").select("bucket", "p", "id"))
+            pivot = active.groupBy("bucket", part.alias("part")).agg(F.min(F.struct(F.col("id").alias("p"), F.col("g").alias("pg"))).alias("s")).select("bucket", "s.p", "s.pg")
+            spokes = self.st.put(active.join(pivot, "bucket").where("id <> p").select("bucket", "p", "pg", "id", "g"))
             # what the screen leaves out is farther than twice the distance allowed
             sims = self.verify(spokes.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), 1 - 2 * far)
             at = spokes.join(sims, (F.least("p", "id") == sims["a"]) & (F.greatest("p", "id") == sims["b"])).where(F.col("sim") >= 1 - 2 * far - eps)
-            at = self.st.put(at.select("bucket", "p", "id", "a", "b", "sim", (F.col("sim") >= self.threshold).alias("near")))
+            at = self.st.put(at.select("bucket", "p", "pg", "id", "g", "a", "b", "sim", (F.col("sim") >= self.threshold).alias("near")))
             links = at.where("near").select("a", "b", "sim")
             near = at.where("near").select("bucket", "p", F.col("id").alias("x"), F.col("sim").alias("sx"))
-            gray = at.where("not near").select("bucket", "p", F.col("id").alias("y"), F.col("sim").alias("sy"))
-            cross = near.join(gray, ["bucket", "p"]).where(F.col("sx") - F.col("sy") <= far + eps).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            # all that is near the pivot is one group now; what belonged to it before needs no more links to it
+            gray = at.where("not near and g <> pg").select("bucket", "p", F.col("id").alias("y"), F.col("sim").alias("sy"))
+            parts = near.groupBy("bucket", "p").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
+            near = near.join(parts, ["bucket", "p"]).withColumn("salt", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+            gray = gray.join(parts, ["bucket", "p"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            cross = near.join(gray, ["bucket", "p", "salt"]).where(F.col("sx") - F.col("sy") <= far + eps).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             links = links.union(self.verify(cross.distinct(), self.threshold).where(F.col("sim") >= self.threshold))
             found = self.st.put((links if found is None else links.union(found)).distinct())
             left = near.select("bucket", F.col("x").alias("id")).union(pivot.select("bucket", F.col("p").alias("id")))
@@ -217,7 +254,7 @@ class Forest:
 
     def groups(self) -> DataFrame:
         """(id, class_id, group_id) of every record with text. Links are not counted: which are verified depends on the sizes of prefixes."""
-        links = self.st.put(self.links().distinct())
+        links = self.st.put(self.links().select("a", "b").distinct())
         roots = connected_components(self.spark, links)
         c = self.classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         c = c.select("lo", "hi", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"))

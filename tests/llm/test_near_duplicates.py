@@ -4,7 +4,8 @@ import pytest
 
 pytest.importorskip("sparkwright.llm")
 
-from sparkwright.llm.near_duplicates import TREES, near_duplicate_groups, stop_depth  # noqa: E402
+from sparkwright.llm import near_duplicates  # noqa: E402
+from sparkwright.llm.near_duplicates import DEPTH, Forest, near_duplicate_groups, recall  # noqa: E402
 
 
 def texts(seed, n):
@@ -39,9 +40,47 @@ def brute(rows, k, threshold):
     return sorted(sorted(i for i in par if find(i) == r) for r in {find(i) for i in par})
 
 
-def test_depth():
-    d = stop_depth(0.7)
-    assert 1 - (1 - 0.7**d) ** TREES >= 0.999 > 1 - (1 - 0.7 ** (d + 1)) ** TREES
+def test_recall_of_prefixes():
+    assert [recall(0.7, d) > recall(0.7, d + 1) for d in range(1, DEPTH)] == [True] * (DEPTH - 1)
+    assert recall(0.7, 5) >= 0.999 > recall(0.7, 6) and recall(0.8, 5) > 0.999
+
+
+def near_pairs(rows, k, threshold):
+    sets = [(i, {tuple(w[j : j + k]) for w in [t.split()] for j in range(len(w) - k + 1)}) for i, t in rows]
+    out = set()
+    for x in range(len(sets)):
+        for y in range(x + 1, len(sets)):
+            both = len(sets[x][1] & sets[y][1])
+            if both and both / (len(sets[x][1]) + len(sets[y][1]) - both) >= threshold and sets[x][1] != sets[y][1]:
+                out.add((sets[x][0], sets[y][0]))
+    return out
+
+
+def test_measured_recall_of_candidates(spark):
+    """Of all pairs at or above the threshold, nearly all meet in some prefix of the trie."""
+    rows = texts(11, 200)
+    f = Forest(spark, spark.createDataFrame(rows, "id long, body string"), 3, 0.7)
+    buckets = {}
+    for r in f.trie(5).collect():
+        buckets.setdefault(r["bucket"], set()).add(r["id"])
+    met = {(a, b) for m in buckets.values() for a in m for b in m if a < b}
+    true = {p for p in near_pairs(rows, 3, 0.7) if {*p} <= {r["id"] for r in f.reps.collect()}}
+    assert len(true) > 300 and len(true & met) >= 0.99 * len(true)
+
+
+def test_deep_prefixes_settle_families(spark, monkeypatch):
+    """What deep prefixes have linked is not compared again; the groups are those of the shortest prefix alone."""
+    rows = texts(7, 150)
+    compared = []
+    real = Forest._compare
+    monkeypatch.setattr(Forest, "_compare", lambda self, o, g: (compared.append(o.count()), real(self, o, g))[1])
+    items = spark.createDataFrame(rows, "id long, body string")
+    groups = lambda: sorted(map(tuple, near_duplicate_groups(spark, items, 3, 0.7).collect()))
+    stepwise = groups()
+    steps, compared[:] = list(compared), []
+    monkeypatch.setattr(near_duplicates, "DEPTH", 5)
+    assert groups() == stepwise
+    assert len(steps) > 1 and steps[-1] < compared[0] / 2
 
 
 @pytest.mark.parametrize("bound", [2, 512])
@@ -54,8 +93,9 @@ def test_groups_equal_brute_force(spark, bound):
     assert sorted(sorted(g) for g in groups.values()) == brute(rows, 3, 0.7)
 
 
-def test_all_columns_equal_whatever_the_bound(spark):
+def test_all_columns_equal_whatever_the_bound(spark, monkeypatch):
     items = spark.createDataFrame(texts(5, 160), "id long, body string")
+    monkeypatch.setattr(near_duplicates, "SALT_ROWS", 3)
     few, many = (sorted(map(tuple, near_duplicate_groups(spark, items, 3, 0.7, pair_bound=b).collect())) for b in (2, 512))
     assert few == many
 
