@@ -98,20 +98,26 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 
 
 # ------------------------------------------------------------------ masking, in the engine
+def _where(line: Column, sign: str, changed: Column) -> Column:
+    """``changed`` only where the sign occurs: a search for a sign costs less than one for a pattern."""
+    return F.when(F.contains(line, F.lit(sign)), changed).otherwise(line)
+
+
 def clean(line: Column) -> Column:
     """The line without colours, byte order marks and outer white space."""
-    return F.regexp_replace(F.regexp_replace(line, ANSI, ""), r"(?U)^[\s\x{FEFF}]+|\s+$", "")
+    return F.regexp_replace(_where(line, "\x1b", F.regexp_replace(line, ANSI, "")), r"^(?U:[\s\x{FEFF}]+)|(?U:\s+)$", "")
 
 
 def mask(line: Column) -> Column:
     """The shape of a clean line. Masks stay within tokens, so a shape has as many tokens as its lines."""
     levels = "|".join(sorted({w for w in LEVEL if w.isascii() and w.isalpha() and len(w) > 1}))
     # one pass over all quotes, as tokens are found; the second takes the mark behind a key off again
-    s = F.regexp_replace(line, rf"({_DOUBLE}(?=\s*:))|{_DOUBLE}|{_SINGLE}", '$1"Q"')
-    s = F.regexp_replace(s, r'""Q"(?=\s*:)', '"')
-    s = F.regexp_replace(s, r"(?<![\w.$/+@-])[\w.+@-]*/[\w./+@-]+(?![\w$])", "P")
-    s = F.regexp_replace(s, rf"(?<![A-Za-z0-9_$])(?!(?i:{levels})(?![A-Za-z0-9_$]))[A-Za-z0-9_$]*[a-z][A-Z][A-Za-z0-9_$]*", "W")
-    return F.regexp_replace(s, "[0-9]", "0")
+    quotes = F.regexp_replace(F.regexp_replace(line, rf"({_DOUBLE}(?=\s*:))|{_DOUBLE}|{_SINGLE}", '$1"Q"'), r'""Q"(?=\s*:)', '"')
+    s = F.when(F.contains(line, F.lit('"')) | F.contains(line, F.lit("'")), quotes).otherwise(line)
+    s = _where(s, "/", F.regexp_replace(s, r"(?<![\w.$/+@-])[\w.+@-]*/[\w./+@-]+(?![\w$])", "P"))
+    # names in mixed case, but for level words however they are written
+    s = F.regexp_replace(s, rf"(?<![A-Za-z0-9_$])(?=[A-Za-z0-9_$]*?[a-z][A-Z])(?!(?i:{levels})(?![A-Za-z0-9_$]))[A-Za-z0-9_$]++", "W")
+    return F.translate(s, "123456789", "000000000")
 
 
 # ------------------------------------------------------------------ times and levels
