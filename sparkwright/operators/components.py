@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from ..tables import Stage
 
 
-def connected_components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``links``; root is the smallest node of the component.
 
-    Null ends and self links are left out; repeated links count once. An empty table gives an empty one.
+    Null ends and self links are left out; repeated links count once. An empty table gives an empty one. Rounds go on
+    until the links no longer change: every round lowers the sum of the links' ends, so they do end.
     """
     st = Stage(spark, "components")
     src = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     edges = st.put(src.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u is linked to the smallest of u's neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -30,7 +31,8 @@ def connected_components(spark: SparkSession, links: DataFrame, a: str = "a", b:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = st.put(small)
-        now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        # two sums over all links tell whether any changed
+        now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u", F.lit(7)) % 998_244_353)).first())
         st.drop(edges)
         edges = new
         if now == state:

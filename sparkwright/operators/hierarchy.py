@@ -1,10 +1,12 @@
 """Parent-child links to full hierarchies: path, depth, root, descendants, cycles.
 
-Bottom-up leaf peeling sends descendant lists to the parents; the reverse peel order assigns depths
-and paths; what no peeling removes holds the cycles and is closed over by itself.
+Bottom-up leaf peeling sends descendant lists and subtree sizes to the parents; the reverse peel order assigns
+paths and depths; what no peeling removes holds the cycles, is closed over by itself and gets its paths first.
 
-Two executions of the same method: components of a bounded number of links (``MAX_LINKS``) are peeled
-inside one task each, larger ones by rounds of joins, so that no unbounded graph reaches one task.
+Two executions of the same method: graphs of a bounded number of links (``MAX_LINKS``) are peeled
+inside one task each, larger ones by rounds of joins, so that no unbounded graph reaches one task. A task holds one
+graph's descendants as bit sets, at most MAX_LINKS squared bits (50 MB), and hands on its rows in portions of
+``PORTION`` list entries.
 
 Null keys name no node, null, blank and unknown link names give no link, repeated links count once,
 a node that links to itself lies on a cycle. Extra columns of the inputs are not read. Among several
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 from ..tables import Stage, load
 
 #: Links of one (project, run) up to which the graph is peeled inside one task.
-MAX_LINKS = 100_000
+MAX_LINKS = 20_000
+#: Entries of paths and descendant lists in one batch that a task hands on.
+PORTION = 500_000
 
 NODE_SCHEMA = (
     "project string, run_id string, node_id long, path array<long>, depth int, root_id long, "
@@ -120,8 +124,8 @@ def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select("project", "run_id", "node_id", F.col("method_key").alias("node_key")), links
 
 
-def peel(parents: list[int], children: list[int]) -> list[tuple]:
-    """Rows (node, path, depth, root, descendants, on_cycle) of one graph; isolated nodes do not occur here."""
+def peel(parents: list[int], children: list[int]) -> Iterator[tuple]:
+    """Rows (node, path, depth, root, descendants, subtree size, on_cycle) of one graph; isolated nodes do not occur here."""
     ids = sorted({*parents, *children})
     at = {v: i for i, v in enumerate(ids)}
     n = len(ids)
@@ -130,7 +134,7 @@ def peel(parents: list[int], children: list[int]) -> list[tuple]:
     for p, c in {(at[p], at[c]) for p, c in zip(parents, children)}:
         down[p].append(c)
         up[c].append(p)
-    # descendants as bit sets: leaves first
+    # leaves first: each peeled node sends its descendants and itself to its parents
     desc = [0] * n
     left = [len(x) for x in down]
     ready = [i for i in range(n) if not left[i]]
@@ -154,52 +158,73 @@ def peel(parents: list[int], children: list[int]) -> list[tuple]:
             if d != desc[v]:
                 desc[v] = d
                 changed = True
-    cyclic = {v for v in residual if desc[v] >> v & 1}
-    # depth and path: reverse direction, roots first; what lies on or below a cycle never becomes ready
     depth: list[int | None] = [None] * n
     via = [-1] * n
-    left = [len(x) for x in up]
-    ready = [i for i in range(n) if not left[i]]
-    for v in ready:
+
+    def place(v: int) -> bool:
+        """Depth and parent of ``v`` from its parents, which are placed if they can be."""
+        if any(depth[p] is None for p in up[v]):
+            return False
         depth[v] = 0
+        for p in up[v]:
+            if depth[p] + 1 > depth[v] or depth[p] + 1 == depth[v] and p < via[v]:
+                depth[v], via[v] = depth[p] + 1, p
+        return True
+
+    # residual nodes have residual parents only; those above all cycles are placed, roots first
+    ready = [v for v in residual if not up[v]]
     while ready:
         v = ready.pop()
-        for c in down[v]:
-            left[c] -= 1
-            if depth[c] is None or depth[v] + 1 > depth[c] or depth[v] + 1 == depth[c] and v < via[c]:
-                depth[c], via[c] = depth[v] + 1, v
-            if not left[c]:
-                ready.append(c)
-    out = []
+        if depth[v] is None and place(v):
+            ready.extend(c for c in down[v] if left[c] and depth[c] is None)
+    # the peeled ones in reverse peel order: parents before children
+    for v in reversed(order):
+        place(v)
     for v in range(n):
         members = []
         d = desc[v]
+        size = d.bit_count()
         while d:
             low = d & -d
             members.append(ids[low.bit_length() - 1])
             d ^= low
-        if left[v]:
-            out.append((ids[v], None, None, None, members, v in cyclic))
+        if depth[v] is None:
+            yield ids[v], None, None, None, members, size, bool(desc[v] >> v & 1)
         else:
             path, x = [], v
             while x >= 0:
                 path.append(ids[x])
                 x = via[x]
-            out.append((ids[v], path[::-1], depth[v], path[-1], members, False))
-    return out
+            yield ids[v], path[::-1], depth[v], path[-1], members, size, False
 
 
 def _peel_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = ["project", "run_id", "node_id", "path", "depth", "root_id", "descendants", "n_descendants", "on_cycle"]
-    for pdf in batches:
-        rows = []
-        for project, run_id, ps, cs in zip(pdf["project"], pdf["run_id"], pdf["ps"], pdf["cs"]):
-            for v, path, depth, root, members, cyc in peel(list(ps), list(cs)):
-                rows.append((project, run_id, v, path, depth, root, members, len(members), cyc))
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=cols)
         out["depth"] = out["depth"].astype("Int32")
         out["root_id"] = out["root_id"].astype("Int64")
-        yield out
+        return out
+
+    for pdf in batches:
+        rows, held = [], 0
+        for project, run_id, ps, cs in zip(pdf["project"], pdf["run_id"], pdf["ps"], pdf["cs"]):
+            for row in peel(list(ps), list(cs)):
+                rows.append((project, run_id, *row))
+                held += row[5] + len(row[1] or ()) + 1
+                if held >= PORTION:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def _peel_rounds(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -207,24 +232,25 @@ def _peel_rounds(spark: SparkSession, links: DataFrame) -> DataFrame:
     st = Stage(spark, "peel")
     links = st.put(links)
     where = st.put(links.select("project", "run_id", F.explode(F.array("parent", "child")).alias("v")).distinct())
-    # bottom up: pairs (anc, des), leaves first
+    # bottom up: pairs (a, d), leaves first; every round adds a part and reads those of the children peeled just before
     rest = links.select("parent", "child")
-    done = None
-    closure = None
+    parts: list[DataFrame] = []
     while True:
         inner = rest.select(F.col("parent").alias("child")).distinct()
-        leafy = rest.join(inner, "child", "left_anti")
-        leafy = st.put(leafy)
+        leafy = st.put(rest.join(inner, "child", "left_anti"))
         if leafy.isEmpty():
             break
         new = leafy.select(F.col("parent").alias("a"), F.col("child").alias("d"))
-        if closure is not None:
-            new = new.union(leafy.join(closure, leafy["child"] == closure["a"]).select(leafy["parent"].alias("a"), "d"))
-        closure_next = new if closure is None else closure.union(new)
-        old, closure = closure, st.put(closure_next.distinct())
-        st.drop(old)
+        for p in parts:
+            new = new.union(leafy.join(p, leafy["child"] == p["a"]).select(leafy["parent"].alias("a"), "d"))
+        parts.append(st.put(new.distinct()))
+        if len(parts) > 12:  # bounds the plan of a deep graph
+            old, parts = parts, [st.put(_all(parts))]
+            for p in old:
+                st.drop(p)
         old, rest = rest, st.put(rest.join(inner, "child", "left_semi").select("parent", "child"))
         st.drop(old)
+    closure = st.put(_all(parts).distinct()) if parts else None
     # residual links: closed over semi-naively, starting from what is known below them
     if not rest.isEmpty():
         base = rest.select(F.col("parent").alias("a"), F.col("child").alias("d"))
@@ -237,22 +263,23 @@ def _peel_rounds(spark: SparkSession, links: DataFrame) -> DataFrame:
             delta = st.put(step.join(total, ["a", "d"], "left_anti"))
             total = st.put(total.union(delta))
         closure = total
-    # top down: depth and path by rounds
-    placed = None
+    # top down, the reverse of the peel order: each round places the nodes whose parents are all placed
     rest = links.select("parent", "child")
     roots = rest.select(F.col("parent").alias("v")).distinct().join(rest.select(F.col("child").alias("v")).distinct(), "v", "left_anti")
     front = st.put(roots.select("v", F.array("v").alias("path")))
-    best = front
+    placed = [front]
+    best = st.put(spark.createDataFrame([], "child long, o struct<n: int, tie: long, path: array<long>>"))
     while not front.isEmpty():
-        placed = front if placed is None else st.put(placed.union(front))
-        open_parents = rest.join(front.select(F.col("v").alias("parent")), "parent", "left_anti")
         offered = rest.join(front.withColumnRenamed("v", "parent"), "parent").select("child", F.struct(F.size("path").alias("n"), (-F.col("parent")).alias("tie"), "path").alias("o"))
-        best = st.put(offered.union(best.select(F.col("child"), "o")) if "o" in best.columns else offered)
-        best = st.put(best.groupBy("child").agg(F.max("o").alias("o")))
-        rest = st.put(open_parents)
+        best = st.put(offered.union(best).groupBy("child").agg(F.max("o").alias("o")))
+        rest = st.put(rest.join(front.select(F.col("v").alias("parent")), "parent", "left_anti"))
         ready = best.join(rest.select("child").distinct(), "child", "left_anti")
         front = st.put(ready.select(F.col("child").alias("v"), F.concat(F.col("o.path"), F.array("child")).alias("path")))
         best = st.put(best.join(front.select(F.col("v").alias("child")), "child", "left_anti"))
+        placed.append(front)
+        if len(placed) > 12:
+            placed = [st.put(_all(placed))]
+    placed = _all(placed)
     lists = closure.groupBy(F.col("a").alias("v")).agg(F.sort_array(F.collect_set("d")).alias("descendants"))
     out = where.join(placed, "v", "left").join(lists, "v", "left")
     desc = F.coalesce("descendants", F.array().cast("array<long>"))

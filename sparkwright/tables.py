@@ -18,10 +18,13 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for intermediate data, ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset and the session runs on one machine, as in tests, a temporary folder is made and set; on a
+    cluster no executor could read another's folder, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sparkwright-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -40,8 +40,10 @@ def test_peel_against_brute_force():
         edges = {(rng.randrange(k), rng.randrange(k)) for _ in range(rng.randrange(1, 20))}
         rows = peel([a for a, _ in edges], [b for _, b in edges])
         want = brute(edges)
-        for v, path, depth, root, desc, cyc in rows:
-            assert set(desc) == want[v] and cyc == (v in want[v]), (n, edges)
+        for v, path, depth, root, desc, size, cyc in rows:
+            assert set(desc) == want[v] and size == len(desc) and cyc == (v in want[v]), (n, edges)
+            below_cycle = any(v in want[c] and c in want[c] for c in want)
+            assert (path is None) == below_cycle, (n, edges)
             if path:
                 assert path[0] == root and path[-1] == v and len(path) == depth + 1
                 assert all((a, b) in edges for a, b in zip(path, path[1:]))
@@ -51,14 +53,30 @@ def test_peel_against_brute_force():
 @pytest.mark.parametrize("bound", [0, 100_000])
 def test_both_executions_agree(spark, bound):
     rng = random.Random(5)
-    rows = {("p", f"r{g}", 100 * g + rng.randrange(9), 100 * g + rng.randrange(9)) for g in range(3) for _ in range(9)}
+    ring = {("p", "ring", 900 + i, 900 + (i + 1) % 4) for i in range(4)}
+    rows = ring | {("p", f"r{g}", 100 * g + rng.randrange(9), 100 * g + rng.randrange(9)) for g in range(3) for _ in range(9)}
     got = hierarchies(spark, spark.createDataFrame(sorted(rows), "project string, run_id string, parent long, child long"), bound).collect()
     want = brute({(a, b) for _, _, a, b in rows})
     assert {r["node_id"]: set(r["descendants"]) for r in got} == want
-    mine = {x[0]: x for g in range(3) for x in peel([a for _, r, a, _ in rows if r == f"r{g}"], [b for _, r, _, b in rows if r == f"r{g}"])}
+    mine = {x[0]: x for g in ("r0", "r1", "r2", "ring") for x in peel([a for _, r, a, _ in rows if r == g], [b for _, r, _, b in rows if r == g])}
     for r in got:
         v = mine[r["node_id"]]
-        assert (r["path"], r["depth"], r["root_id"], r["on_cycle"]) == (v[1], v[2], v[3], v[5])
+        assert (r["path"], r["depth"], r["root_id"], r["on_cycle"]) == (v[1], v[2], v[3], v[6])
+
+
+def test_a_ring_alone_by_rounds(spark):
+    got = hierarchies(spark, spark.createDataFrame([("p", "r", i, (i + 1) % 3) for i in range(3)], "project string, run_id string, parent long, child long"), 0).collect()
+    assert {(r["node_id"], tuple(r["descendants"]), r["on_cycle"], r["path"], r["depth"]) for r in got} == {(i, (0, 1, 2), True, None, None) for i in range(3)}
+
+
+def test_portions_hold_all_rows(spark, monkeypatch):
+    from sparkwright.operators import hierarchy
+
+    monkeypatch.setattr(hierarchy, "PORTION", 7)
+    edges = [(i, i + 1) for i in range(40)]
+    frame = hierarchy.pd.DataFrame({"project": ["p"], "run_id": ["r"], "ps": [[a for a, _ in edges]], "cs": [[b for _, b in edges]]})
+    parts = list(hierarchy._peel_batches(iter([frame])))
+    assert len(parts) > 20 and sum(map(len, parts)) == 41 and max(p["n_descendants"].sum() for p in parts) < 100
 
 
 def test_edge_cases(spark, table_dir):
