@@ -16,8 +16,8 @@ Words are runs of letters or digits of the NFKC form without default-ignorable c
 Null and empty texts and passages match nothing; passages shorter than ``min_words`` never match; repeated
 documents are matched each for itself. Extra columns are not read.
 
-The held-out table is given whole to each task (a fixed table of bounded size, ``MAX_TEST_WORDS``, checked);
-the corpus is never gathered: postings stay partitioned by document.
+The held-out passages are given to each task in blocks of bounded size (``BLOCK_WORDS``, counted): the fixed table is one
+block, a larger one is searched block by block. The corpus is never gathered: postings stay partitioned by document.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from ..tables import Stage, load
 MIN_WORDS = 13
 #: Proximity: the least words of a run, and the most words between two runs in the text and in the passage.
 NEAR_RUN, NEAR_GAP = 3, 2
-#: Words of all passages together that may be sent to every task (some 40 MB).
-MAX_TEST_WORDS = 2_000_000
+#: Words of passages that are sent to every task at a time (some 40 MB).
+BLOCK_WORDS = 2_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 # Ranges of characters that are ignored when shown.
 _IGNORED = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
@@ -229,11 +229,15 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, min_words
     """Every maximal phrase match of ``docs`` (doc_id, body) with ``items`` (item_id, passage), on demand the proximity matches too, see ``MATCHES``."""
     held = items.where("item_id is not null and passage is not null").select("item_id", "passage").distinct()
     size = held.agg(F.coalesce(F.sum(F.size(F.split("passage", r"[^\p{L}\p{N}]+"))), F.lit(0))).first()[0]
-    if size > MAX_TEST_WORDS:
-        raise ValueError(f"the passages hold {size} words; up to {MAX_TEST_WORDS} can be sent to every task: match them in parts")
-    passages = Passages([(r[0], r[1]) for r in held.collect()], min_words)
-    index = Stage(spark, "postings").put(docs.where("doc_id is not null and body <> ''").mapInPandas(_index_batches(passages.vocabulary), POSTINGS))
-    return index.groupBy("part").applyInPandas(_match_part(passages, proximity), MATCHES)
+    docs = docs.where("doc_id is not null and body <> ''")
+    out, blocks = None, 1 + 2 * int(size // BLOCK_WORDS)  # by hash, so a block may well be half as large again as the mean
+    for k in range(blocks):
+        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k)
+        passages = Passages([(r[0], r[1]) for r in part.collect()], min_words)
+        index = Stage(spark, "postings").put(docs.mapInPandas(_index_batches(passages.vocabulary), POSTINGS))
+        found = index.groupBy("part").applyInPandas(_match_part(passages, proximity), MATCHES)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _p8(spark: SparkSession, sf_dir: str, proximity: bool) -> DataFrame:
