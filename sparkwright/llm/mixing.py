@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Tokens are counted once per document and aggregated per source; repetition rates follow from them; each
-document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as probability.
+document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as probability, a row a copy.
 A draw depends on the document's id and the seed only: a lost task draws again the same.
 
 The total size is free. Among the totals at which some source meets its cap (``max_repeats`` times its tokens) the one is
@@ -21,19 +21,18 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..tables import Stage, load
+from ..tables import Stage, load, small
 
 #: Folder of the public tokenizers' files, and the vocabulary used; both are parameters of ``mix``.
 TOKENIZER_DIR = os.environ.get("SPARKWRIGHT_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 SEED = 20240229
-#: Sources with targets that the driver may hold; counted.
-MAX_SOURCES = 10_000
 # Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -67,15 +66,16 @@ def rates(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict
     norm = sum(share.values()) or 1.0
     share = {s: x / norm for s, x in share.items()}
     cap = {s: tokens.get(s, 0) * max(0, r) for s, (_, r) in targets.items()}
-    totals = sorted({cap[s] / share[s] for s in share if share[s] > 0 and cap[s] > 0})
+    names = sorted(share)
+    want, most = np.array([share[s] for s in names]), np.array([float(cap[s]) for s in names])
     best = None
-    for total in totals:
-        used = {s: min(cap[s], share[s] * total) for s in share}
-        size = sum(used.values())
-        miss = round(sum(abs(used[s] / size - share[s]) for s in share), 9) if size else 2.0
+    for total in sorted({float(m / w) for w, m in zip(want, most) if w > 0 and m > 0}):
+        used = np.minimum(most, want * total)
+        size = float(used.sum())
+        miss = round(float(np.abs(used / size - want).sum()), 9)
         if best is None or (miss, -size) < (best[0], -best[1]):
             best = (miss, size, used)
-    used = best[2] if best else {}
+    used = dict(zip(names, best[2].tolist())) if best else {}
     return {s: used.get(s, 0.0) / tokens[s] if tokens.get(s) else 0.0 for s in share}
 
 
@@ -94,14 +94,12 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, tokenizer_path
     t = targets.where("source is not null").select(source_key(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     t = t.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     tokens = counted(spark, docs, tokenizer_path)
-    if t.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources have targets")
     have = t.join(tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")), "source", "left").collect()
     rate = rates({r["source"]: r["n"] or 0 for r in have}, {r["source"]: (r["target_share"], r["max_repeats"]) for r in have})
     table = spark.createDataFrame([(r["source"], float(r["target_share"]), int(r["max_repeats"]), float(rate[r["source"]]), int(r["n"] or 0)) for r in have], "source string, target_share double, max_repeats int, rate double, available_tokens long")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**40)) / float(2**40)
     rate_c = F.col("rate")
-    copies = tokens.join(F.broadcast(table.select("source", "rate", "max_repeats")), "source").select(
+    copies = tokens.join(small(table.select("source", "rate", "max_repeats")), "source").select(
         "doc_id", "source", "n_tokens", (F.floor(rate_c) + F.when((draw < rate_c - F.floor(rate_c)) & (F.floor(rate_c) < F.col("max_repeats")), 1).otherwise(0)).cast("int").alias("n_copies")
     )
     sums = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("used_tokens"), F.sum(F.col("n_copies").cast("long")).alias("used_docs"), F.max("n_copies").alias("most_copies"))
@@ -114,9 +112,9 @@ def mix(spark: SparkSession, docs: DataFrame, targets: DataFrame, tokenizer_path
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen documents: one row per document with its number of copies (left out at none)."""
+    """The chosen documents, each emitted as often as it is used: a row a copy, numbered from 1."""
     copies, _ = mix(spark, load(spark, sf_dir, "documents", "doc_id", "source", "text"), load(spark, sf_dir, "mixture_targets"))
-    return copies.where("n_copies > 0")
+    return copies.where("n_copies > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
