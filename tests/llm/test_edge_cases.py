@@ -71,4 +71,5 @@ def test_mixture(spark, dirty):
     shares = {r["source"]: r for r in queries.QUERIES["p9_shares"](spark, dirty).collect()}
     assert set(shares) == {"web_pages", "other", "nowhere"} and shares["nowhere"]["used_tokens"] == 0
     copies = queries.QUERIES["p9_mixture"](spark, dirty).collect()
-    assert all(1 <= r["n_copies"] <= shares[r["source"]]["max_repeats"] for r in copies)
+    assert all(1 <= r["copy_no"] <= shares[r["source"]]["max_repeats"] for r in copies)
+    assert {s: sum(r["n_tokens"] for r in copies if r["source"] == s) for s in shares} == {s: r["used_tokens"] for s, r in shares.items()}

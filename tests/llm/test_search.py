@@ -7,6 +7,7 @@ pytest.importorskip("sparkwright.llm")
 
 from sparkwright.llm.leakage import NEAR_GAP, NEAR_RUN, find_leaks, p8_found, p8_items, p8_matches, words  # noqa: E402
 from sparkwright.llm.mixing import rates  # noqa: E402
+from sparkwright.llm import leakage, truncation  # noqa: E402
 from sparkwright.llm.truncation import BackwardModel, final, language, state, valley  # noqa: E402
 
 
@@ -119,12 +120,31 @@ def test_states():
 
 def test_backward_model():
     whole = [f"The reader number {i} waits until the side has closed.\n\n```cpp\nvoid f{i}() {{\n    g({i});\n}}\n```" + ("\n\nDone" if i % 5 == 0 else "\n\nThe buffer is shared by all open files.") for i in range(400)]
-    m = BackwardModel().fit(whole)
+    m = BackwardModel()
+    for t in whole:
+        m.add(t)
     assert all(m.log_odds(final(t)[0]) > -3 for t in whole)
     cut = [t[: len(t) - 12] for t in whole if not t.endswith("Done")]
     assert sum(m.log_odds(final(t)[0]) < -3 for t in cut) / len(cut) > 0.95
 
 
+def test_counts_cover_all_rows_and_have_a_bound(spark):
+    whole = [("a", f"The reader number {i} waits until the side has closed.") for i in range(50)] + [("b", f"x{i}();\n}}") for i in range(20)]
+    models = truncation.fit(spark.createDataFrame(whole, "record_kind string, body string").repartition(5))
+    assert models["a"]["P0|"][0] == 50 and models["a"]["P0|closed."][0] == 50 and models["b"]["C00|}"][0] == 20
+    assert abs(models["a"]["P0|"][1] - sum(len(t) - 1 for k, t in whole if k == "a")) < 1e-6
+    assert sum(len(m) for m in models.values()) <= sum((truncation.ORDER + 1) * (1 + len(t) / 20) for _, t in whole) / truncation.LEAST_SUPPORT + 60
+
+
+def test_passages_in_blocks(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{j}" for j in range(i, i + 20))) for i in range(0, 200, 5)]
+    items = [(i, " ".join(f"w{j}" for j in range(i, i + 16))) for i in range(0, 190, 7)]
+    find = lambda: sorted(map(tuple, find_leaks(spark, spark.createDataFrame(docs, "doc_id long, body string"), spark.createDataFrame(items, "item_id long, passage string")).collect()))
+    whole = find()
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
+    assert find() == whole and len(whole) > 20
+
+
 def test_language_votes_on_whole_texts():
     assert language("int x; " * 800 + "the end " + "der Leser wartet und die Seite ist nicht offen " * 5) == "de"
 
