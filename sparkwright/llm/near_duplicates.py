@@ -32,15 +32,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..tables import Stage, load
+from ..tables import Stage, load, small
 
-TREES, DEPTH, TARGET_RECALL = 48, 8, 0.999
+TREES, DEPTH, TARGET_RECALL = 48, 7, 0.999
+#: Minima by which a matched prefix is shortened at a time.
+STEP = 2
 #: Members of a prefix up to which their pairs are listed; larger prefixes go through pivots.
-PAIR_BOUND = 512
+PAIR_BOUND = 2048
 #: Pivots per round of such a prefix, from the second round on.
-PIVOTS = 32
+PIVOTS = 256
 #: Records near a pivot that one task compares with those farther off.
 SALT_ROWS = 1024
+#: Minima of which a byte each is kept for screening pairs.
+SCREEN = 128
+#: Ids or pairs, counted, up to which they go to the texts instead of the texts to them.
+FEW = 500_000
 _WORD = re.compile(r"\w+")
 
 
@@ -100,16 +106,18 @@ def _signatures(words: int):
         for pdf in batches:
             n = len(pdf)
             lo, hi = np.empty(n, np.int64), np.empty(n, np.int64)
-            sigs = []
-            memo: dict[int, bytes] = {}
+            sigs, keys = [], []
+            memo: dict[int, tuple[bytes, bytes]] = {}
             for i, text in enumerate(pdf["body"]):
                 s = shingler(text)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 lo[i], hi[i] = np.array([d & (2**64 - 1), d >> 64], dtype=np.uint64).view(np.int64)
                 if d not in memo:
-                    memo[d] = sketch(s, a, b).astype(">u2").tobytes()  # the low halves of the minima
-                sigs.append(memo[d])
-            yield pd.DataFrame({"id": pdf["id"], "lo": lo, "hi": hi, "sig": sigs})
+                    m = sketch(s, a, b)
+                    memo[d] = (m[:SCREEN] & np.uint32(255)).astype(np.uint8).tobytes(), m.astype(">u2").tobytes()  # the low halves of the minima
+                sigs.append(memo[d][0])
+                keys.append(memo[d][1])
+            yield pd.DataFrame({"id": pdf["id"], "lo": lo, "hi": hi, "sig": sigs, "keys": keys})
 
     return run
 
@@ -124,15 +132,15 @@ def _sets(words: int):
 
 
 def _screen(threshold: float):
-    n = TREES * DEPTH
-    # equal halves come by chance as well, which only raises the share
+    n = SCREEN
+    # equal bytes come by chance as well, which only raises the share
     least = threshold - 6 * (threshold * (1 - threshold) / n) ** 0.5
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.frombuffer(b"".join(pdf["sa"]), dtype=np.uint16).reshape(-1, n)
-                y = np.frombuffer(b"".join(pdf["sb"]), dtype=np.uint16).reshape(-1, n)
+                x = np.frombuffer(b"".join(pdf["sa"]), dtype=np.uint8).reshape(-1, n)
+                y = np.frombuffer(b"".join(pdf["sb"]), dtype=np.uint8).reshape(-1, n)
                 yield pdf.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
 
     return run
@@ -155,25 +163,26 @@ class Forest:
         self.spark, self.words, self.threshold, self.pair_bound = spark, words, threshold, pair_bound
         self.items = items.where("id is not null and body is not null").where(F.col("body").rlike(r"\S"))
         self.st = Stage(spark, "forest")
-        self.rows = self.st.put(self.items.mapInPandas(_signatures(words), "id long, lo long, hi long, sig binary"))
+        self.rows = self.st.put(self.items.mapInPandas(_signatures(words), "id long, lo long, hi long, sig binary, keys binary"))
         self.members = self.rows.select("id", "lo", "hi")
         classes = self.rows.groupBy("lo", "hi").agg(F.min("id").alias("rep"))
         self.classes = self.st.put(classes)
-        self.reps = self.rows.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig")
+        self.reps = self.st.put(self.rows.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig", "keys"))
         self.sets = None
         self.tried = None
 
     def shingles(self, ids: DataFrame) -> DataFrame:
         """The shingle sets of ``ids`` and of all asked for before; each text is read once."""
-        new = ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti")
-        made = self.st.put(self.items.select("id", "body").join(new, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sets(self.words), "id long, shingles binary"))
+        new = self.st.put(ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti"))
+        made = self.st.put(self.items.select("id", "body").join(small(new, FEW), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sets(self.words), "id long, shingles binary"))
         self.sets = made if self.sets is None else self.sets.union(made)
         return self.sets
 
     def verify(self, pairs: DataFrame, keep: float | None) -> DataFrame:
         """(a, b, sim) on the whole shingle sets; only pairs that can reach ``keep``, all pairs without."""
         if keep is not None:
-            joined = pairs.join(self.reps.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(self.reps.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
+            sig = self.reps.select("id", "sig")
+            joined = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
             pairs = joined.mapInPandas(_screen(keep), "a long, b long")
         pairs = self.st.put(pairs)
         sets = self.shingles(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -184,7 +193,7 @@ class Forest:
         """(bucket, key, id) of all keys that share their shortest prefix with another: sorted, so that prefixes lie together."""
         size = 2 * DEPTH
         at = F.col("tree") * size + 1
-        keys = self.reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", F.xxhash64("tree", F.substring("sig", at, F.lit(2 * shortest))).alias("bucket"), F.substring("sig", at, F.lit(size)).alias("key"))
+        keys = self.reps.select("id", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", F.xxhash64("tree", F.substring("keys", at, F.lit(2 * shortest))).alias("bucket"), F.substring("keys", at, F.lit(size)).alias("key"))
         keys = self.st.put(keys)
         shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         out = self.st.put(keys.join(shared, "bucket", "left_semi"), "bucket", "key")
@@ -195,7 +204,7 @@ class Forest:
         """(a, b, sim) of representatives that are alike, enough of them to connect every group."""
         shortest = next((d for d in range(DEPTH, 0, -1) if recall(self.threshold, d) >= TARGET_RECALL), 1)
         trie, found, groups = self.trie(shortest), None, None
-        for depth in range(DEPTH, shortest - 1, -1):
+        for depth in sorted({*range(DEPTH, shortest, -STEP), shortest}, reverse=True):
             here = trie.select("bucket", "id", F.substring("key", 1, 2 * depth).alias("prefix"))
             here = here.withColumn("g", F.col("id")) if groups is None else here.join(groups, "id", "left").withColumn("g", F.coalesce("root", "id")).drop("root")
             # what one group holds alone is settled

@@ -85,7 +85,7 @@ def test_deep_prefixes_settle_families(spark, monkeypatch):
 
 @pytest.mark.parametrize("bound", [2, 512])
 def test_groups_equal_brute_force(spark, bound):
-    rows = texts(5, 160)
+    rows = texts(5, 90)
     items = spark.createDataFrame([*rows, (900, None), (901, " \n"), (902, "")], "id long, body string")
     groups = {}
     for r in near_duplicate_groups(spark, items, 3, 0.7, pair_bound=bound).collect():
