@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import re
 
-from .text import java_parameters, normalize_param, same_type, split_top, strip_comments, type_ir
+from .text import cpp_type_ir, java_parameters, java_type_ir, normalize_param, same_type, split_top, strip_comments
 
 _KEYWORDS = {"if", "for", "while", "switch", "return", "catch", "new", "throw", "else", "do", "sizeof", "delete"}
-# C++ types of Java types, and the headers they need.
+# C++ types of Java types, and of generic ones.
 TYPES = {
-    "void": ("void", ""), "boolean": ("bool", ""), "Boolean": ("bool", ""), "byte": ("int8_t", "cstdint"), "short": ("int16_t", "cstdint"), "int": ("int32_t", "cstdint"), "Integer": ("int32_t", "cstdint"),
-    "long": ("int64_t", "cstdint"), "Long": ("int64_t", "cstdint"), "float": ("float", ""), "Float": ("float", ""), "double": ("double", ""), "Double": ("double", ""), "char": ("char16_t", ""), "Character": ("char16_t", ""),
-    "String": ("std::string", "string"), "CharSequence": ("std::string", "string"), "Object": ("std::any", "any"),
-    "List": ("std::vector", "vector"), "ArrayList": ("std::vector", "vector"), "Collection": ("std::vector", "vector"), "Set": ("std::unordered_set", "unordered_set"), "HashSet": ("std::unordered_set", "unordered_set"),
-    "Map": ("std::unordered_map", "unordered_map"), "HashMap": ("std::unordered_map", "unordered_map"), "TreeMap": ("std::map", "map"), "Optional": ("std::optional", "optional"),
+    "boolean": "bool", "Boolean": "bool", "byte": "char", "Byte": "char", "short": "short", "Short": "short", "int": "int", "Integer": "int", "long": "long long", "Long": "long long",
+    "float": "float", "Float": "float", "double": "double", "Double": "double", "char": "char", "Character": "char", "String": "std::string", "Object": "void*", "Class": "void*",
+    "Duration": "std::chrono::duration<long long, std::nano>", "TimeUnit": "std::chrono::duration<long long, std::nano>",
+    "Runnable": "std::function<void()>", "Callable": "std::function<void()>", "Function": "void*",
+    "Throwable": "std::exception", "Exception": "std::exception", "RuntimeException": "std::runtime_error", "IllegalStateException": "std::runtime_error", "IllegalArgumentException": "std::invalid_argument",
+    "NullPointerException": "std::runtime_error", "IOException": "std::runtime_error", "NoSuchElementException": "std::runtime_error", "UnsupportedOperationException": "std::runtime_error",
+    "Future": "std::future<void>", "ScheduledFuture": "std::future<void>", "CompletableFuture": "std::future<void>", "Thread": "std::thread",
+    "ExecutorService": "void*", "ScheduledExecutorService": "void*", "ScheduledThreadPoolExecutor": "void*", "ForkJoinPool": "void*", "Delayed": "void*",
+}
+GENERIC_TYPES = {
+    "List": "std::vector", "ArrayList": "std::vector", "LinkedList": "std::list", "Collection": "std::vector", "Iterable": "std::vector", "Set": "std::set", "HashSet": "std::set", "TreeSet": "std::set",
+    "Map": "std::map", "HashMap": "std::map", "TreeMap": "std::map", "Optional": "std::optional", "Queue": "std::deque", "Deque": "std::deque",
+}
+INCLUDES = {
+    "std::string": "string", "std::vector": "vector", "std::list": "list", "std::set": "set", "std::map": "map", "std::optional": "optional", "std::deque": "deque", "std::chrono": "chrono", "std::function": "functional",
+    "std::exception": "exception", "std::runtime_error": "stdexcept", "std::invalid_argument": "stdexcept", "std::future": "future", "std::thread": "thread",
 }
 
 
@@ -53,7 +64,11 @@ def members(code: str) -> list[str]:
 
 
 def parse_declaration(d: str) -> tuple[str, list[str]] | None:
-    """(name, parameter types) of a function declaration; operators keep their sign; None for anything else."""
+    """(name, parameter types) of a function declaration; operators keep their sign; None for anything else, as for fields of a function type."""
+    d = re.sub(r"^\s*template\s*<[^>]*>\s*", "", d)
+    before = d.partition("(")[0]
+    if "operator" not in before and before.count("<") > before.count(">"):
+        return None
     m = re.search(r"(operator\s*[^\s\w(]+|operator\s*\(\)|~?[A-Za-z_]\w*)\s*\(", d)
     while m and m[1] in _KEYWORDS:
         m = re.compile(r"(~?[A-Za-z_]\w*)\s*\(").search(d, m.end())
@@ -73,9 +88,8 @@ def cpp_method_names(code: str) -> list[str]:
 
 
 def find_declaration(code: str, owner: str, name: str, arity: int) -> str | None:
-    """The declaration of a method in its class, by name and number of parameters."""
-    body = class_body(code, owner)
-    for d in members(body if body is not None else code):
+    """The declaration of a method in its class, by name and number of parameters; a class that is not there declares nothing, without one the whole text is searched."""
+    for d in members((class_body(code, owner) or "") if owner else code):
         p = parse_declaration(d)
         if p and p[0] == name and len(p[1]) == arity:
             return d
@@ -115,30 +129,26 @@ def parse_function(code: str, owner: str | None = None) -> dict:
 
 
 def map_type(t: str, params: tuple[str, ...] = ()) -> str:
-    """A Java type in C++: generics, arrays, wildcards; type parameters stay, other classes become shared pointers."""
+    """A Java type in C++: generics, arrays, wildcards; type parameters stay, other classes keep their last name."""
     t = t.strip()
-    if t.startswith("?"):
-        m = re.match(r"\?\s*(?:extends|super)\s+(.+)", t)
-        return map_type(m[1], params) if m else "std::any"
-    if t.endswith("..."):
-        return f"std::vector<{map_type(t[:-3], params)}>"
-    if t.endswith("[]"):
-        return f"std::vector<{map_type(t[:-2], params)}>"
-    m = re.match(r"([\w.$]+)\s*<(.*)>$", t, re.S)
-    name = re.split(r"[.$]", m[1] if m else t)[-1]
-    args = [map_type(a, params) for a in split_top(m[2])] if m else []
-    if name in params:
-        return name
-    if name in TYPES:
-        base = TYPES[name][0]
-        return f"{base}<{', '.join(args)}>" if args and "::" in base and base not in ("std::string", "std::any") else base
-    return f"std::shared_ptr<{name}{'<' + ', '.join(args) + '>' if args else ''}>"
+    if not t:
+        return "void"
+    if t.endswith(("[]", "...")):
+        return f"std::vector<{map_type(t.rstrip('.') if t.endswith('...') else re.sub(r'(?:\[\]\s*)+$', '', t), params)}>"
+    if t in params:
+        return t
+    if m := re.match(r"([A-Za-z_]\w*)<(.+)>$", t, re.S):
+        if m[1] in TYPES:
+            return TYPES[m[1]]
+        args = ", ".join(map_type(a, params) for a in split_top(re.sub(r"\?\s*(?:extends|super)\s+", "", m[2])))
+        return f"{GENERIC_TYPES.get(m[1], m[1])}<{args}>"
+    name = t.split(".")[-1]
+    return "void*" if not name or name.startswith("?") else TYPES.get(name, name)
 
 
 def std_includes(cpp_type: str) -> list[str]:
     """Headers that a C++ type needs, sorted."""
-    need = {h for c, h in TYPES.values() if h and re.search(rf"(?<![\w:]){re.escape(c)}\b", cpp_type)}
-    return sorted(need | ({"memory"} if "shared_ptr" in cpp_type else set()))
+    return sorted({h for c, h in INCLUDES.items() if c in cpp_type})
 
 
 def signature_errors(java_key: str, cpp: str) -> list[str]:
@@ -152,7 +162,7 @@ def signature_errors(java_key: str, cpp: str) -> list[str]:
         errors.append(f"name {p[0]}")
     if len(want) != len(p[1]):
         return [*errors, f"arity {len(p[1])} for {len(want)}"]
-    return errors + [f"parameter {i}: {b} for {a}" for i, (a, b) in enumerate(zip(want, p[1]), 1) if not same_type(type_ir(a), type_ir(b))]
+    return errors + [f"parameter {i}: {b} for {a}" for i, (a, b) in enumerate(zip(want, p[1]), 1) if not same_type(java_type_ir(a), cpp_type_ir(b))]
 
 
 def header_errors(source: str, target: str) -> list[str]:
@@ -168,19 +178,20 @@ def header_errors(source: str, target: str) -> list[str]:
     return [f"base {short(b)} missing" for b in [ext, *impl] if b and not re.search(rf"\b{re.escape(short(b))}\b", bases)]
 
 
-def skeleton(name: str, kind: str, bases: list[str], keys: list[str]) -> str:
-    """A header's outline: includes, bases and one declaration per method key."""
+def skeleton(name: str, kind: str, bases: list[str], methods: list[tuple[str, str]]) -> str:
+    """A header's outline: includes, bases and one declaration per (method key, source); the source gives the return type."""
     lines, need = [], set()
-    for key in keys:
+    for key, code in methods:
         method = re.split(r"[:.]", key.split("(")[0])[-1]
         types = [map_type(p) for p in java_parameters(key)]
-        for t in types:
+        back = map_type(re.sub(r"^\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:<[^>]*>\s*)?", "", parse_function(code or "", name)["return_type"] or ""))
+        for t in [*types, back]:
             need |= set(std_includes(t))
         args = ", ".join(f"{t} a{i}" for i, t in enumerate(types, 1))
         if method in (name, "<init>"):
             lines.append(f"    {name}({args});")
         else:
-            lines.append(f"    virtual void {method}({args}){' = 0' if kind == 'interface' else ''};")
+            lines.append(f"    virtual {back} {method}({args}){' = 0' if kind == 'interface' else ''};")
     inherit = " : " + ", ".join(f"public {b}" for b in bases) if bases else ""
     top = ["#pragma once", *(f"#include <{h}>" for h in sorted(need)), *(f'#include "{b}.h"' for b in bases), ""]
     return "\n".join([*top, f"class {name}{inherit} {{", "public:", f"    virtual ~{name}() = default;", *lines, "};", ""])
@@ -191,8 +202,114 @@ def assemble(includes: list[str], bodies: list[str]) -> str:
     return "\n".join([*dict.fromkeys(includes), "", *(b.strip() + "\n" for b in bodies if b and b.strip())])
 
 
-def statements(body: str) -> int:
-    """Statements of a body at all depths: semicolons outside of for heads, and blocks of control statements."""
-    s = re.sub(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', '""', strip_comments(body))
-    s = re.sub(r"\bfor\s*\([^()]*(?:\([^()]*\)[^()]*)*\)", "for()", s)
-    return s.count(";") + len(re.findall(r"\b(?:if|for|while|switch|try|synchronized)\b\s*[({]", s))
+_CODE_TOKEN = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|\w+|->|::|\S')
+_HEADED = {"if", "for", "while", "synchronized", "catch", "switch"}
+
+
+class _Statements:
+    """Statements that stand directly in a block, at all depths, bodies of lambdas and of local classes' methods included."""
+
+    def __init__(self, code: str):
+        self.t, self.n = _CODE_TOKEN.findall(strip_comments(code)), 0
+
+    def at(self, i: int) -> str:
+        return self.t[i] if i < len(self.t) else ""
+
+    def block(self, i: int, counted: bool = True) -> int:
+        """From a block's opening brace to behind its closing one."""
+        i += 1
+        while i < len(self.t) and self.t[i] != "}":
+            if not counted and self.t[i] in ("case", "default"):
+                while i < len(self.t) and self.t[i] not in (":", "->", "}"):
+                    i += 1
+                i += self.at(i) in (":", "->")
+                continue
+            self.n += counted
+            i = self.statement(i)
+        return i + 1
+
+    def parens(self, i: int) -> int:
+        depth = 0
+        while i < len(self.t):
+            t = self.t[i]
+            if t == "{":
+                i = self.braces(i)
+                continue
+            depth += (t == "(") - (t == ")")
+            i += 1
+            if not depth:
+                break
+        return i
+
+    def braces(self, i: int) -> int:
+        """Braces inside an expression: the body of a lambda or method is a block, those of classes and arrays are not."""
+        if self.at(i - 1) == "->" or self.at(i - 1) == ")" and not self.creates(i - 1):
+            return self.block(i)
+        i += 1
+        while i < len(self.t) and self.t[i] != "}":
+            i = self.braces(i) if self.t[i] == "{" else i + 1
+        return i + 1
+
+    def creates(self, i: int) -> bool:
+        """Whether the parenthesis that closes at ``i`` belongs to ``new X(...)``."""
+        depth = 0
+        while i >= 0:
+            depth += (self.t[i] == ")") - (self.t[i] == "(")
+            if not depth:
+                break
+            i -= 1
+        i -= 1
+        while i > 0 and (self.t[i][0].isalnum() or self.t[i] in "._<>,?"):
+            if self.t[i] == "new":
+                return True
+            i -= 1
+        return i >= 0 and self.t[i] == "new"
+
+    def statement(self, i: int) -> int:
+        t = self.at(i)
+        if t == "{":
+            return self.block(i)
+        if t in _HEADED and self.at(i + 1) == "(":
+            i = self.parens(i + 1)
+            if t == "switch":
+                return self.block(i, False) if self.at(i) == "{" else i
+            i = self.statement(i)
+            return self.statement(i + 1) if t == "if" and self.at(i) == "else" else i
+        if t == "do":
+            i = self.statement(i + 1)
+            return self.parens(i + 1) + (self.at(self.parens(i + 1)) == ";") if self.at(i) == "while" else i
+        if t == "try":
+            i = self.parens(i + 1) if self.at(i + 1) == "(" else i + 1
+            i = self.block(i) if self.at(i) == "{" else i
+            while self.at(i) in ("catch", "finally"):
+                i = self.parens(i + 1) if self.at(i) == "catch" else i + 1
+                i = self.block(i) if self.at(i) == "{" else i
+            return i
+        if self.at(i + 1) == ":" and t.isidentifier():
+            return self.statement(i + 2)
+        local = False
+        while i < len(self.t) and self.t[i] not in (";", "}"):
+            local |= self.t[i] in ("class", "interface", "enum")
+            if self.t[i] == "(":
+                i = self.parens(i)
+            elif self.t[i] == "{":
+                i = self.braces(i)
+                if local:
+                    return i
+            else:
+                i += 1
+        return i + (self.at(i) == ";")
+
+
+def statements(code: str) -> int:
+    """Statements of a method's body: those standing in a block at any depth; bodies without braces do not count."""
+    s = _Statements(code)
+    depth = 0
+    for i, t in enumerate(s.t):  # the body is the first brace outside of parentheses
+        depth += (t == "(") - (t == ")")
+        if t == "{" and not depth:
+            s.block(i)
+            break
+        if t == ";" and not depth:
+            break
+    return s.n

@@ -220,57 +220,96 @@ def canonical_json(v: str) -> str:
 
 
 # ---- types of the two languages in one notation
-# Type names by kind.
-_KINDS = {
-    "bool": "boolean Boolean bool", "int": "byte short int long Byte Short Integer Long BigInteger int8_t int16_t int32_t int64_t size_t unsigned uint8_t uint16_t uint32_t uint64_t",
-    "float": "float double Float Double BigDecimal", "char": "char Character wchar_t char16_t", "string": "String CharSequence StringBuilder StringBuffer std::string std::string_view string",
-    "void": "void Void", "date": "Date LocalDate LocalDateTime Instant Calendar std::chrono::time_point std::chrono::system_clock::time_point",
+# Names of types by kind. Widths are kinds of their own.
+JAVA_PRIMITIVES = ("boolean", "byte", "short", "int", "long", "float", "double", "char", "void")
+CPP_PRIMITIVES = {
+    "bool": "boolean", "int8_t": "byte", "int16_t": "short", "int": "int", "int32_t": "int", "size_t": "int", "int64_t": "long", "long": "long", "long long": "long",
+    "float": "float", "double": "double", "char16_t": "char", "void": "void",
 }
-_KIND = {n: k for k, ns in _KINDS.items() for n in ns.split()}
-_COLLECTION = {"list": "List ArrayList LinkedList Collection Iterable std::vector std::list std::deque vector", "set": "Set HashSet TreeSet std::set std::unordered_set", "map": "Map HashMap TreeMap LinkedHashMap std::map std::unordered_map", "optional": "Optional std::optional"}
-_COLL = {n: k for k, ns in _COLLECTION.items() for n in ns.split()}
-_POINTER = re.compile(r"^(?:std::)?(?:shared_ptr|unique_ptr|weak_ptr)<(.*)>$")
-
-
-def type_ir(t: str) -> str:
-    """kind, or kind(args) for arrays and collections, object(Name) for others; a question mark if it may be null."""
-    t = re.sub(r"\b(?:const|final|volatile|struct|class)\b", "", t).strip()
-    null = ""
-    while t[-1:] in ("&", "*"):
-        null = "?" if t[-1] == "*" else null
-        t = t[:-1].strip()
-    if m := _POINTER.match(t):
-        return type_ir(m[1]).rstrip("?") + "?"
-    if t.endswith("[]") or t.endswith("..."):
-        return f"array({type_ir(t[:-2] if t.endswith('[]') else t[:-3])})"
-    m = re.match(r"^([\w:.$]+)\s*<(.*)>$", t, re.S)
-    name = m[1] if m else t
-    last = name if "::" in name else re.split(r"[.$]", name)[-1]
-    if m and last in _COLL:
-        args = [type_ir(x) for x in split_top(m[2])]
-        if _COLL[last] == "optional":
-            return args[0].rstrip("?") + "?"
-        return f"{_COLL[last]}({','.join(args)})"
-    if last in _COLL:
-        return _COLL[last]
-    if last in _KIND:
-        return _KIND[last] + null
-    return f"object({re.split('::|[.$]', name)[-1]}){null}" if re.fullmatch(r"[\w:.$]+", name) else "unknown"
-
-
-def same_type(a: str, b: str) -> bool:
-    """Whether two types in that notation may stand for each other; unknown ones may for any."""
-    a, b = a.rstrip("?"), b.rstrip("?")
-    if "unknown" in (a, b) or a == b:
-        return True
-    pa, pb = re.match(r"(\w+)\((.*)\)$", a), re.match(r"(\w+)\((.*)\)$", b)
-    kinds = {x: (p[1] if p else x) for x, p in ((a, pa), (b, pb))}
-    if {kinds[a], kinds[b]} <= {"array", "list"} or kinds[a] == kinds[b] and kinds[a] != "object":
-        if pa and pb:
-            x, y = split_top(pa[2]), split_top(pb[2])
-            return len(x) == len(y) and all(map(same_type, x, y))
+JAVA_COLLECTIONS = {
+    "List": "sequence", "ArrayList": "sequence", "LinkedList": "sequence", "Collection": "sequence", "Iterable": "sequence", "Set": "set", "HashSet": "set",
+    "Map": "map", "HashMap": "map", "LinkedHashMap": "map", "Optional": "optional", "CompletableFuture": "future", "Future": "future",
+}
+CPP_COLLECTIONS = {
+    "vector": "sequence", "list": "sequence", "deque": "sequence", "set": "set", "unordered_set": "set", "map": "map", "unordered_map": "map",
+    "optional": "optional", "future": "future", "shared_future": "future",
+}
+JAVA_STRINGS, CPP_STRINGS = ("String", "CharSequence"), ("string", "string_view")
+JAVA_DATES, CPP_DATES = ("Date", "Instant", "LocalDate", "LocalDateTime"), ("time_point", "system_clock")
+SMART_POINTERS = ("shared_ptr", "unique_ptr", "weak_ptr")
+_JAVA_NOISE = re.compile(r"@\w+(?:\([^)]*\))?\s*|\b(?:public|protected|private|static|final|abstract|synchronized|native|strictfp|default|volatile|transient)\b")
+_CPP_NOISE = re.compile(r"\b(?:const|volatile|static|inline|virtual|explicit|mutable|constexpr)\b|&")
+_GENERIC = re.compile(r"([\w:.$]+)\s*<(.*)>$", re.S)
+
+
+def _noted(kind: str, args: list[str]) -> str:
+    return f"{kind}({','.join(args)})" if args else kind
+
+
+def java_type_ir(t: str) -> str:
+    """A Java type as kind or kind(args): primitives by width, string, date, array, collections, object; unknown for others."""
+    t = " ".join(_JAVA_NOISE.sub("", t).replace("...", "[]").split())
+    t = re.sub(r"^<[^>]+>\s*", "", t)
+    if m := re.match(r"(.*?)\s*\[\s*\]$", t, re.S):
+        return f"array({java_type_ir(m[1])})"
+    m = _GENERIC.match(t)
+    name, args = (m[1] if m else t).split(".")[-1], [java_type_ir(x) for x in split_top(m[2])] if m else []
+    if name in JAVA_PRIMITIVES:
+        return name
+    if name in JAVA_STRINGS:
+        return "string"
+    if name in JAVA_DATES:
+        return "date"
+    if name in JAVA_COLLECTIONS:
+        return _noted(JAVA_COLLECTIONS[name], args)
+    return _noted("object", args) if re.fullmatch(r"[A-Z][A-Za-z0-9_$]*", name) or "$" in name else "unknown"
+
+
+def cpp_type_ir(t: str) -> str:
+    """A C++ type in the same notation, with a question mark if it may be null."""
+    pointed = "*" in t
+    t = " ".join(_CPP_NOISE.sub(" ", t).replace("*", " ").split())
+    t = re.sub(r"\b(?:un)?signed char\b", "int8_t", t)
+    m = _GENERIC.match(t)
+    name, args = (m[1] if m else t).split("::")[-1], [cpp_type_ir(x) for x in split_top(m[2])] if m else []
+    null = "?" if pointed or name in SMART_POINTERS or name == "optional" else ""
+    if name == "char" and pointed:
+        return "string?"
+    if name in CPP_PRIMITIVES:
+        return CPP_PRIMITIVES[name] + null
+    if name in CPP_STRINGS:
+        return "string" + null
+    if name in CPP_DATES:
+        return "date" + null
+    if name in CPP_COLLECTIONS:
+        return _noted(CPP_COLLECTIONS[name], args) + null
+    return (_noted("object", args) if name else "unknown") + null
+
+
+def _open(t: str) -> tuple[str, list[str]]:
+    """(kind, arguments) of a noted type."""
+    t = t.rstrip("?")
+    kind, _, rest = t.partition("(")
+    return kind, split_top(rest[:-1]) if rest else []
+
+
+def same_type(java: str, cpp: str) -> bool:
+    """Whether a noted C++ type may stand for a noted Java type; unknown ones may for any."""
+    (k, xs), (l, ys) = _open(java), _open(cpp)
+    if l == "optional" and ys and k != "optional":
+        return same_type(java, ys[0])
+    if "unknown" in (k, l):
         return True
-    return False
+    first = lambda: not xs or not ys or same_type(xs[0], ys[0])
+    if k in ("string", "date"):
+        return l in (k, "optional")
+    if k == "array":
+        return l == "string" and xs == ["char"] or l in ("sequence", "object") and first() or l == "array" and bool(xs and ys) and first()
+    if k == "optional":
+        return l == k and first()
+    if k in ("sequence", "set", "map", "future"):
+        return l == k and (not xs or not ys or len(xs) == len(ys) and all(map(same_type, xs, ys)))
+    return k == l
 
 
 def java_parameters(key: str) -> list[str]:

@@ -10,7 +10,7 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import Stage
@@ -35,6 +35,58 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select(*KEYS, "src", "dst", F.when(s & d, "inner").when(s, "external").when(d, "caller_missing").otherwise("both_missing").alias("outcome"))
 
 
+def erased_key(c, depth: int = 4):
+    """A method key by which calls find methods: no packages, no type arguments, no blanks."""
+    from ..functions.text import erase_generics
+
+    return F.regexp_replace(erase_generics(F.regexp_replace(c, r"\s+", ""), depth=depth), r"(?:[A-Za-z_]\w*\.)+([A-Za-z_])", "$1")
+
+
+def first_by_key(nodes: DataFrame, order: str) -> DataFrame:
+    """(project, run_id, key, node): the first method of each erased key; overloads that erasure makes equal share it."""
+    n = nodes.where("method_key is not null").select(*KEYS, erased_key(F.col("method_key")).alias("key"), F.col("method_key").alias("node"), order)
+    return n.groupBy(*KEYS, "key").agg(F.min_by("node", F.struct(F.col(order).isNull(), order, "node")).alias("node"))
+
+
+def resolve_erased(edges: DataFrame, nodes: DataFrame, order: str) -> DataFrame:
+    """Distinct calls by erased keys with their outcome; self calls are dropped. Ends that no method answers keep their own key."""
+    e = edges.where("src is not null and dst is not null").select(*KEYS, erased_key(F.col("src")).alias("sk"), erased_key(strip_type(F.col("dst"))).alias("dk")).where("sk <> dk").distinct()
+    known = first_by_key(nodes, order)
+    out = e.join(known.select(*KEYS, F.col("key").alias("sk"), F.col("node").alias("s")), [*KEYS, "sk"], "left").join(known.select(*KEYS, F.col("key").alias("dk"), F.col("node").alias("d")), [*KEYS, "dk"], "left")
+    outcome = F.when(F.col("s").isNotNull() & F.col("d").isNotNull(), "inner").when(F.col("s").isNotNull(), "external").when(F.col("d").isNotNull(), "caller_missing").otherwise("both_missing")
+    return out.select(*KEYS, F.coalesce("s", "sk").alias("src"), F.coalesce("d", "dk").alias("dst"), outcome.alias("outcome"))
+
+
+def built_graph(spark: SparkSession, edges: DataFrame, nodes: DataFrame, order: str) -> DataFrame:
+    """Every method with component and layer: calls resolved, cycles condensed, callees first; methods without calls lie on layer 0."""
+    inner = resolve_erased(edges, nodes, order).where("outcome = 'inner'").select(*KEYS, "src", "dst")
+    lay = layers(spark, inner).select(*KEYS, "node", "component", "component_size", "layer")
+    every = nodes.where("method_key is not null").select(*KEYS, F.col("method_key").alias("node")).distinct()
+    return every.join(lay, [*KEYS, "node"], "left").select(*KEYS, "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_size", F.lit(1)).alias("component_size"), F.coalesce("layer", F.lit(0)).alias("layer"))
+
+
+def injected(edges: DataFrame, nodes: DataFrame, owners: DataFrame, order: str) -> DataFrame:
+    """``nodes`` and the callees that no method answers but whose class is one of ``owners`` (project, run_id, owner): to be wired and layered anew."""
+    missing = resolve_erased(edges, nodes, order).where("outcome = 'external'").select(*KEYS, F.col("dst").alias("method_key")).distinct()
+    missing = missing.withColumn("owner", F.regexp_extract("method_key", r"^([^:]*):", 1)).join(owners.distinct(), [*KEYS, "owner"], "left_semi")
+    return nodes.select(*KEYS, "method_key", order).unionByName(missing.select(*KEYS, "method_key", F.lit(None).cast("long").alias(order)))
+
+
+def dependency_order(spark: SparkSession, items: DataFrame, key, dependencies, order: str) -> DataFrame:
+    """(project, run_id, node, component, layer, position) of ``items`` by the columns ``key`` and ``dependencies`` (an array of keys).
+
+    Dependencies first, members of a cycle together, else the given order. Unknown keys are no dependencies.
+    """
+    x = items.select(*KEYS, key.alias("node"), order).where("node is not null").groupBy(*KEYS, "node").agg(F.min(order).alias(order))
+    d = items.select(*KEYS, key.alias("src"), F.explode(dependencies).alias("dst")).where("src <> dst").distinct()
+    d = d.join(x.select(*KEYS, F.col("node").alias("dst")), [*KEYS, "dst"], "left_semi").select(*KEYS, "src", "dst")
+    lay = layers(spark, d).select(*KEYS, "node", "component", "layer")
+    y = x.join(lay, [*KEYS, "node"], "left").select(*KEYS, "node", F.coalesce("component", "node").alias("component"), F.coalesce("layer", F.lit(0)).alias("layer"), order)
+    first = y.groupBy(*KEYS, "component").agg(F.min(F.struct(F.col(order).isNull().alias("u"), F.col(order).alias("o"), F.col("node").alias("n"))).alias("first"))
+    w = Window.partitionBy(*KEYS).orderBy("layer", "first", F.col(order).asc_nulls_last(), "node")
+    return y.join(first, [*KEYS, "component"]).select(*KEYS, "node", "component", "layer", F.row_number().over(w).alias("position"))
+
+
 def _kosaraju(n: int, down: list[list[int]], up: list[list[int]]) -> list[int]:
     """Component numbers, without recursion."""
     order, seen = [], [False] * n
@@ -176,25 +228,34 @@ def _layers_by_rounds(spark: SparkSession, links: DataFrame, max_links: int) ->
     return node.join(level, [*KEYS, "component"]).join(peeled, [*KEYS, "id"]).select(*KEYS, "node", "component", "component_size", "layer", "peel_round")
 
 
-def batches(items: list[tuple[str, set[str]]], size: int, seed: int | None = None) -> list[list[str]]:
-    """Greedy batches of at most ``size``: a base in the given order, then its relatives in their order, then whatever comes next.
+def batches(items: list[tuple[str, list[str], set[str]]], size: int, seed: int | None = None) -> list[list[str]]:
+    """Greedy batches of at most ``size`` of (key, related keys in order of nearness, keys related by inheritance) in topological order.
 
-    With a seed the order is shuffled first.
+    A base takes its related keys first; what room is left goes, in order, to keys without relatives by inheritance or with
+    one in the batch. With a seed the order is shuffled and simply cut.
     """
-    order = [k for k, _ in items]
+    if size < 1:
+        raise ValueError("size must be positive")
+    order = [k for k, _, _ in items]
     if seed is not None:
         random.Random(seed).shuffle(order)
-    related = dict(items)
+        return [order[i : i + size] for i in range(0, len(order), size)]
+    near, kin = {k: r for k, r, _ in items}, {k: r for k, _, r in items}
     left, out = dict.fromkeys(order), []
     while left:
         base = next(iter(left))
-        del left[base]
         batch = [base]
-        for pool in ([k for k in order if k in left and any(k in related[b] or b in related[k] for b in batch)], list(left)):
-            for k in pool:
-                if len(batch) < size and k in left:
-                    batch.append(k)
-                    del left[k]
+        del left[base]
+        for k in near[base]:
+            if len(batch) < size and k in left:
+                batch.append(k)
+                del left[k]
+        for k in list(left):
+            if len(batch) >= size:
+                break
+            if not kin[k] or kin[k] & set(batch):
+                batch.append(k)
+                del left[k]
         out.append(batch)
     return out
 
@@ -232,3 +293,21 @@ def back_edge_cycles(graph: dict[str, list[str]], undirected: bool = False) -> l
                 path.pop()
                 stack.pop()
     return sorted(found)
+
+
+CYCLES = "project string, run_id string, cycle string, length int"
+
+
+def _cycle_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    graph: dict[str, list[str]] = {}
+    for a, b in zip(pdf["src"], pdf["dst"]):
+        graph.setdefault(a, []).append(b)
+    rows = [(pdf["project"].iloc[0], pdf["run_id"].iloc[0], " > ".join(c), len(c)) for c in back_edge_cycles(graph)]
+    return pd.DataFrame(rows, columns=["project", "run_id", "cycle", "length"])
+
+
+def component_cycles(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """``CYCLES`` of ``links`` (project, run_id, src, dst): links that leave a component close none, so components are searched each for itself."""
+    c = layers(spark, links).where("component_size > 1").select(*KEYS, "node", "component")
+    inside = links.join(c.withColumnsRenamed({"node": "src", "component": "a"}), [*KEYS, "src"]).join(c.withColumnsRenamed({"node": "dst", "component": "b"}), [*KEYS, "dst"]).where("a = b")
+    return inside.select(*KEYS, "a", "src", "dst").groupBy(*KEYS, "a").applyInPandas(_cycle_rows, CYCLES)

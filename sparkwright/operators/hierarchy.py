@@ -328,6 +328,13 @@ def p2_hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_hierarchies(spark, sf_dir, "class").union(full_hierarchies(spark, sf_dir, "call"))
 
 
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class and method with depth, root, path as text, number of descendants, and whether it lies on a cycle."""
+    h = p2_hierarchies(spark, sf_dir)
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    return h.select("link_kind", "node_id", "depth", "root_id", path.alias("path"), "n_descendants", "on_cycle")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs of nodes of which one is reached from the other."""
     parts = []

@@ -79,3 +79,8 @@ def best_with_ties(df: DataFrame, keys: Sequence[str], choice: str, score: str,
     top = df.groupBy(*keys).agg(F.max(score).alias("best_score"))
     hit = df.join(top, list(keys)).where(F.col(score) == F.col("best_score"))
     return hit.groupBy(*keys).agg(F.first("best_score").alias("best_score"), F.min(choice).alias("best_choice"), F.array_join(F.sort_array(F.collect_set(F.col(choice).cast("string"))), joiner).alias("ties"))
+
+
+def list_order(lists: dict[str, list[str]]) -> list[Column]:
+    """Sort keys that follow given lists of values, one a column; values that a list does not name come last."""
+    return [F.when((at := F.array_position(F.array(*map(F.lit, vs)), F.col(c))) > 0, at).otherwise(len(vs) + 1) for c, vs in lists.items()]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import declarations, predicates, text
 from ..operators import callgraph
-from ..tables import load
+from ..tables import Stage, load
 from .core_queries import RUN, inheritance_edges, inner, query
 
 STRINGS = T.ArrayType(T.StringType())
@@ -42,8 +40,12 @@ def foreign_overrides(spark, sf):
     k = load(spark, sf, "methods", *RUN, "method_key").where("method_key is not null").distinct()
     owner = F.regexp_replace(F.regexp_extract("method_key", r"^([^:]*):", 1), r"\$[0-9]+", "")
     k = k.select(*RUN, "method_key", F.regexp_extract("method_key", r":(.*)$", 1).alias("sig"), F.concat(owner, F.lit(":"), F.regexp_extract("method_key", r":([^(]*)", 1)).alias("loose"))
-    b = k.select(*RUN, "sig", F.col("method_key").alias("other"), F.col("loose").alias("other_loose"))
-    return k.join(b, [*RUN, "sig"]).where("loose <> other_loose").groupBy(*RUN, "method_key").agg(F.min("other").alias("foreign_key"), F.count(F.lit(1)).alias("n"))
+    # per signature the two classes with the smallest keys and how many methods each has: no pairs
+    cls = k.groupBy(*RUN, "sig", "loose").agg(F.min("method_key").alias("least"), F.count(F.lit(1)).alias("m"))
+    two = cls.groupBy(*RUN, "sig").agg(F.min(F.struct("least", "loose")).alias("one"), F.sum("m").alias("n_all"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
+    second = cls.join(two, [*RUN, "sig"]).where(F.col("loose") != F.col("one.loose")).groupBy(*RUN, "sig").agg(F.min("least").alias("second"))
+    j = k.join(cls.select(*RUN, "sig", "loose", "m"), [*RUN, "sig", "loose"]).join(two, [*RUN, "sig"]).join(second, [*RUN, "sig"])
+    return j.select(*RUN, "method_key", F.when(F.col("loose") == F.col("one.loose"), F.col("second")).otherwise(F.col("one.least")).alias("foreign_key"), (F.col("n_all") - F.col("m")).alias("n"))
 
 
 @query("""WITH m AS (SELECT DISTINCT project, run_id, method_key, regexp_replace(method_key, '\\.\\.\\.|\\[\\]', '*', 'g') AS loose FROM methods WHERE method_key IS NOT NULL)
@@ -97,42 +99,28 @@ def filter_language(spark, sf):
     return load(spark, sf, "methods", "method_id", "method_key", "code").where(cond).select("method_id", "code")
 
 
-def _per_run(fn, schema: str):
-    """A function over one run's small graph; the runs are bounded by the layers' bound."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = (pdf["project"].iloc[0], pdf["run_id"].iloc[0])
-        return pd.DataFrame([(*head, *r) for r in fn(pdf)], columns=[c.strip().split()[0] for c in schema.split(",")])
-
-    return run
-
-
 @query()
 def cycles(spark, sf):
-    """Cycles that a depth-first search closes, in canonical form; one run's edges are a bounded group."""
-    schema = "project string, run_id string, cycle string, length int"
+    """Cycles of calls that a depth-first search closes, in canonical form, each component searched for itself."""
+    return callgraph.component_cycles(spark, Stage(spark, "calls").put(inner(spark, sf)))
 
-    def fn(pdf):
-        graph: dict[str, list[str]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            graph.setdefault(a, []).append(b)
-        return [(" > ".join(c), len(c)) for c in callgraph.back_edge_cycles(graph)]
 
-    return inner(spark, sf).groupBy(*RUN).applyInPandas(_per_run(fn, schema), schema)
+def _cpp(c: str) -> str:
+    """Java types in C++, in SQL: arrays, generic names, plain names. The types of method keys hold no wildcards."""
+    c = f"regexp_replace(regexp_replace({c}, '^(.*?)(?:\\[\\])+$', 'std::vector<\\1>'), '^(.*)\\.\\.\\.$', 'std::vector<\\1>')"
+    for cpp, names in (("vector", "List|ArrayList|Collection|Iterable"), ("list", "LinkedList"), ("set", "Set|HashSet|TreeSet"), ("map", "Map|HashMap|TreeMap"), ("optional", "Optional"), ("deque", "Queue|Deque")):
+        c = f"regexp_replace({c}, '\\b(?:{names})<', 'std::{cpp}<', 'g')"
+    plain = [("bool", "boolean|Boolean"), ("char", "byte|Byte|Character"), ("@", "long|Long"), ("int", "Integer"), ("short", "Short"), ("float", "Float"), ("double", "Double"), ("std::string", "String"), ("void*", "Object|Class|Function")]
+    for cpp, names in plain:
+        c = f"regexp_replace({c}, '\\b(?:{names})\\b', '{cpp}', 'g')"
+    return f"replace(replace({c}, ',', ', '), '@', 'long long')"
 
 
-@query()
-def header_order(spark, sf):
-    """Headers from leaves to dependents by inheritance, cycles together, ties by the recorded order."""
-    h = load(spark, sf, "headers", *RUN, "header_key", "ord").groupBy(*RUN, "header_key").agg(F.min("ord").alias("ord"))
-    e = inheritance_edges(spark, sf).select(*RUN, F.col("child").alias("src"), F.col("parent").alias("dst"))
-    lay = callgraph.layers(spark, e).select(*RUN, F.col("node").alias("header_key"), "component", "layer")
-    x = h.join(lay, [*RUN, "header_key"], "left").withColumns({"layer": F.coalesce("layer", F.lit(0)), "component": F.coalesce("component", "header_key")})
-    pos = F.row_number().over(Window.partitionBy(*RUN).orderBy("layer", F.col("ord").asc_nulls_last(), "component", "header_key"))
-    return x.select(*RUN, "header_key", "layer", "component", pos.alias("position"))
+_TYPES = "SELECT DISTINCT method_key, regexp_replace(regexp_replace(regexp_extract(method_key, '\\((.*)\\)', 1), '\\s+', '', 'g'), '<([^<>]*),([^<>]*)>', '<\\1;\\2>', 'g') AS args FROM methods WHERE method_key IS NOT NULL"
+_NEEDS = ["list", "map", "optional", "set", "string", "vector"]
 
 
-@query()
+@query(f"SELECT java_type, n, cpp_type, array_to_string(list_filter([{', '.join(f'CASE WHEN contains(cpp_type, {chr(39)}std::{x}{chr(39)}) THEN {chr(39)}{x}{chr(39)} END' for x in _NEEDS)}], lambda v: v IS NOT NULL), ';') AS includes FROM (SELECT java_type, n, {_cpp('java_type')} AS cpp_type FROM (SELECT java_type, count(*) AS n FROM (SELECT replace(regexp_extract(unnest(string_split(args, ',')), '((?:[A-Z]\\w*\\.)*[^.]*|.*\\.\\.\\.)$', 1), ';', ',') AS java_type FROM ({_TYPES}) t WHERE args <> '') u GROUP BY java_type) v) w")
 def type_mapping(spark, sf):
     """Each parameter type of the table in C++, with the headers it needs."""
     params = text.batch(text.java_parameters, STRINGS)
@@ -142,10 +130,15 @@ def type_mapping(spark, sf):
     return t.select("java_type", "n", cpp(F.col("java_type")).alias("cpp_type"), inc(F.col("java_type")).alias("includes"))
 
 
-@query()
+_BARE = "regexp_replace(source_code, '(\"(?:\\\\.|[^\"\\\\\\n])*\"|''(?:\\\\.|[^''\\\\\\n])*'')|//[^\\n]*|/\\*(?:[^*]|\\*+[^*/])*(?:\\*+/|$)', '\\1', 'g')"
+_CLAUSE_RE = "\\b(?:class|interface|enum)\\s+([A-Za-z_]\\w*)(?:<[^{]*?>)?\\s*(?:extends\\s+([^{]+?))?\\s*(?:implements\\s+([^{]+?))?\\s*\\{"
+_parts = lambda k: f"list_transform(string_split(regexp_replace(regexp_replace(regexp_extract(b, '{_CLAUSE_RE}', {k}), '<([^<>]*),([^<>]*)>', '<\\1;;\\2>', 'g'), '<([^<>]*),([^<>]*)>', '<\\1;;\\2>', 'g'), ','), lambda x: trim(replace(x, ';;', ',')))"
+
+
+@query(f"SELECT header_id, regexp_extract(b, '{_CLAUSE_RE}', 1) AS type_name, {_parts(2)}[1] AS extended, array_to_string(list_filter(list_concat({_parts(2)}[2:], {_parts(3)}), lambda x: x <> ''), ';') AS implemented FROM (SELECT header_id, {_BARE} AS b FROM headers WHERE source_code IS NOT NULL AND coalesce(source_kind, 'java') = 'java') h")
 def inheritance_clauses(spark, sf):
     clause = text.batch(lambda s: [x or "" for x in (lambda r: [r[0], r[1], ";".join(r[2])])(declarations.inheritance(s))], STRINGS)
-    h = load(spark, sf, "headers", "header_id", "source_code", "source_kind").where("source_code is not null and source_kind = 'java'").withColumn("c", clause(F.col("source_code")))
+    h = load(spark, sf, "headers", "header_id", "source_code", "source_kind").where("source_code is not null and coalesce(source_kind, 'java') = 'java'").withColumn("c", clause(F.col("source_code")))
     return h.select("header_id", F.col("c")[0].alias("type_name"), F.col("c")[1].alias("extended"), F.col("c")[2].alias("implemented"))
 
 
@@ -158,7 +151,7 @@ def member_declarations(spark, sf):
         body = declarations.class_body(s, name) if name else None
         return [f"{p[0]}({','.join(p[1])})" for d in declarations.members(body if body is not None else s) if (p := declarations.parse_declaration(d))]
 
-    h = load(spark, sf, "headers", "header_id", "source_code", "source_kind").where("source_code is not null and source_kind <> 'java'")
+    h = load(spark, sf, "headers", "header_id", "source_code", "source_kind").where("source_code is not null and coalesce(source_kind, '') <> 'java'")
     return h.select("header_id", F.posexplode(text.batch(found, STRINGS)(F.col("source_code"))).alias("pos", "declaration"))
 
 
@@ -171,7 +164,8 @@ def statement_counts(spark, sf):
 @query()
 def header_skeletons(spark, sf):
     """Outlines of the runs' source headers from their method keys."""
-    m = load(spark, sf, "methods", *RUN, "header_key", "method_key").where("method_key is not null").groupBy(*RUN, "header_key").agg(F.sort_array(F.collect_set("method_key")).alias("keys"))
+    m = load(spark, sf, "methods", *RUN, "header_key", "method_key", "code").where("method_key is not null").groupBy(*RUN, "header_key", "method_key").agg(F.min("code").alias("code"))
+    m = m.groupBy(*RUN, "header_key").agg(F.sort_array(F.collect_list(F.struct("method_key", "code"))).alias("keys"))
     h = load(spark, sf, "headers", *RUN, "header_key", "header_type", "source_kind").where("source_kind = 'java'").select(*RUN, "header_key", "header_type").dropDuplicates([*RUN, "header_key"])
     e = inheritance_edges(spark, sf).groupBy(*RUN, F.col("child").alias("header_key")).agg(F.sort_array(F.collect_set("parent")).alias("bases"))
     x = h.join(m, [*RUN, "header_key"], "left").join(e, [*RUN, "header_key"], "left")
@@ -179,7 +173,7 @@ def header_skeletons(spark, sf):
     def build(batches):
         for pdf in batches:
             short = lambda k: k.split("$")[-1]
-            pdf["skeleton"] = [declarations.skeleton(short(k), t or "class", [short(b) for b in (bs if bs is not None else [])], list(ks) if ks is not None else []) for k, t, bs, ks in zip(pdf["header_key"], pdf["header_type"], pdf["bases"], pdf["keys"])]
+            pdf["skeleton"] = [declarations.skeleton(short(k), t or "class", [short(b) for b in (bs if bs is not None else [])], [(x["method_key"], x["code"]) for x in ks] if ks is not None else []) for k, t, bs, ks in zip(pdf["header_key"], pdf["header_type"], pdf["bases"], pdf["keys"])]
             yield pdf[["project", "run_id", "header_key", "skeleton"]]
 
     return x.mapInPandas(build, "project string, run_id string, header_key string, skeleton string")

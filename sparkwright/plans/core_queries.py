@@ -520,9 +520,9 @@ def include_edges(spark, sf):
     return i.join(k, [*RUN, "target"], "left").select(*RUN, "header_key", "target", F.when(F.col("target_key").isNull(), "standard").otherwise("custom").alias("include_kind"))
 
 
-@query("""WITH f AS (SELECT DISTINCT project, run_id, header_key, regexp_extract(source_code, '(?:^|\\n)\\s*package\\s+([\\w.]+)\\s*;', 1) AS pkg FROM headers WHERE source_code IS NOT NULL AND NOT contains(header_key, '$')),
+@query("""WITH f AS (SELECT DISTINCT project, run_id, header_key, regexp_extract(source_code, '(?:^|\\n)\\s*package\\s+([\\w.]+)\\s*;', 1) AS pkg FROM headers WHERE source_code IS NOT NULL AND header_key IS NOT NULL),
   i AS (SELECT DISTINCT project, run_id, header_key, trim(regexp_replace(imp, '^static\\s+', '')) AS imp FROM (SELECT project, run_id, header_key, unnest(imports) AS imp FROM headers) x WHERE imp IS NOT NULL),
-  n AS (SELECT project, run_id, header_key AS target, CASE WHEN pkg = '' THEN header_key ELSE pkg || '.' || header_key END AS fqn, pkg FROM f),
+  n AS (SELECT project, run_id, header_key AS target, CASE WHEN pkg = '' THEN '' ELSE pkg || '.' END || replace(header_key, '$', '.') AS fqn, pkg FROM f),
   e AS (SELECT i.project, i.run_id, i.header_key, n.target, 'exact' AS how FROM i JOIN n ON n.project = i.project AND n.run_id = i.run_id AND n.fqn = i.imp
    UNION ALL SELECT i.project, i.run_id, i.header_key, n.target, 'member' FROM i JOIN n ON n.project = i.project AND n.run_id = i.run_id AND n.fqn = regexp_replace(i.imp, '\\.[^.]+$', '') AND contains(i.imp, '.')
    UNION ALL SELECT i.project, i.run_id, i.header_key, n.target, 'wildcard' FROM i JOIN n ON n.project = i.project AND n.run_id = i.run_id AND i.imp = n.pkg || '.*')
@@ -531,8 +531,9 @@ def import_edges(spark, sf):
     """Imports to types of the run: by full name, by the type of a static member, by package."""
     h = load(spark, sf, "headers", *RUN, "header_key", "source_code", "imports")
     pkg = F.regexp_extract("source_code", r"(?:^|\n)\s*package\s+([\w.]+)\s*;", 1)
-    f = h.where("source_code is not null and not contains(header_key, '$')").select(*RUN, F.col("header_key").alias("target"), pkg.alias("pkg")).distinct()
-    n = f.withColumn("fqn", F.when(F.col("pkg") == "", F.col("target")).otherwise(F.concat_ws(".", "pkg", "target")))
+    f = h.where("source_code is not null and header_key is not null").select(*RUN, F.col("header_key").alias("target"), pkg.alias("pkg")).distinct()
+    name = F.translate("target", "$", ".")
+    n = f.withColumn("fqn", F.when(F.col("pkg") == "", name).otherwise(F.concat_ws(".", "pkg", name)))
     i = h.select(*RUN, "header_key", F.explode("imports").alias("imp")).where("imp is not null").select(*RUN, "header_key", F.trim(F.regexp_replace("imp", r"^static\s+", "")).alias("imp")).distinct()
     forms = F.array(F.struct(F.lit("exact").alias("how"), F.col("imp").alias("fqn")), F.when(F.col("imp").contains("."), F.struct(F.lit("member").alias("how"), F.regexp_replace("imp", r"\.[^.]+$", "").alias("fqn"))))
     by_name = i.select(*RUN, "header_key", F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("x")).select(*RUN, "header_key", "x.*").join(n.select(*RUN, "fqn", "target"), [*RUN, "fqn"])
@@ -695,30 +696,6 @@ def call_types(spark, sf):
     return e.groupBy(*RUN, t.alias("call_type")).agg(F.count(F.lit(1)).alias("raw_lines"), F.countDistinct(F.concat("src", F.lit(">"), "dst")).alias("n_edges"), F.count_if(F.col("enabled") == 0).alias("n_disabled"))
 
 
-def _batch_groups(size: int, seed: int | None):
-    def run(pdf):
-        import pandas as pd
-
-        items = [(k, set(r)) for k, r in zip(pdf["header_key"], pdf["related"])]
-        rows = [(pdf["project"].iloc[0], pdf["run_id"].iloc[0], no, at, k) for no, b in enumerate(callgraph.batches(items, size, seed), 1) for at, k in enumerate(b, 1)]
-        return pd.DataFrame(rows, columns=["project", "run_id", "batch_no", "position", "header_key"])
-
-    return run
-
-
-@query()
-def header_batches(spark, sf, size: int = 5, seed: int | None = None):
-    """Greedy dependency-aware batches of each run's headers: the order decides, so one run's headers form one group, a bounded one."""
-    h = load(spark, sf, "headers", *RUN, "header_key", "ord").groupBy(*RUN, "header_key").agg(F.min("ord").alias("ord"))
-    e = inheritance_edges(spark, sf).groupBy(*RUN, F.col("child").alias("header_key")).agg(F.collect_set("parent").alias("related"))
-    x = h.join(e, [*RUN, "header_key"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
-
-    def ordered(pdf):
-        return _batch_groups(size, seed)(pdf.sort_values(["ord", "header_key"], na_position="last"))
-
-    return x.groupBy(*RUN).applyInPandas(ordered, "project string, run_id string, batch_no int, position int, header_key string")
-
-
 # ------------------------------------------------------------------ predicates, text and rules over rows
 @query("SELECT method_id, (coalesce(skip_translation, false) = false AND coalesce(method_body_location, '') <> '' AND (raw_translated_code IS NULL OR trim(raw_translated_code) = '')) AS pending, coalesce(trim(raw_translated_code), '') <> '' AS translated, mapping_status IN ('needs_cpp_body', 'needs_header_body') AS needs_body, coalesce(method_body_location = 'cpp', false) AS emit_in_cpp, coalesce(method_body_location = 'header', false) AS emit_in_header FROM methods")
 def work_queue(spark, sf):
@@ -799,10 +776,10 @@ def json_field(spark, sf):
     return load(spark, sf, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT method_id, json_valid(raw_translated_code) AS is_json, CASE WHEN json_valid(raw_translated_code) THEN json_extract_string(raw_translated_code, '$.java_signature') END AS java_signature FROM methods WHERE starts_with(raw_translated_code, '{') AND (raw_translated_code LIKE '%}' OR raw_translated_code LIKE '%}' || chr(10))")
+@query("SELECT method_id, json_valid(raw_translated_code) AS is_json, CASE WHEN json_valid(raw_translated_code) THEN json_extract_string(raw_translated_code, '$.java_signature') END AS java_signature FROM methods WHERE raw_translated_code IS NOT NULL")
 def reply_json(spark, sf):
     """Replies that are JSON, permissively read."""
-    m = load(spark, sf, "methods", "method_id", "raw_translated_code").where("startswith(raw_translated_code, '{') and (endswith(raw_translated_code, '}') or endswith(raw_translated_code, '}\\n'))")
+    m = load(spark, sf, "methods", "method_id", "raw_translated_code").where("raw_translated_code is not null")
     ok = F.try_parse_json("raw_translated_code").isNotNull()
     return m.select("method_id", ok.alias("is_json"), F.when(ok, F.get_json_object("raw_translated_code", "$.java_signature")).alias("java_signature"))
 
@@ -843,17 +820,29 @@ def external_files(spark, sf):
 
 
 def _ir(key: str) -> list[str]:
-    return [text.type_ir(p) for p in text.java_parameters(key)]
+    return [text.java_type_ir(p) for p in text.java_parameters(key)]
 
 
-@query()
+def _kinds(c: str) -> str:
+    """Parameter types by kind, in SQL: generic names first, then plain ones, then arrays."""
+    c = f"regexp_replace(regexp_replace({c}, '\\s+', '', 'g'), '(?:[a-z_]\\w*\\.)+', '', 'g')"
+    for kind, names in (("sequence", "List|ArrayList|LinkedList|Collection|Iterable"), ("set", "Set|HashSet"), ("map", "Map|HashMap|LinkedHashMap"), ("optional", "Optional"), ("future", "CompletableFuture|Future")):
+        c = f"regexp_replace(regexp_replace({c}, '\\b(?:{names})<', '{kind}(', 'g'), '\\b(?:{names})\\b', '{kind}', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '\\b(?:String|CharSequence)\\b', 'string', 'g'), '\\b(?:Date|Instant|LocalDate|LocalDateTime)\\b', 'date', 'g')"
+    c = f"replace(regexp_replace(regexp_replace({c}, '\\b[A-Z][A-Za-z0-9_$]*<', 'object(', 'g'), '\\b[A-Z][A-Za-z0-9_$]*', 'object', 'g'), '>', ')')"
+    for _ in range(2):
+        c = f"regexp_replace({c}, '(\\w+(?:\\([^()]*\\))?)(?:\\[\\]|\\.\\.\\.)', 'array(\\1)', 'g')"
+    return c
+
+
+@query(f"SELECT method_id, {_kinds(chr(39).join(['regexp_extract(method_key, ', '\\((.*)\\)', ', 1)']))} AS ir FROM methods WHERE method_key IS NOT NULL")
 def parameter_types(spark, sf):
     """Parameter types in one notation for both languages."""
     ir = text.batch(_ir, T.ArrayType(T.StringType()))
     return load(spark, sf, "methods", "method_id", "method_key").where("method_key is not null").select("method_id", F.array_join(ir(F.col("method_key")), ",").alias("ir"))
 
 
-@query()
+@query("SELECT method_id, regexp_replace(code, '(\"(?:\\\\.|[^\"\\\\\\n])*\"|''(?:\\\\.|[^''\\\\\\n])*'')|//[^\\n]*|/\\*(?:[^*]|\\*+[^*/])*(?:\\*+/|$)', '\\1', 'g') AS code FROM methods WHERE code IS NOT NULL")
 def code_without_comments(spark, sf):
     strip = text.batch(text.strip_comments)
     return load(spark, sf, "methods", "method_id", "code").where("code is not null").select("method_id", strip(F.col("code")).alias("code"))
@@ -877,4 +866,4 @@ def json_objects(spark, sf):
             return None
 
     first = text.batch(part)
-    return load(spark, sf, "methods", "method_id", "raw_translated_code").where("startswith(raw_translated_code, '{')").select("method_id", first(F.col("raw_translated_code")).alias("object"))
+    return load(spark, sf, "methods", "method_id", "raw_translated_code").where("contains(raw_translated_code, '{')").select("method_id", first(F.col("raw_translated_code")).alias("object"))

@@ -90,21 +90,47 @@ def source_lines(spark, sf):
     return x.select(*RUN, "header_key", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
-_FEATS = mapping.feature_table()
-_sq = lambda s: s.replace("'", "''")
-
-
-@query("SELECT method_id, coalesce(array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(code, '{_sq(d)}') THEN '{n}' END" for n, d, _ in _FEATS) + "], lambda x: x IS NOT NULL), ';'), '') AS features FROM methods WHERE code IS NOT NULL")
+_PAIRS = "SELECT 'headers' AS record_kind, header_id AS record_id, source_code AS s, coalesce(raw_translated_code, '') AS t FROM headers WHERE source_code IS NOT NULL UNION ALL SELECT 'methods', method_id, code, coalesce(raw_translated_code, '') FROM methods WHERE code IS NOT NULL"
+_B = "(?:^|[^:])\\b"  # no colon before the word
+# what each rule asks of a source and what fails it, as SQL of its own
+_RULE_SQL = [
+    ("declaration-kind", "regexp_matches(s, '\\b(?:class|interface|enum)\\s+')", "h AND kind <> '' AND NOT regexp_matches(t, CASE WHEN kind = 'enum' THEN '\\benum(?:\\s+class)?\\s+' ELSE '\\b(?:class|struct)\\s+' END || name || '\\b')"),
+    ("interface-virtual-dispatch", "regexp_matches(s, '\\binterface\\s+')", "h AND (NOT contains(t, 'virtual') OR (regexp_matches(s, '\\([^;{}]*\\)\\s*;') AND NOT contains(t, '= 0') AND NOT contains(t, '=0')))"),
+    ("inheritance", "regexp_matches(s, '\\b(?:extends|implements)\\b')", "h AND NOT regexp_matches(t, '\\b(?:class|struct)\\s+\\w+[^\\{;]*:\\s*(?:public\\s+)?\\w+')"),
+    ("primitive-types", "regexp_matches(s, '\\b(?:boolean|byte|short|int|long|float|double|char)\\b')", "regexp_matches(t, '\\bboolean\\b')"),
+    ("string", "regexp_matches(s, '\\bString\\b')", f"regexp_matches(t, '{_B}String\\b')"),
+    ("arrays", "regexp_matches(s, '\\[\\s*\\]')", "regexp_matches(t, '\\b[A-Za-z_]\\w*(?:<[^;{}]+>)?\\s*\\[\\s*\\]')"),
+    ("collections-generics", "regexp_matches(s, '\\b(?:List|ArrayList|Map|HashMap|Set|HashSet|Collection|Optional)\\s*<')", "regexp_matches(replace(t, 'std::', 'std__'), '\\b(?:List|ArrayList|Map|HashMap|Set|HashSet|Collection|Optional)\\s*<')"),
+    ("nullability", "regexp_matches(s, '\\bnull\\b')", "regexp_matches(t, '\\bnull\\b')"),
+    ("static-initialization", "regexp_matches(s, '\\bstatic\\b')", "h AND regexp_matches(s, '\\bstatic\\b[^;()]*;') AND NOT contains(t, 'static')"),
+    ("exceptions", "regexp_matches(s, '\\b(?:throw|throws|Exception|Throwable)\\b')", "regexp_matches(t, '\\bthrows\\b')"),
+    ("constructors-overloads", "regexp_matches(s, '\\b(?:public|protected|private)\\s+[A-Za-z_]\\w*\\s*\\(')", "h AND cname <> '' AND regexp_matches(s, '\\b' || cname || '\\s*\\(') AND NOT regexp_matches(t, '\\b' || cname || '\\s*\\(')"),
+    ("override", "regexp_matches(s, '@Override|\\boverride\\b')", "h AND NOT contains(t, 'override')"),
+    ("synchronization", "regexp_matches(s, '\\bsynchronized\\b|\\bAtomic[A-Za-z]+\\b')", "regexp_matches(t, '\\bsynchronized\\b') OR NOT regexp_matches(t, 'mutex|lock_guard|scoped_lock|unique_lock|atomic')"),
+    ("threading", "regexp_matches(s, '\\b(?:Thread|ExecutorService|Future|CompletableFuture)\\b')", "regexp_matches(replace(t, 'std::', 'std__'), '\\b(?:Thread|ExecutorService|Future|CompletableFuture)\\b')"),
+    ("java-standard-library", "regexp_matches(s, '\\bjava\\.[A-Za-z_]')", "regexp_matches(t, '\\bjava\\s*(?:::|\\.)')"),
+]
+_SEEN = f"WITH p AS ({_PAIRS}), x AS (SELECT *, record_kind = 'headers' AS h, regexp_extract(s, '\\b(class|interface|enum)\\s+([A-Za-z_]\\w*)', 1) AS kind, regexp_extract(s, '\\b(class|interface|enum)\\s+([A-Za-z_]\\w*)', 2) AS name, regexp_extract(s, '\\bclass\\s+([A-Za-z_]\\w*)', 1) AS cname FROM p)"
+_listed = lambda parts: "array_to_string(list_filter([" + ", ".join(parts) + "], lambda v: v IS NOT NULL), ';')"
+
+
+def code_pairs(spark, sf):
+    """Every source with its translation; a missing one counts as empty."""
+    h = load(spark, sf, "headers", F.lit("headers").alias("record_kind"), F.col("header_id").alias("record_id"), F.col("source_code").alias("s"), F.coalesce("raw_translated_code", F.lit("")).alias("t"))
+    m = load(spark, sf, "methods", F.lit("methods").alias("record_kind"), F.col("method_id").alias("record_id"), F.col("code").alias("s"), F.coalesce("raw_translated_code", F.lit("")).alias("t"))
+    return h.union(m).where("s is not null")
+
+
+@query(f"{_SEEN} SELECT record_kind, record_id, {_listed([f"CASE WHEN {a} THEN '{n}' END" for n, a, _ in _RULE_SQL])} AS features FROM x")
 def feature_rules(spark, sf):
-    return load(spark, sf, "methods", "method_id", "code").where("code is not null").select("method_id", F.array_join(mapping.applicable_features(F.col("code")), ";").alias("features"))
+    """The feature rules that apply to each source."""
+    return code_pairs(spark, sf).select("record_kind", "record_id", F.array_join(mapping.applicable_features(F.col("s")), ";").alias("features"))
 
 
-@query("SELECT feature, count(*) AS n_methods, count(*) FILTER (broken) AS n_broken FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, regexp_matches(raw_translated_code, '{_sq(f)}') AS broken FROM methods WHERE code IS NOT NULL AND raw_translated_code IS NOT NULL AND regexp_matches(code, '{_sq(d)}')" for n, d, f in _FEATS if f) + ") x GROUP BY feature")
+@query(f"{_SEEN} SELECT record_kind, record_id, {_listed([f"CASE WHEN ({a}) AND ({b}) THEN '{n}' END" for n, a, b in _RULE_SQL])} AS broken FROM x")
 def broken_features(spark, sf):
-    m = load(spark, sf, "methods", "code", "raw_translated_code").where("code is not null and raw_translated_code is not null")
-    have, bad = mapping.applicable_features(F.col("code")), mapping.broken_features(F.col("code"), F.col("raw_translated_code"))
-    x = m.select(have.alias("have"), bad.alias("bad")).select(F.explode("have").alias("feature"), "bad").where(F.col("feature").isin([n for n, _, f in _FEATS if f]))
-    return x.groupBy("feature").agg(F.count(F.lit(1)).alias("n_methods"), F.count_if(F.array_contains("bad", F.col("feature"))).alias("n_broken"))
+    """The applying rules that each translation fails."""
+    return code_pairs(spark, sf).select("record_kind", "record_id", F.array_join(mapping.broken_features(F.col("s"), F.col("t"), F.col("record_kind") == "headers"), ";").alias("broken"))
 
 
 @query("SELECT ai, CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS total, CAST(sum(loc) AS BIGINT) AS total_loc, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS rate, round(coalesce(sum(CASE WHEN ok THEN loc ELSE 0 END) / nullif(sum(loc), 0)::DOUBLE, 0), 6) AS loc_rate FROM (SELECT ai, 'header' AS kind, coalesce(latest_compile_status = 'success', false) AS ok, len(string_split(coalesce(source_code, ''), chr(10))) AS loc FROM headers UNION ALL SELECT ai, 'method', coalesce(mapping_status = 'already_implemented', false), len(string_split(coalesce(code, ''), chr(10))) FROM methods) f GROUP BY GROUPING SETS ((ai, kind), (ai))")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..operators import hierarchy, logparse
-from . import code_queries, core_queries, more_queries  # noqa: F401  these add to the tables of core_queries
+from . import code_queries, core_queries, graph_queries, more_queries, store_queries  # noqa: F401  these add to the tables of core_queries
 
 QUERIES = {
     "p2_found": hierarchy.p2_found,
     "p2_hierarchies": hierarchy.p2_hierarchies,
+    "p2_paths": hierarchy.p2_paths,
     "p7_found": logparse.p7_found,
     "p7_entries": logparse.p7_entries,
     "p7_templates": logparse.p7_templates,
@@ -39,4 +40,18 @@ P2_FOUND = f"""
   e AS (SELECT DISTINCT 'class' AS kind, a, b FROM hl UNION SELECT 'call', a, b FROM ml),
   r AS (SELECT kind, a, b FROM e UNION SELECT r.kind, r.a, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.b)
   SELECT DISTINCT kind AS link_kind, least(a, b) AS low_id, greatest(a, b) AS high_id FROM r"""
-ORACLE: dict[str, str] = dict(core_queries.SQL) | {"p2_found": P2_FOUND}
+_CTES = P2_FOUND.rpartition("SELECT DISTINCT kind AS link_kind")[0].rstrip()
+P2_PATHS = f"""{_CTES},
+  n AS (SELECT 'class' AS kind, id FROM hn UNION ALL SELECT 'call', min(method_id) FROM methods WHERE method_key IS NOT NULL GROUP BY project, run_id, method_key),
+  cyc AS (SELECT kind, a AS id FROM r WHERE a = b),
+  below AS (SELECT kind, id FROM cyc UNION SELECT r.kind, r.b FROM r JOIN cyc ON cyc.kind = r.kind AND cyc.id = r.a),
+  f AS (SELECT e.* FROM e LEFT JOIN below x ON x.kind = e.kind AND x.id = e.b WHERE x.id IS NULL),
+  top AS (SELECT n.kind, n.id FROM n LEFT JOIN (SELECT DISTINCT kind, b FROM e) p ON p.kind = n.kind AND p.b = n.id WHERE p.b IS NULL),
+  d AS (SELECT kind, id, 0 AS depth FROM top UNION SELECT f.kind, f.b, d.depth + 1 FROM d JOIN f ON f.kind = d.kind AND f.a = d.id),
+  dm AS (SELECT kind, id, max(depth) AS depth FROM d GROUP BY ALL),
+  via AS (SELECT kind, b AS id, a AS parent FROM (SELECT f.*, row_number() OVER (PARTITION BY f.kind, f.b ORDER BY dm.depth DESC, f.a) AS rn FROM f JOIN dm ON dm.kind = f.kind AND dm.id = f.a) x WHERE rn = 1),
+  pth AS (SELECT kind, id, id AS root_id, CAST(id AS VARCHAR) AS path FROM top UNION ALL SELECT v.kind, v.id, p.root_id, p.path || '>' || v.id FROM pth p JOIN via v ON v.kind = p.kind AND v.parent = p.id),
+  size AS (SELECT kind, a AS id, count(*) AS n FROM r GROUP BY ALL)
+  SELECT n.kind AS link_kind, n.id AS node_id, CAST(dm.depth AS INTEGER) AS depth, pth.root_id, pth.path, coalesce(size.n, 0) AS n_descendants, cyc.id IS NOT NULL AS on_cycle
+  FROM n LEFT JOIN dm ON dm.kind = n.kind AND dm.id = n.id LEFT JOIN pth ON pth.kind = n.kind AND pth.id = n.id LEFT JOIN size ON size.kind = n.kind AND size.id = n.id LEFT JOIN cyc ON cyc.kind = n.kind AND cyc.id = n.id"""
+ORACLE: dict[str, str] = dict(core_queries.SQL) | {"p2_found": P2_FOUND, "p2_paths": P2_PATHS}

@@ -80,11 +80,10 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keyed_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """A store of JSON lines in which the last line of a key wins. The lines of a file are numbered while it is read as one text."""
-    text = spark.read.option("wholetext", "true").text(path).withColumn("_file", F.col("_metadata.file_path"))
-    lines = text.select("_file", F.posexplode(F.split("value", "\n")).alias("_line", "_text")).where("trim(_text) <> ''")
-    rows = lines.select("_file", "_line", F.from_json("_text", schema).alias("r")).where("r is not null").select("_file", "_line", "r.*").where(F.col(key).isNotNull())
-    return last_wins(rows, [key], ["_file", "_line"]).drop("_file", "_line")
+    """A store of JSON lines in which the last line of a key wins. A file is read in blocks; a line's order is its block's start, then its place in the block."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.col("value").alias("_text"))
+    rows = lines.where("trim(_text) <> ''").select("_file", "_block", "_line", F.from_json("_text", schema).alias("r")).where("r is not null").select("_file", "_block", "_line", "r.*").where(F.col(key).isNotNull())
+    return last_wins(rows, [key], ["_file", "_block", "_line"]).drop("_file", "_block", "_line")
 
 
 def state(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -109,11 +108,26 @@ def runs(spark: SparkSession, root: str, projects: list[str] | None = None) -> D
     return x.where(F.col("project").isin(projects)) if projects else x
 
 
-def run_log_status(log: Column) -> Column:
-    """Per file its status in the last attempt of a free-text log: array of (file, ok)."""
-    last = F.element_at(F.split(log, r"(?m)^=+ attempt .*$"), -1)
-    line = F.filter(F.split(last, "\n"), lambda x: x.rlike(r"^\[(?:OK|FAIL)\]\s+\S+"))
-    return F.transform(line, lambda x: F.struct(F.regexp_extract(x, r"^\[(?:OK|FAIL)\]\s+(\S+)", 1).alias("file"), x.startswith("[OK]").alias("ok")))
+def run_log_status(log: Column, suffix: str) -> Column:
+    """Per file of a suffix whether it compiled, from the last attempt of a run log that came to repair, before the repair: array of (file, ok)."""
+    attempts = F.filter(F.split(log, r"(?m)^==================== .+ ====================[ \t]*$"), lambda a: a.contains("========== Agent repair"))
+    before = F.element_at(F.split(F.coalesce(F.try_element_at(attempts, F.lit(-1)), F.lit("")), "========== Agent repair"), 1)
+    lines = F.filter(F.transform(F.split(before, "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^(?:Compiled (?:header )?.+\.(?:h|cpp) successfully|Failed to compile (?:header )?.+\.(?:h|cpp))\.$"))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(?:Compiled|Failed to compile) (?:header )?(.+\.(?:h|cpp))(?: successfully)?\.$", 1).alias("file"), x.startswith("Compiled").alias("ok")))
+    return F.filter(pairs, lambda p: p["file"].endswith(suffix))
+
+
+def top_level_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the *.java files directly in a folder."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.java").load(root)
+    return raw.select("path", _decode(F.col("content")).alias("content"))
+
+
+def parse_summary(files: DataFrame) -> DataFrame:
+    """How many files of (path, content) declare a type, and how many do not."""
+    code = batch(strip_comments)(F.col("content"))
+    ok = F.coalesce(code.rlike(r"\b(?:class|interface|enum|record|@interface)\s+[A-Za-z_]\w*"), F.lit(False))
+    return files.select(ok.alias("ok")).agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"))
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -144,11 +158,10 @@ def write_csv(df: DataFrame, path: str, joiner: str = ";") -> None:
 
 
 def write_summary(results: DataFrame, keys: list[str], path: str) -> None:
-    """One JSON line per group: totals and nested results, the failed ones with their logs."""
+    """Totals per group under ``totals`` and the single results under ``results``, partitioned by the keys: no group's logs are gathered."""
     ok = F.coalesce("success", F.lit(False))
-    cols = [c for c in results.columns if c not in keys]
-    out = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("succeeded"), F.sort_array(F.collect_list(F.struct(*cols))).alias("results"))
-    out.write.mode("overwrite").json(path)
+    results.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("succeeded")).write.mode("overwrite").json(f"{path}/totals")
+    results.write.mode("overwrite").partitionBy(*keys).json(f"{path}/results")
 
 
 def write_round(df: DataFrame, path: str, number: int) -> None:

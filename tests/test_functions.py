@@ -50,10 +50,14 @@ def test_code():
 
 
 def test_types():
-    ir = text.type_ir
-    assert ir("java.util.Map<String, List<Integer>>") == ir("std::map<std::string, std::vector<int32_t>>") == "map(string,list(int))"
-    assert ir("const std::shared_ptr<Foo>&") == "object(Foo)?" and ir("a.b.Foo") == "object(Foo)" and ir("int[]") == "array(int)"
-    assert text.same_type(ir("int[]"), ir("std::vector<int>")) and not text.same_type(ir("String"), ir("int")) and text.same_type("unknown", "int")
+    java, cpp, same = text.java_type_ir, text.cpp_type_ir, text.same_type
+    assert java("java.util.Map<String, List<Integer>>") == "map(string,sequence(object))" and cpp("const std::map<std::string, std::vector<int32_t>>&") == "map(string,sequence(int))"
+    assert cpp("const std::shared_ptr<Foo>&") == "object(object)?" and java("a.b.Foo") == "object" and java("@X final int[]...") == "array(array(int))" and cpp("char*") == "string?" and java("t") == "unknown"
+    assert same(java("int[]"), cpp("std::vector<int>")) and same(java("char[]"), cpp("std::string")) and not same(java("String"), cpp("int")) and same("unknown", "int")
+    # widths are kept apart; a value may become optional, an optional no value
+    assert not same(java("long"), cpp("int32_t")) and same(java("long"), cpp("int64_t")) and same(java("byte"), cpp("signed char"))
+    assert same(java("int"), cpp("std::optional<int>")) and not same(java("Optional<String>"), cpp("std::string")) and same(java("Future<String>"), cpp("std::future<std::string>")) and not same(java("Future<String>"), cpp("Foo"))
+    assert not same(java("Map<String,Long>"), cpp("std::map<int, Foo>")) and same(java("Map"), cpp("std::map<int, int>")) and not same(java("Set<int>"), cpp("std::vector<int>"))
 
 
 def test_blocks(spark):
@@ -98,13 +102,17 @@ def test_declarations():
     got = [d.parse_declaration(x) for x in d.members(d.class_body(c, "A"))]
     assert got == [("A", ["int"]), ("~A", []), None, None, ("f", ["std::vector<int>&", "B*"]), ("operator==", ["A&"])]
     assert d.static_definitions(c, "A", "") == ["int A::N;"] and d.static_definitions(c, "A", "int A::N = 2;") == []
-    assert d.find_declaration(c, "A", "f", 2) and d.find_declaration(c, "A", "f", 1) is None
+    assert d.find_declaration(c, "A", "f", 2) and d.find_declaration(c, "A", "f", 1) is None and d.find_declaration(c, "Absent", "f", 2) is None
+    assert d.parse_declaration("std::function<R()> supplier;") is None and d.parse_declaration("template <class T> T f(int a);") == ("f", ["int"])
     assert d.inheritance("/* class Z */ final class Q<T extends R> extends S<T, U> implements V, W<X, Y> {") == ("Q", "S<T, U>", ["V", "W<X, Y>"])
-    assert d.map_type("Map<String, ? extends List<T>>", ("T",)) == "std::unordered_map<std::string, std::vector<T>>" and d.map_type("int[]...") == "std::vector<std::vector<int32_t>>"
-    assert d.signature_errors("A:f(List<Integer>,B)", "void f(const std::vector<int>& a, B* b);") == [] and len(d.signature_errors("A:f(int)", "void g(std::string s);")) == 2
+    assert d.map_type("Map<String, ? extends List<T>>", ("T",)) == "std::map<std::string, std::vector<T>>" and d.map_type("int[]...") == "std::vector<std::vector<int>>"
+    assert [d.map_type(x) for x in ("long", "Object", "Duration", "a.b.Foo", "?", "byte[][]", "Class<T>", "Foo<? super Bar>")] == ["long long", "void*", "std::chrono::duration<long long, std::nano>", "Foo", "void*", "std::vector<char>", "void*", "Foo<Bar>"]
+    assert d.signature_errors("A:f(List<String>,B)", "void f(const std::vector<std::string>& a, B* b);") == [] and len(d.signature_errors("A:f(int)", "void g(std::string s);")) == 2
     assert d.header_errors("class A extends X {}", c) == ["base X missing"] and d.header_errors("class A extends B {}", c) == []
     assert d.parse_function("static void A::g(int x) { }")["owner"] == "A" and d.parse_function("A::A() {", "A")["constructor"]
     assert d.statements('{ for (int i=0;i<3;i++) { a("x;"); } if (b) { return; } }') == 4
+    # bodies without braces and switch labels do not count, blocks in them and lambda bodies do
+    assert [d.statements(x) for x in ("{ if (a) b(); }", "{ if (a) b(); else { c(); d(); } }", "{ switch (a) { case 1: b(); break; case 2: { c(); } default: } return 1; }", "void f();", "@A(x = {1}) void f() { a(); }", "{ run(() -> { a(); b(); }); int[] c = {1, 2}; do { d(); } while (x); }", "{ try { a(); } catch (E e) { b(); } finally { } l: while (x) { break l; } }")] == [1, 3, 3, 0, 1, 6, 5]
 
 
 def test_predicates(spark):

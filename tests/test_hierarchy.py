@@ -120,7 +120,18 @@ def test_cycles_and_batches():
     assert callgraph.canonical_cycle(list("bcab"), True) == callgraph.canonical_cycle(list("bacb"), True) == ("a", "b", "c")
     assert callgraph.canonical_cycle(list("bcab")) == ("a", "b", "c") and callgraph.canonical_cycle(list("bacb")) == ("a", "c", "b")
     assert callgraph.back_edge_cycles({"a": ["b"], "b": ["c"], "c": ["a", "d"], "d": ["d"]}) == [("a", "b", "c"), ("d",)]
-    items = [(k, {"B"} if k == "D" else set()) for k in "ABCDE"]
-    got = callgraph.batches(items, 2)
-    assert sorted(sum(got, [])) == list("ABCDE") and all(len(b) <= 2 for b in got)
-    assert sorted(sum(callgraph.batches(items, 2, seed=4), [])) == list("ABCDE")
+    items = [(k, {"D": ["B"], "B": ["D"], "A": ["E"]}.get(k, []), {"D": {"B"}, "B": {"D"}}.get(k, set())) for k in "ABCDE"]
+    # A takes the near E; B takes its relative D; C is left; nobody else's relative fills a batch
+    assert callgraph.batches(items, 2) == [["A", "E"], ["B", "D"], ["C"]]
+    assert callgraph.batches(items, 3) == [["A", "E", "C"], ["B", "D"]]
+    assert sorted(sum(callgraph.batches(items, 2, seed=4), [])) == list("ABCDE") and [len(b) for b in callgraph.batches(items, 2, seed=4)] == [2, 2, 1]
+    with pytest.raises(ValueError):
+        callgraph.batches(items, 0)
+
+
+def test_orders_and_cycles(spark):
+    h = spark.createDataFrame([("p", "r", "A", ["B", "Z", None], 2), ("p", "r", "B", ["C"], 1), ("p", "r", "C", ["B"], 3), ("p", "r", "D", None, None), ("p", "r", None, [], 0)], "project string, run_id string, k string, deps array<string>, ord long")
+    got = [(r["node"], r["component"], r["layer"]) for r in callgraph.dependency_order(spark, h, callgraph.F.col("k"), callgraph.F.col("deps"), "ord").orderBy("position").collect()]
+    assert got == [("B", "B", 0), ("C", "B", 0), ("D", "D", 0), ("A", "A", 1)]
+    e = spark.createDataFrame([("p", "r", a, b) for a, b in ("ab", "ba", "bc", "cd", "de", "ec")], "project string, run_id string, src string, dst string")
+    assert {(r["cycle"], r["length"]) for r in callgraph.component_cycles(spark, e).collect()} == {("a > b", 2), ("c > d > e", 3)}

@@ -1,4 +1,5 @@
 import json
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -102,8 +103,11 @@ def test_files(spark, tmp_path):
     run.mkdir(parents=True)
     (run / "x.json").write_text("{}")
     assert tuple(files.runs(spark, str(tmp_path / "out"), ["proj"]).select("version", "project", "ai", "run_id", "n_files").first()) == ("v1", "proj", "m", "r1", 1)
-    log = "[OK] a.cpp\n=== attempt 2\n[FAIL] a.cpp\n[OK] b.h"
-    assert [tuple(x) for x in spark.createDataFrame([(log,)], "l string").select(files.run_log_status(F.col("l")).alias("s")).first()["s"]] == [("a.cpp", False), ("b.h", True)]
+    bar = "=" * 20
+    log = f"{bar} one {bar}\nCompiled a.cpp successfully.\n========== Agent repair\n{bar} two {bar}\nFailed to compile a.cpp.\n  Compiled header b.h successfully.\nCompiled c.cpp successfully\n========== Agent repair\nCompiled a.cpp successfully.\n{bar} three {bar}\nCompiled a.cpp successfully."
+    status = lambda suffix: [tuple(x) for x in spark.createDataFrame([(log,)], "l string").select(files.run_log_status(F.col("l"), suffix).alias("s")).first()["s"]]
+    assert status(".cpp") == [("a.cpp", False)] and status(".h") == [("b.h", True)]
+    assert spark.createDataFrame([("nothing",)], "l string").select(files.run_log_status(F.col("l"), ".h").alias("s")).first()["s"] == []
 
 
 def test_more_sinks(spark, tmp_path):
@@ -115,7 +119,8 @@ def test_more_sinks(spark, tmp_path):
     files.write_round(d.limit(1), str(tmp_path / "r"), 2)
     assert spark.read.parquet(str(tmp_path / "r")).groupBy("round").count().orderBy("round").collect() == [(1, 3), (2, 1)]
     files.write_summary(d, ["success"], str(tmp_path / "s"))
-    assert spark.read.json(str(tmp_path / "s")).count() == 3
+    assert {(r["success"], r["total"], r["succeeded"]) for r in spark.read.json(str(tmp_path / "s" / "totals")).collect()} == {(True, 1, 1), (False, 1, 0), (None, 1, 0)}
+    assert spark.read.json(str(tmp_path / "s" / "results")).count() == 3
 
 
 def test_providers(spark):
@@ -145,3 +150,62 @@ def test_stream_equals_batch(spark, tmp_path):
     s = ingest.run_to_end(ingest.stage_totals(ingest.trace_stream(spark, str(tmp_path / "t"), 1)), "complete", "t")
     b = ingest.stage_totals(files.traces(spark, str(tmp_path / "t")))
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_stores(spark, tmp_path):
+    from sparkwright.sources import stores
+
+    (tmp_path / "j").mkdir()
+    for name, text in (("a", '{"x": 1}'), ("b", "{broken"), ("c", "")):
+        (tmp_path / "j" / f"{name}.json").write_text(text)
+    got = {r["path"][-6:]: r["record"] and r["record"]["x"] for r in stores.tolerant_json(spark, str(tmp_path / "j"), "x int").collect()}
+    assert got == {"a.json": 1, "b.json": None}  # the reader passes over files without bytes
+    assert stores.tolerant_json(spark, str(tmp_path / "absent"), "x int").count() == 0
+    f = tmp_path / "conf.json"
+    f.write_text('{"m": {"api_key": "k", "base_url": "u", "model": "n"}}')
+    assert stores.provider_configs(None, str(f)) == stores.provider_configs('{"m": {"api_key": "k", "base_url": "u", "model": "n"}}', "/absent") and stores.provider_configs() == {}
+    for bad in ("[]", '{"m": {"model": "n"}}', "{"):
+        with pytest.raises(ValueError):
+            stores.provider_configs(bad)
+    (tmp_path / "src" / "deep").mkdir(parents=True)
+    for name, text in (("A.java", "class A {}"), ("B.java", "// class B"), ("deep/C.java", "class C {}"), ("x.txt", "class X {}")):
+        (tmp_path / "src" / name).write_text(text)
+    assert tuple(files.parse_summary(files.top_level_sources(spark, str(tmp_path / "src"))).first()) == (1, 1)
+    n = spark.createDataFrame([("p", "r", "A:f(List<X>)", 1), ("q", "r", "B:g()", 1)], "project string, run_id string, method_key string, ord long")
+    c = spark.createDataFrame([("p", "r", "A:f(List<Y>)", "(VIR)A:h()")], "project string, run_id string, src string, dst string")
+    stores.write_graph(n, c, str(tmp_path / "g"))
+    stores.write_graph(n.where("project = 'q'"), c.limit(0), str(tmp_path / "g"))
+    nodes, calls = stores.read_graph(spark, str(tmp_path / "g"))
+    assert {(r["method_key"], r["new_layer"]) for r in nodes.collect()} == {("A:f(List<X>)", 0), ("B:g()", 0)} and calls.count() == 1
+
+
+def test_keyed_lines_last_one_wins(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text("\n".join(f'{{"k": {i % 7}, "v": {i}}}' for i in range(500)) + "\n\nbroken\n")
+    got = {r["k"]: r["v"] for r in files.keyed_lines(spark, str(tmp_path / "s.jsonl"), "k int, v int", "k").collect()}
+    assert got == {k: max(i for i in range(500) if i % 7 == k) for k in range(7)}
+
+
+def test_method_states(spark):
+    from sparkwright.operators import mapping
+
+    rows = [
+        ("x", "cpp", "", False, False, False, None), ("x", None, "void f()", True, True, False, None), ("x", None, "void f() = 0;", True, False, False, None), ("x", None, "A() = default;", False, False, False, None),
+        ("unmapped", None, "void f()", False, False, False, "why"), ("x", None, "void f()", False, False, True, None), ("x", "cpp", "void f()", False, False, True, None), (None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "s string, l string, d string, h boolean, f boolean, t boolean, w string")
+    got = [tuple(r["x"]) for r in df.select(mapping.mapped_state(*map(F.col, "sldhftw")).alias("x")).collect()]
+    assert got == [
+        ("x", "none", True, "deleted_or_merged"), ("already_implemented", "none", True, "already_implemented"), ("pure_virtual", "none", True, "pure_virtual"), ("defaulted_or_deleted", "none", True, "defaulted_or_deleted"),
+        ("unmapped", "none", True, "why"), ("needs_header_body", "header", False, ""), ("needs_cpp_body", "cpp", False, ""), ("deleted_or_merged", "none", True, "deleted_or_merged"),
+    ]
+    rows = [("cpp", False, False, False, False), ("header", False, False, False, False), ("header", True, False, False, False), (None, False, False, True, False), (None, False, True, False, False), (None, None, None, None, None), ("none", False, False, True, True)]
+    df = spark.createDataFrame(rows, "l string, f boolean, d boolean, t boolean, a boolean")
+    assert [tuple(r["x"]) for r in df.select(mapping.routing(*map(F.col, "lfdta")).alias("x")).collect()] == [(False, True), (True, False), (False, False), (True, False), (False, False), (False, True), (False, False)]
+
+
+def test_rules_can_be_added(spark):
+    from sparkwright.operators import mapping
+
+    own = mapping.Rule("no-goto", lambda s: s.contains("while"), lambda s, t, h: t.contains("goto"))
+    df = spark.createDataFrame([("while (x) {}", "goto a;"), ("x", "goto a;"), (None, "goto a;")], "s string, t string")
+    assert [r["x"] for r in df.select(mapping.broken_features(F.col("s"), F.col("t"), F.lit(False), (*mapping.FEATURE_RULES, own)).alias("x")).collect()] == [["no-goto"], [], []]
