@@ -213,14 +213,14 @@ def training_code(rows: DataFrame, column: str, key: str, n: int) -> list[str]:
     return sorted(r[0] for r in bounded_sample(rows.where(F.col(column).isNotNull()), key, n).select(column).collect())
 
 
-def group_by_length(lengths: list[int], size: int = 2048) -> list[list[int]]:
+def group_by_length(lengths: list[int], size: int = 2048, cells: int = 400_000) -> list[list[int]]:
     """Indexes in groups of like length, so that padding stays small."""
     order = sorted(range(len(lengths)), key=lengths.__getitem__)
     out, start = [], 0
     while start < len(order):
         end = min(len(order), start + size)
         # long sequences in smaller groups: bounds the cells of one group
-        while end - start > 1 and (end - start) * max(1, lengths[order[end - 1]]) > 400_000:
+        while end - start > 1 and (end - start) * max(1, lengths[order[end - 1]]) > cells:
             end = start + max(1, (end - start) // 2)
         out.append(order[start:end])
         start = end

@@ -55,3 +55,47 @@ def test_prose_in_code(docs):
     chars, langs = code_prose.languages(dec, [text])[0]
     assert langs == {"de", "zh", "en"} and set(chars) == langs and sum(chars.values()) < len(text)
     assert code_prose.languages(dec, ["", "int x;", "/* one two */"]) == [({}, set())] * 3
+
+
+def plain_path(dec, text, inside):
+    """Viterbi over one whole file, a character at a time; outside of comments and literals only code is possible."""
+    import numpy as np
+
+    q = code_prose.Sequence([text])
+    e, (enter, leave, cross), k = dec.emissions(q), dec.model.change, code_prose.K
+    v, back = [0.0] + [-np.inf] * (k - 1), []
+    for t in range(len(text)):
+        new, row = [], []
+        for s in range(k):
+            ways = [(v[s], s)]
+            if q.change[t] or inside[t] != inside[t - 1]:
+                ways += [(v[r] + (leave if s == 0 else enter if r == 0 else cross), r) for r in range(k) if r != s]
+            best, r = max(ways)
+            new.append(best + float(e[t, s]) if s == 0 or inside[t] else -np.inf)
+            row.append(r)
+        v = new
+        back.append(row)
+    state = int(np.argmax([v[0]] + [x + leave for x in v[1:]]))
+    path = []
+    for row in reversed(back):
+        path.append(state)
+        state = row[state]
+    return path[::-1]
+
+
+def test_path_over_a_whole_file_falls_apart_into_its_stretches(docs):
+    code = ["class A { int hollowBucket = valveIndex.length() - 3; void f(String s) { if (s == null) { return; } } }"] * 5
+    dec = code_prose.Decoder(code_prose.fit_model(docs[:200], code))
+    parts = [("int a = b; ", 0), (" the reader waits for lastBucket until it is closed ", 1), ("foo(a1, B_c);", 0), (" der Leser wartet and the rest is gone ", 1), (" if (x) { return y; } ", 1), ("}", 0)]
+    text, inside = "".join(s for s, _ in parts), [i for s, i in parts for _ in s]
+    whole = plain_path(dec, text, inside)
+    q = code_prose.Sequence([s for s, i in parts if i])
+    # in white space and signs a change may stand at one place as well as at another
+    assert [k for k, i, c in zip(whole, inside, text) if i and c.isalpha()] == [k for k, c in zip(dec.decode(q).tolist(), "".join(s for s, i in parts if i)) if c.isalpha()]
+    assert {code_prose.STATES[k] for k in whole} >= {"code", "en"} and not any(k for k, i in zip(whole, inside) if not i)
+
+
+def test_changes_of_state_are_learned(docs):
+    code = ["int x; // The reader waits until the other side has closed.\n/* x = y; foo(bar); */"] * 20
+    model = code_prose.fit_model(docs[:200], code)
+    assert model.change != (code_prose.CODE_CHANGE, code_prose.CODE_CHANGE, code_prose.LANGUAGE_CHANGE) and all(c < 0 for c in model.change)
