@@ -98,6 +98,10 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 
 
 # ------------------------------------------------------------------ masking, in the engine
+#: Characters that are taken off at both ends of a line.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\ufeff"
+
+
 def _where(line: Column, sign: str, changed: Column) -> Column:
     """``changed`` only where the sign occurs: a search for a sign costs less than one for a pattern."""
     return F.when(F.contains(line, F.lit(sign)), changed).otherwise(line)
@@ -105,7 +109,7 @@ def _where(line: Column, sign: str, changed: Column) -> Column:
 
 def clean(line: Column) -> Column:
     """The line without colours, byte order marks and outer white space."""
-    return F.regexp_replace(_where(line, "\x1b", F.regexp_replace(line, ANSI, "")), r"^(?U:[\s\x{FEFF}]+)|(?U:\s+)$", "")
+    return F.btrim(_where(line, "\x1b", F.regexp_replace(line, ANSI, "")), F.lit(_BLANKS))
 
 
 def mask(line: Column) -> Column:
@@ -116,7 +120,8 @@ def mask(line: Column) -> Column:
     s = F.when(F.contains(line, F.lit('"')) | F.contains(line, F.lit("'")), quotes).otherwise(line)
     s = _where(s, "/", F.regexp_replace(s, r"(?<![\w.$/+@-])[\w.+@-]*/[\w./+@-]+(?![\w$])", "P"))
     # names in mixed case, but for level words however they are written
-    s = F.regexp_replace(s, rf"(?<![A-Za-z0-9_$])(?=[A-Za-z0-9_$]*?[a-z][A-Z])(?!(?i:{levels})(?![A-Za-z0-9_$]))[A-Za-z0-9_$]++", "W")
+    named = F.regexp_replace(s, rf"(?<![A-Za-z0-9_$])(?=[A-Za-z0-9_$]*?[a-z][A-Z])(?!(?i:{levels})(?![A-Za-z0-9_$]))[A-Za-z0-9_$]++", "W")
+    s = F.when(s.rlike("[a-z][A-Z]"), named).otherwise(s)
     return F.translate(s, "123456789", "000000000")
 
 
@@ -344,7 +349,7 @@ class Reader:
 
 def head(line: str, year: int | None) -> tuple | None:
     """A single line's fields, by a template of its own: (time or None, level, component, message)."""
-    t = re.sub(ANSI, "", line).strip().lstrip("\ufeff").strip()
+    t = re.sub(ANSI, "", line).strip(_BLANKS)
     how = layout(t)
     return Reader()(t, how, year) if how else None
 
