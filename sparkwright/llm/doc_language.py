@@ -33,6 +33,7 @@ FIT_DOCS, FEATURES, STEPS = 800, 1 << 16, 80
 #: A foreign sentence counts from so many letters (words in alphabets, signs in Han and kana).
 LEAST_WORDS, LEAST_SIGNS = 4, 6
 L = len(LANGS)
+_SIGNED = [LANGS.index("zh"), LANGS.index("ja")]
 
 
 def features(word: str) -> list[int]:
@@ -58,45 +59,62 @@ class Field:
     def __init__(self, weights: np.ndarray, transitions: np.ndarray):
         self.weights, self.transitions = weights, transitions
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, L), np.float32)
+        self.scaled, self.letters = np.ones((1024, L), np.float32), np.zeros(1024, np.float32)  # row 0 is no word's
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """Feature scores (words x languages); those of a word are kept."""
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Numbers of words (0: none); exponentials of their feature scores are kept in ``scaled``, the largest 1, and their letters in ``letters``."""
         get = self.index.get
-        ids = [get(w, -1) for w in words]
-        if -1 in ids:
+        out = [get(w, 0) for w in words]
+        if 0 in out:
             if len(self.index) > 400_000:  # bounds memory only
                 self.index.clear()
-                ids = [-1] * len(words)
-            for j, i in enumerate(ids):
-                if i < 0:
+                out = [0] * len(words)
+            for j, i in enumerate(out):
+                if not i:
                     w = words[j]
                     i = self.index.get(w)
                     if i is None:
-                        i = self.index[w] = len(self.index)
-                        if i >= len(self.table):
-                            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                        self.table[i] = self.weights[features(w)].sum(axis=0)
-                    ids[j] = i
-        return self.table[ids]
-
-    def marginals(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
-        """Posterior probabilities (words x languages) of each sequence of emissions."""
-        out: list = [None] * len(seqs)
-        for group in group_by_length([len(s) for s in seqs]):
-            n = max(len(seqs[i]) for i in group)
-            if not n:
-                for i in group:
-                    out[i] = np.zeros((0, L), dtype=np.float32)
-                continue
-            e = np.zeros((n, len(group), L), dtype=np.float32)
-            mask = np.zeros((n, len(group), 1), dtype=bool)
-            for j, i in enumerate(group):
-                e[: len(seqs[i]), j] = seqs[i]
-                mask[: len(seqs[i]), j] = True
-            p, _ = forward_backward(e, mask, self.transitions)
-            for j, i in enumerate(group):
-                out[i] = p[: len(seqs[i]), j]
+                        i = self.index[w] = len(self.index) + 1
+                        if i >= len(self.scaled):
+                            self.scaled = np.concatenate([self.scaled, np.ones_like(self.scaled)])
+                            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+                        v = self.weights[features(w)].sum(axis=0)
+                        self.scaled[i] = np.exp(v - v.max())
+                        self.letters[i] = len(w)
+                    out[j] = i
+        return np.array(out, dtype=np.int64)
+
+    def _posterior(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Forward-backward over scaled scores (steps, sequences, languages), as ``forward_backward`` without its sums for fitting."""
+        n, one = len(x), np.ones(L, np.float32)
+        move = np.exp(self.transitions - self.transitions.max()).astype(np.float32)
+        a = np.empty_like(x)
+        a[0] = x[0] / (x[0] @ one)[:, None]
+        for t in range(1, n):  # what stands behind a sequence's end is not read
+            v = (a[t - 1] @ move) * x[t]
+            np.divide(v, (v @ one)[:, None] + 1e-30, out=a[t])
+        back, b = np.ascontiguousarray(move.T), np.ones_like(x[0])
+        for t in range(n - 2, -1, -1):
+            v = (x[t + 1] * b) @ back
+            v /= (v @ one)[:, None] + 1e-30
+            b = np.where(mask[t + 1][:, None], v, b)
+            a[t] *= b
+        a /= (a @ one)[:, :, None] + 1e-30
+        return a
+
+    def marginals(self, ids: np.ndarray, lens: list[int]) -> np.ndarray:
+        """Posterior probabilities (words x languages) of sequences of words, one after the other."""
+        out = np.zeros((len(ids), L), np.float32)
+        size = np.array(lens, dtype=np.int64)
+        starts = np.cumsum(size) - size
+        held = np.append(ids, 0)
+        for group in group_by_length(lens):
+            g = np.array([i for i in group if size[i]])
+            if len(g):
+                step = np.arange(int(size[g].max()))[:, None]
+                mask = step < size[g][None, :]
+                at = np.where(mask, starts[g][None, :] + step, len(ids))
+                out[at[mask]] = self._posterior(self.scaled[held[at]], mask)[mask]
         return out
 
 
@@ -196,29 +214,40 @@ SEGMENTS = "doc_id long, lang string, segment_no int, lang_code string, confiden
 
 def analyse(field: Field, texts: list[str], with_text: bool = False) -> list[list[tuple]]:
     """Per text its runs of sentences of one language: (language, its probability mass, letters, words, text, holds a whole sentence)."""
-    split, seqs = [], []
+    split: list[list[str]] = []
+    words: list[str] = []
+    counts: list[list[int]] = []
     for t in texts:
-        kept = [(s, w) for s in sentences(running_text(t)) if (w := split_words(s.lower()))]
+        kept, n = [], []
+        for s in sentences(running_text(t) if with_text else running_text(t).lower()):
+            if w := split_words(s.lower() if with_text else s):
+                kept.append(s)
+                n.append(len(w))
+                words += w
         split.append(kept)
-        seqs.append(field.emissions([w for _, x in kept for w in x]))
-    out = []
-    for kept, p in zip(split, field.marginals(seqs)):
-        segs: list[tuple] = []
-        if kept:
-            size = np.array([len(w) for _, x in kept for w in x], dtype=np.float32)
-            starts = np.cumsum([0, *(len(x) for _, x in kept[:-1])])
-            mass = np.add.reduceat(p * size[:, None], starts, axis=0)
-            letters = np.add.reduceat(size, starts).astype(int).tolist()
-            best = mass.argmax(axis=1)
-            top = mass[np.arange(len(best)), best].tolist()
-            for (s, w), k, m, n in zip(kept, best.tolist(), top, letters):
-                whole = _whole(k, n, len(w))
-                if segs and segs[-1][0] == k:
-                    g = segs[-1]
-                    segs[-1] = (k, g[1] + m, g[2] + n, g[3] + len(w), g[4] + " " + s if with_text else "", max(g[5], whole))
-                else:
-                    segs.append((k, m, n, len(w), s if with_text else "", whole))
-        out.append(segs)
+        counts.append(n)
+    out: list[list[tuple]] = [[] for _ in texts]
+    if not words:
+        return out
+    ids = field.ids(words)
+    p, size = field.marginals(ids, [sum(n) for n in counts]), field.letters[ids]
+    per = np.array([k for n in counts for k in n])
+    starts = np.cumsum(per) - per
+    mass = np.add.reduceat(p * size[:, None], starts, axis=0)
+    sums = np.add.reduceat(size, starts)
+    lead = mass.argmax(axis=1)
+    whole = np.where(np.isin(lead, _SIGNED), sums >= LEAST_SIGNS, per >= LEAST_WORDS).astype(int).tolist()
+    best, top, letters, n_words = lead.tolist(), mass[np.arange(len(lead)), lead].tolist(), sums.astype(int).tolist(), per.tolist()
+    at = 0
+    for segs, kept in zip(out, split):
+        for s in kept:
+            k = best[at]
+            if segs and segs[-1][0] == k:
+                g = segs[-1]
+                segs[-1] = (k, g[1] + top[at], g[2] + letters[at], g[3] + n_words[at], g[4] + " " + s if with_text else "", max(g[5], whole[at]))
+            else:
+                segs.append((k, top[at], letters[at], n_words[at], s if with_text else "", whole[at]))
+            at += 1
     return out
 
 
@@ -238,11 +267,6 @@ def _doc_batches(weights: np.ndarray, transitions: np.ndarray, with_text: bool):
     return run
 
 
-def _whole(k: int, letters: int, n_words: int) -> int:
-    """1 if a sentence is long enough to be one."""
-    return int(letters >= LEAST_SIGNS if LANGS[k] in ("zh", "ja") else n_words >= LEAST_WORDS)
-
-
 def segments(spark: SparkSession, docs: DataFrame, field: Field, with_text: bool = True) -> DataFrame:
     """Runs of sentences of one language of each document (doc_id, lang, body); n_words is 0 if no whole sentence is in it."""
     return docs.where("doc_id is not null and body <> ''").mapInPandas(_doc_batches(field.weights, field.transitions, with_text), SEGMENTS)

@@ -99,9 +99,10 @@ def running_text(text: str) -> str:
 def sentences(text: str) -> list[str]:
     """Sentences of running text; wrapped lines are joined, blank lines and list items end one."""
     out = []
-    for s in _END.sub(lambda m: m[0] + "\0", text).split("\0"):
+    marked = len(_CODE_MARKS.findall(text)) > 2
+    for s in _END.sub("\\g<0>\0", text).split("\0"):
         if s and _LETTERS.search(s):
-            n = len(_CODE_MARKS.findall(s))
+            n = len(_CODE_MARKS.findall(s)) if marked else 0
             if n < 3 or n * 12 < s.count(" "):  # else code that lost its lines
                 out.append(" ".join(s.split()))
     return out

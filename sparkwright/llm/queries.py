@@ -42,6 +42,19 @@ ORACLE = {
         r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT DISTINCT a AS header_id_a, b AS header_id_b FROM r WHERE a < b
     """,
+    # classes by equal sets of sequences (of words where there are fewer than three), groups by the smallest row they reach
+    "p1_groups": """
+        WITH RECURSIVE
+        w AS (SELECT header_id, regexp_extract_all(lower(source_code), '[\\p{L}\\p{N}_]+') AS w FROM headers WHERE regexp_matches(source_code, '\\S')),
+        g AS (SELECT DISTINCT header_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT header_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3) x),
+        k AS (SELECT header_id, md5(string_agg(gram, chr(10) ORDER BY gram)) AS k FROM g GROUP BY header_id UNION ALL SELECT header_id, array_to_string(w, ' ') FROM w WHERE len(w) < 3),
+        c AS (SELECT header_id, min(header_id) OVER (PARTITION BY k) AS class_id FROM k),
+        n AS (SELECT header_id, count(*) AS n FROM g GROUP BY header_id),
+        shared AS (SELECT a.header_id AS a, b.header_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.header_id <> b.header_id GROUP BY ALL),
+        e AS (SELECT a, b FROM shared JOIN n x ON x.header_id = a JOIN n y ON y.header_id = b WHERE shared.k >= 0.7 * (x.n + y.n - shared.k) UNION SELECT header_id, class_id FROM c UNION SELECT class_id, header_id FROM c),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT h.header_id, min(c.class_id) AS class_id, min(r.b) AS group_id FROM headers h LEFT JOIN c USING (header_id) LEFT JOIN r ON r.a = h.header_id GROUP BY h.header_id
+    """,
     "p8_found": f"""
         WITH
         d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(translate(translate(text, '{_WIDE}', '{_PLAIN}'), chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279), ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text <> ''),
