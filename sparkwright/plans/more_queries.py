@@ -212,3 +212,19 @@ def streaming_daily_windows(spark, sf):
 def streaming_upsert(spark, sf):
     s = ingest.stream_table(spark, sf, "compile_result").select("result_id", *RUN, "file_name", "success", "recorded_at")
     return ingest.upsert_latest(spark, s, [*RUN, "file_name"], ["recorded_at", "result_id"]).select("result_id", *RUN, "file_name", "success")
+
+
+@query("""WITH m AS (SELECT date_trunc('day', recorded_at AT TIME ZONE 'UTC') AS day, stage, count(*) AS n FROM compile_result WHERE recorded_at IS NOT NULL GROUP BY ALL)
+  SELECT day::DATE AS day, stage, n FROM m WHERE day + INTERVAL 1 DAY <= (SELECT max(date_trunc('milliseconds', recorded_at AT TIME ZONE 'UTC')) - INTERVAL 30 DAY FROM compile_result)""")
+def streaming_closed_windows(spark, sf):
+    """Windows put out once, when the watermark has passed them: those of the last thirty days stay open."""
+    s = ingest.stream_table(spark, sf, "compile_result").select("recorded_at", "stage", "success").where("recorded_at is not null")
+    return ingest.run_to_end(ingest.windowed_results(s), "append", "closed-windows").select(F.to_date("w.start").alias("day"), "stage", "n")
+
+
+@query("""WITH r AS (SELECT project, file_name, recorded_at, success, lag(success) OVER (PARTITION BY project, file_name ORDER BY recorded_at, success) AS before FROM (SELECT DISTINCT project, file_name, recorded_at, success FROM compile_result WHERE success IS NOT NULL AND project IS NOT NULL AND file_name IS NOT NULL AND recorded_at IS NOT NULL) d)
+  SELECT project, file_name, count(*) AS n_changes FROM r WHERE before IS NULL OR before <> success GROUP BY ALL""")
+def streaming_status_changes(spark, sf):
+    """How often each file's outcome changed, by an operator that keeps the last one."""
+    s = ingest.stream_table(spark, sf, "compile_result").select("project", "file_name", "recorded_at", "success").where("success is not null and project is not null and file_name is not null and recorded_at is not null")
+    return ingest.run_to_end(ingest.status_changes(s, ["project", "file_name"]), "append", "changes").groupBy("project", "file_name").agg(F.count(F.lit(1)).alias("n_changes"))
