@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import Stage
-from .hierarchy import MAX_LINKS, hierarchies
+from .hierarchy import MAX_LINKS
 
 KEYS = ["project", "run_id"]
 
@@ -188,21 +188,60 @@ def layers(spark: SparkSession, links: DataFrame, max_links: int = MAX_LINKS) ->
     if large.isEmpty():
         return links.groupBy(*KEYS).agg(F.collect_list("src").alias("ss"), F.collect_list("dst").alias("ds")).mapInPandas(_layer_batches, LAYERS)
     held = links.join(large, KEYS, "left_anti").groupBy(*KEYS).agg(F.collect_list("src").alias("ss"), F.collect_list("dst").alias("ds")).mapInPandas(_layer_batches, LAYERS)
-    return held.union(_layers_by_rounds(spark, links.join(large, KEYS, "left_semi"), max_links))
+    return held.union(_layers_by_rounds(spark, st.put(links.join(large, KEYS, "left_semi"))))
 
 
-def _layers_by_rounds(spark: SparkSession, links: DataFrame, max_links: int) -> DataFrame:
-    """Components from mutual reachability, layers and peel rounds by repeated joins."""
+def _strong_components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(project, run_id, node, component, component_size) of the components of more than one node, without any closure.
+
+    Nodes without callers or callees are trimmed. The others take the largest name that reaches them as their colour; what
+    reaches the node of that name backward within its colour is its component, which leaves. So until no link is left.
+    """
+    st, found, rest = Stage(spark, "colours"), [], links
+    while True:
+        n = -1
+        while True:  # trimming
+            core = rest.select(*KEYS, F.col("src").alias("v")).intersect(rest.select(*KEYS, F.col("dst").alias("v")))
+            core = st.put(core)
+            rest = st.put(rest.join(core.withColumnRenamed("v", "src"), [*KEYS, "src"], "left_semi").join(core.withColumnRenamed("v", "dst"), [*KEYS, "dst"], "left_semi").select(*KEYS, "src", "dst"))
+            m = rest.count()
+            if m == n:
+                break
+            n = m
+        if not n:
+            break
+        colour = core.select(*KEYS, "v", F.col("v").alias("c"), F.lit(True).alias("moved"))
+        while True:  # the largest name that reaches each node; only what rose is sent on
+            offers = rest.join(colour.where("moved").select(*KEYS, F.col("v").alias("src"), "c"), [*KEYS, "src"]).select(*KEYS, F.col("dst").alias("v"), F.col("c").alias("o")).groupBy(*KEYS, "v").agg(F.max("o").alias("o"))
+            new = colour.join(offers, [*KEYS, "v"], "left")
+            rose = F.coalesce(F.col("o") > F.col("c"), F.lit(False))
+            colour = st.put(new.select(*KEYS, "v", F.when(rose, F.col("o")).otherwise(F.col("c")).alias("c"), rose.alias("moved")))
+            if colour.where("moved").isEmpty():
+                break
+        colour = colour.drop("moved")
+        same = st.put(rest.join(colour.withColumnsRenamed({"v": "src", "c": "a"}), [*KEYS, "src"]).join(colour.withColumnsRenamed({"v": "dst", "c": "b"}), [*KEYS, "dst"]).where("a = b").select(*KEYS, "src", "dst"))
+        front = reached = st.put(colour.where("v = c"))
+        while not front.isEmpty():  # backward within a colour
+            step = same.join(front.withColumnRenamed("v", "dst"), [*KEYS, "dst"]).select(*KEYS, F.col("src").alias("v"), "c").distinct()
+            front = st.put(step.join(reached, [*KEYS, "v", "c"], "left_anti"))
+            reached = st.put(reached.union(front))
+        found.append(reached)
+        rest = st.put(rest.join(reached.select(*KEYS, F.col("v").alias("src")), [*KEYS, "src"], "left_anti").join(reached.select(*KEYS, F.col("v").alias("dst")), [*KEYS, "dst"], "left_anti"))
+    out = spark.createDataFrame([], "project string, run_id string, node string, component string, component_size int")
+    for r in found:
+        label = r.groupBy(*KEYS, "c").agg(F.min("v").alias("component"), F.count(F.lit(1)).cast("int").alias("component_size")).where("component_size > 1")
+        out = out.union(r.join(label, [*KEYS, "c"]).select(*KEYS, F.col("v").alias("node"), "component", "component_size"))
+    return st.put(out)
+
+
+def _layers_by_rounds(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """Components by colours, layers and peel rounds by repeated joins."""
     st = Stage(spark, "rounds")
-    names = st.put(links.select(*KEYS, F.explode(F.array("src", "dst")).alias("node")).distinct().select(*KEYS, "node", F.xxhash64(*KEYS, "node").alias("id")))
-    ids = links.join(names.withColumnsRenamed({"node": "src", "id": "a"}), [*KEYS, "src"]).join(names.withColumnsRenamed({"node": "dst", "id": "b"}), [*KEYS, "dst"])
-    e = st.put(ids.select(*KEYS, F.col("a").alias("parent"), F.col("b").alias("child")))
-    reach = st.put(hierarchies(spark, e, max_links).select(F.col("node_id").alias("x"), F.explode("descendants").alias("y")))
-    mutual = reach.join(reach.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"]).where("x <> y")
-    named = mutual.join(names.select(F.col("id").alias("y"), F.col("node").alias("other")), "y").groupBy("x").agg(F.min("other").alias("low"), F.count(F.lit(1)).alias("n"))
-    node = st.put(names.join(named.withColumnRenamed("x", "id"), "id", "left").select(*KEYS, "node", "id", F.least("node", F.coalesce("low", "node")).alias("component"), (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("component_size")))
-    small = node.select(*KEYS, "id", "component")
-    ce = e.join(small.withColumnsRenamed({"id": "parent", "component": "ca"}), [*KEYS, "parent"]).join(small.withColumnsRenamed({"id": "child", "component": "cb"}), [*KEYS, "child"])
+    names = links.select(*KEYS, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    big = _strong_components(spark, links)
+    node = st.put(names.join(big, [*KEYS, "node"], "left").select(*KEYS, "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_size", F.lit(1)).alias("component_size")))
+    small = node.select(*KEYS, "node", "component")
+    ce = links.join(small.withColumnsRenamed({"node": "src", "component": "ca"}), [*KEYS, "src"]).join(small.withColumnsRenamed({"node": "dst", "component": "cb"}), [*KEYS, "dst"])
     ce = st.put(ce.where("ca <> cb").select(*KEYS, "ca", "cb").distinct())
 
     def rounds(edges: DataFrame, a: str, b: str, nodes: DataFrame) -> DataFrame:
@@ -224,8 +263,8 @@ def _layers_by_rounds(spark: SparkSession, links: DataFrame, max_links: int) ->
         return done.union(open_nodes.join(ended, KEYS, "left").select(*open_nodes.columns, F.coalesce("r", F.lit(0)).alias("r")))
 
     level = rounds(ce, "ca", "cb", node.select(*KEYS, F.col("component").alias("v")).distinct()).withColumnsRenamed({"v": "component", "r": "layer"})
-    peeled = rounds(e.select(*KEYS, F.col("parent").alias("a"), F.col("child").alias("b")), "a", "b", node.select(*KEYS, F.col("id").alias("v"))).withColumnsRenamed({"v": "id", "r": "peel_round"})
-    return node.join(level, [*KEYS, "component"]).join(peeled, [*KEYS, "id"]).select(*KEYS, "node", "component", "component_size", "layer", "peel_round")
+    peeled = rounds(links.select(*KEYS, F.col("src").alias("a"), F.col("dst").alias("b")), "a", "b", node.select(*KEYS, F.col("node").alias("v"))).withColumnsRenamed({"v": "node", "r": "peel_round"})
+    return node.join(level, [*KEYS, "component"]).join(peeled, [*KEYS, "node"]).select(*KEYS, "node", "component", "component_size", "layer", "peel_round")
 
 
 def batches(items: list[tuple[str, list[str], set[str]]], size: int, seed: int | None = None) -> list[list[str]]:

@@ -104,7 +104,7 @@ SCOPED = "result_id long, block_no int, scope string, file_path string, line_no
 
 
 def scoped_blocks(blocks: DataFrame) -> DataFrame:
-    """``SCOPED`` of (result_id, block_no, block, file_name, owned array): the files of a run are a bounded list."""
+    """``SCOPED`` of (result_id, block_no, block, file_name, owned array): ``owned`` holds the run's files that the block names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import diagnostics, mapping, metrics, reports
 from ..streaming import ingest
-from ..tables import load
+from ..tables import Stage, load
 from . import core_queries as core
 from .core_queries import RUN, query
 
@@ -22,9 +22,13 @@ def diagnostic_blocks(spark, sf):
 def block_scopes(spark, sf):
     """Whose file each block concerns: the header's own, the project's, or a foreign one."""
     r = load(spark, sf, "compile_result", "result_id", *RUN, "file_name", "log_output")
-    files = r.where("file_name is not null").groupBy(*RUN).agg(F.collect_set("file_name").alias("owned"))
-    meta = r.select("result_id", *RUN, "file_name").join(files, RUN, "left")
-    return diagnostics.scoped_blocks(diagnostics.extract_blocks(r).join(meta, "result_id"))
+    blocks = Stage(spark, "blocks").put(diagnostics.extract_blocks(r).join(r.select("result_id", *RUN, "file_name"), "result_id"))
+    # of a run's files each block gets those that it names
+    last = lambda c: F.lower(F.regexp_extract(c, r"([^/\\]+)$", 1))
+    named = blocks.select("result_id", "block_no", *RUN, F.explode(F.regexp_extract_all(F.lower("block"), F.lit(r"([\w$.-]+\.(?:hpp|cpp|cc|h))"), F.lit(1))).alias("base")).distinct()
+    files = r.where("file_name is not null").select(*RUN, "file_name", last("file_name").alias("base")).distinct().withColumnRenamed("file_name", "owned")
+    owned = named.join(files, [*RUN, "base"]).groupBy("result_id", "block_no").agg(F.collect_set("owned").alias("owned"))
+    return diagnostics.scoped_blocks(blocks.join(owned, ["result_id", "block_no"], "left"))
 
 
 _BARE = "array_to_string(list_filter(string_split(regexp_replace(log_output, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: NOT (contains(x, 'In file included from') AND NOT contains(x, 'error:'))), chr(10))"

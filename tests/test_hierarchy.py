@@ -109,6 +109,14 @@ def test_layers(spark):
         assert got == {"d": ("d", 1, 0, 0), "b": ("b", 2, 1, 2), "c": ("b", 2, 1, 2), "e": ("e", 1, 1, 1), "a": ("a", 1, 2, 2)}, bound
 
 
+def test_components_by_colours(spark):
+    rng = random.Random(9)
+    rows = sorted({("p", f"r{g}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for g in range(2) for _ in range(13)})
+    e = spark.createDataFrame([r for r in rows if r[2] != r[3]], "project string, run_id string, src string, dst string")
+    one, many = (sorted(map(tuple, callgraph.layers(spark, e, b).collect())) for b in (1000, 0))
+    assert one == many and max(r[4] for r in one) > 2
+
+
 def test_edges(spark):
     nodes = spark.createDataFrame([("p", "r", "A:x()"), ("p", "r", "B:y()")], "project string, run_id string, method_key string")
     calls = [("A:x()", "(VIR)B:y()"), ("A:x()", "B:y()"), ("A:x()", "A:x()"), ("A:x()", "(STA)Z:q()"), ("Z:q()", "B:y()"), ("Z:q()", "Z:r()"), (None, "B:y()")]
