@@ -135,6 +135,13 @@ def truncate(c: Column, limit: int, marker: str = "... [truncated]") -> Column:
     return F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, limit)), F.lit(marker))).otherwise(c)
 
 
+def cap_context(c: Column, lines: int, chars: int, marker: str = "\n...[truncated]") -> Column:
+    """The first ``lines`` lines, of them at most ``chars`` characters; what is cut is marked."""
+    parts = F.split(c, "\n")
+    head = F.array_join(F.slice(parts, 1, lines), "\n")
+    return F.when(F.length(head) > chars, F.concat(F.rtrim(F.substring(head, 1, chars)), F.lit(marker))).when(F.size(parts) > lines, F.concat(head, F.lit(marker))).otherwise(head)
+
+
 def summarize(blocks: Column, n: int) -> Column:
     """The first ``n`` elements joined, with a note on how many are left out."""
     more = F.size(blocks) - n

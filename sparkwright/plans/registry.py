@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import hierarchy, logparse
-from . import code_queries, core_queries, graph_queries, more_queries, store_queries  # noqa: F401  these add to the tables of core_queries
+from . import code_queries, core_queries, graph_queries, more_queries, report_queries, store_queries  # noqa: F401  these add to the tables of core_queries
 
 QUERIES = {
     "p2_found": hierarchy.p2_found,
