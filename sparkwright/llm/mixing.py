@@ -120,3 +120,14 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source."""
     return mix(spark, load(spark, sf_dir, "documents", "doc_id", "source", "text"), load(spark, sf_dir, "mixture_targets"))[1]
+
+
+def p9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per listed source how many documents it has, and that none is used more often than it may and no source is used that has no target."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "source", "text")
+    copies, report = mix(spark, docs, load(spark, sf_dir, "mixture_targets"))
+    have = copies.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    total = F.sum("reached_share").over(Window.partitionBy(F.lit(1)))  # over the few listed sources
+    x = report.withColumn("all_shares", total).join(have, "source", "left")
+    sound = (F.col("most_copies") <= F.col("max_repeats")) & (F.col("rate") <= F.col("max_repeats") + 1e-9) & (F.abs(F.col("all_shares") - 1) < 1e-9) & ((F.col("target_share") > 0) | (F.col("used_docs") == 0))
+    return x.select("source", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), sound.alias("sound"))

@@ -9,6 +9,7 @@ QUERIES = {
     "p1_groups": near_duplicates.p1_groups,
     "p3_found": splitting.p3_found,
     "p3_pieces": splitting.p3_pieces,
+    "p3_checked": splitting.p3_checked,
     "p4_found": function_docs.p4_found,
     "p4_pairs": function_docs.p4_pairs,
     "p5_found": code_prose.p5_found,
@@ -22,6 +23,7 @@ QUERIES = {
     "p8_items": leakage.p8_items,
     "p9_mixture": mixing.p9_mixture,
     "p9_shares": mixing.p9_shares,
+    "p9_caps": mixing.p9_caps,
     "p10_found": doc_language.p10_found,
     "p10_segments": doc_language.p10_segments,
     "p10_languages": doc_language.p10_languages,
@@ -63,6 +65,18 @@ ORACLE = {
         ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 12), ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13) x)
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)
     """,
+    "p3_checked": """
+        WITH items AS (
+          SELECT DISTINCT 'headers' AS record_kind, header_id AS record_id, source_code AS body FROM headers
+          UNION SELECT 'methods', method_id, code FROM methods)
+        SELECT i.record_kind, record_id, length(body) AS n_chars, true AS sound
+        FROM items i JOIN (SELECT record_kind, min(max_chars) AS max_chars FROM piece_limits GROUP BY 1) l USING (record_kind) WHERE length(body) > max_chars
+    """,
+    "p9_caps": """
+        WITH t AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_\\-]+', '_', 'g') AS source FROM mixture_targets WHERE source IS NOT NULL),
+        d AS (SELECT regexp_replace(lower(trim(source)), '[\\s_\\-]+', '_', 'g') AS source FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL)
+        SELECT t.source, count(d.source) AS n_docs, true AS sound FROM t LEFT JOIN d USING (source) GROUP BY t.source
+    """,
     "p3_found": """
         WITH items AS (
           SELECT 'headers' AS record_kind, header_id AS record_id, source_code AS body FROM headers

@@ -132,3 +132,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = p3_pieces(spark, sf_dir).where("piece_no = 1").select("record_kind", "record_id", "longest_line").join(small(limits), "record_kind")
     cases = F.when(F.col("longest_line") > F.col("max_chars"), F.array(F.lit("oversized"), F.lit("no_boundary"))).otherwise(F.array(F.lit("oversized")))
     return whole.select("record_kind", "record_id", F.explode(cases).alias("case_kind")).distinct()
+
+
+def p3_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cut record whether its pieces, laid end to end without what they repeat, are the text, and whether each keeps to limit and overlap."""
+    lim = load(spark, sf_dir, "piece_limits").where("max_chars > 0").groupBy("record_kind").agg(F.min("max_chars").alias("max_chars"), F.min(F.coalesce("overlap_chars", F.lit(0))).alias("overlap_chars"))
+    p = p3_pieces(spark, sf_dir).dropDuplicates(["record_kind", "record_id", "piece_no"]).join(small(lim), "record_kind")
+    length, first = F.length("piece"), F.col("piece_no") == 1
+    # what a piece repeats ends where the piece before it ends: sums of starts and ends over a record tell without looking back
+    own = F.when(first, length).otherwise(length - F.col("overlap_chars"))
+    g = p.groupBy("record_kind", "record_id").agg(F.sum(own).alias("n_chars"), F.bool_and(length <= F.col("max_chars")).alias("within_limit"), (F.count(F.lit(1)) == F.max("n_pieces")).alias("complete"), F.bool_and(F.col("end_char") - F.col("start_char") == length).alias("placed"))
+    return g.select("record_kind", "record_id", "n_chars", (F.col("within_limit") & F.col("complete") & F.col("placed")).alias("sound"))
