@@ -392,7 +392,7 @@ def template_tree(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, Dat
     merged = shapes.join(variable, "leaf", "left").select("shape", "n", "example", "tokens", "places", "variable")
     merged = st.put(merged.mapInPandas(_templates, "shape string, n long, example string, template string, variable array<int>"))
     one = merged.groupBy("template").agg(F.sum("n").alias("n"), F.min(F.struct("example", "variable")).alias("e"))
-    layouts = st.put(one.select("template", "n", "e.example", "e.variable").mapInPandas(_layouts, "template string, n long, layout string"))
+    layouts = one.select("template", "n", "e.example", "e.variable").mapInPandas(_layouts, "template string, n long, layout string")
     return merged.select("shape", "template"), layouts
 
 
