@@ -105,7 +105,7 @@ CASCADE = [
 HEADER_ROOT = ("file not found", "#include nested too deeply")
 # Kinds of issues of a diagnostic block; several may hold.
 ISSUES = [
-    ("missing_include", "fatal error: '[^']+' file not found|No such file or directory"),
+    ("missing_include", "file not found|No such file or directory"),
     ("incomplete_base_class", "base class has incomplete type"),
     ("forward_declare_insufficient", "incomplete type|invalid use of incomplete type"),
     ("invalid_override", "only virtual member functions can be marked 'override'|marked 'override' but does not override"),
@@ -141,15 +141,6 @@ def classify(message: Column) -> Column:
     return F.when(message.isNotNull(), case.otherwise(OTHER))
 
 
-def classify_sql(column: str) -> str:
-    """The same in SQL."""
-    low = f"lower(trim({column}))"
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    one = lambda p: f"starts_with({low}, {q(p[1:])})" if p[0] == "^" else f"contains({low}, {q(p)})"
-    whens = " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(map(one, alt)) + ')' for alt in alts)} THEN {q(name)}" for name, alts in rule_table())
-    return f"CASE WHEN {column} IS NULL THEN NULL {whens} ELSE '{OTHER}' END"
-
-
 def cascade(message: Column, kind: Column) -> Column:
     """Whether a message follows from a missing header."""
     low = F.lower(message)
@@ -163,7 +154,7 @@ def header_root(message: Column) -> Column:
 
 def issue_types(block: Column) -> Column:
     """All kinds of issues of a block, in the table's order; the default kind if none holds."""
-    found = F.filter(F.array(*[F.when(block.rlike(p), n) for n, p in issue_table()]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(block.rlike("(?i)" + p), n) for n, p in issue_table()]), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(DEFAULT_ISSUE)))
 
 

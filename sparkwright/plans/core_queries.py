@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import rules, text
 from ..operators import callgraph, ledger, metrics, rounds
 from ..tables import load
+from . import class_sql
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,10 +42,10 @@ _LINES = f"""
   lines AS (
     SELECT project, ai, run_id, file_name, trim(regexp_replace(trim(regexp_extract({L("u.line")}, '(?:fatal\\s+)?error:\\s*(.+?)\\s*$', 1)), '\\s*\\[-[^\\]]+\\]\\s*$', '')) AS msg
     FROM (SELECT project, ai, run_id, file_name, unnest(string_split(log_output, chr(10))) AS line FROM compile_result WHERE NOT coalesce(success, true)) u),
-  msgs AS (SELECT *, {rules.classify_sql("msg")} AS error_type FROM lines WHERE msg <> '' AND NOT contains(msg, 'too many errors emitted')),
+  msgs AS (SELECT *, {class_sql.classes("msg")} AS error_type FROM lines WHERE msg <> '' AND NOT contains(msg, 'too many errors emitted')),
   roots AS (SELECT *, bool_or(contains(lower(msg), 'file not found') OR contains(lower(msg), '#include nested too deeply')) OVER (PARTITION BY project, run_id, file_name) AS root FROM msgs),
   kept AS (SELECT DISTINCT project, ai, run_id, file_name, error_type, substr(msg, 1, 200) AS detail FROM roots
-    WHERE NOT (root AND error_type <> 'Header File Error' AND ({" OR ".join(f"contains(lower(msg), '{p.replace(chr(39), chr(39) * 2)}')" for p in rules.CASCADE)})))
+    WHERE NOT (root AND error_type <> 'Header File Error' AND {class_sql.cascade("msg")}))
 """
 
 
@@ -86,7 +87,7 @@ def error_messages_by_class(spark, sf):
     return m.groupBy("error_type").agg(F.count(F.lit(1)).alias("n_messages"), F.countDistinct("msg").alias("n_distinct"))
 
 
-@query(f"WITH {_LINES} SELECT project, run_id, file_name, count(*) AS n_cascade FROM (SELECT DISTINCT * FROM roots) r WHERE root AND error_type <> 'Header File Error' AND ({' OR '.join(f'contains(lower(msg), {chr(39)}{p.replace(chr(39), chr(39) * 2)}{chr(39)})' for p in rules.CASCADE)}) GROUP BY ALL")
+@query(f"WITH {_LINES} SELECT project, run_id, file_name, count(*) AS n_cascade FROM (SELECT DISTINCT * FROM roots) r WHERE root AND error_type <> 'Header File Error' AND {class_sql.cascade("msg")} GROUP BY ALL")
 def cascade_suppressed(spark, sf):
     m = messages(spark, sf).distinct()
     root = F.max(rules.header_root(F.col("msg"))).over(Window.partitionBy("project", "run_id", "file_name"))
@@ -103,8 +104,7 @@ def error_share_by_model(spark, sf):
     return c.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("ai")), 6))
 
 
-_ISSUE_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(block, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in rules.issue_table()) + "], lambda x: x IS NOT NULL)"
-_BLOCKS = f"blocks AS (SELECT feedback_id, project, ai, run_id, header_key, round, unnest(diagnostic_blocks) AS block FROM compile_feedback), issues AS (SELECT *, CASE WHEN len({_ISSUE_SQL}) > 0 THEN {_ISSUE_SQL} ELSE ['{rules.DEFAULT_ISSUE}'] END AS types FROM blocks WHERE block IS NOT NULL)"
+_BLOCKS = f"blocks AS (SELECT feedback_id, project, ai, run_id, header_key, round, unnest(diagnostic_blocks) AS block FROM compile_feedback), issues AS (SELECT *, {class_sql.issues("block")} AS types FROM blocks WHERE block IS NOT NULL)"
 
 
 def blocks(spark, sf):

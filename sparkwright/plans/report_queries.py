@@ -11,6 +11,7 @@ from ..functions import predicates, rules, text
 from ..operators import diagnostics, metrics, reports
 from ..sources import files
 from ..tables import load, shared_dir
+from . import class_sql
 from .core_queries import RUN, SQL, query
 
 _OK = "coalesce(success, false)"
@@ -225,7 +226,7 @@ def history_budget(spark, sf):
     return diagnostics.history_under_budget(f, [*RUN, "header_key"], "turn", "said", 2000, 4).select("feedback_id", "dropped")
 
 
-@query(f"WITH l AS (SELECT result_id, unnest(string_split(log_output, chr(10))) AS line FROM compile_result), m AS (SELECT result_id, trim(regexp_replace(trim(regexp_extract(trim(replace(line, chr(13), '')), '(?:fatal\\s+)?error:\\s*(.+?)\\s*$', 1)), '\\s*\\[-[^\\]]+\\]\\s*$', '')) AS msg FROM l) SELECT result_id, {rules.classify_sql('msg')} AS error_type, count(DISTINCT msg) AS n FROM m WHERE msg <> '' AND NOT contains(msg, 'too many errors emitted') GROUP BY ALL")
+@query(f"WITH l AS (SELECT result_id, unnest(string_split(log_output, chr(10))) AS line FROM compile_result), m AS (SELECT result_id, trim(regexp_replace(trim(regexp_extract(trim(replace(line, chr(13), '')), '(?:fatal\\s+)?error:\\s*(.+?)\\s*$', 1)), '\\s*\\[-[^\\]]+\\]\\s*$', '')) AS msg FROM l) SELECT result_id, {class_sql.classes('msg')} AS error_type, count(DISTINCT msg) AS n FROM m WHERE msg <> '' AND NOT contains(msg, 'too many errors emitted') GROUP BY ALL")
 def raw_log_classes(spark, sf):
     """Classes of the messages of every log, whatever its result says."""
     m = load(spark, sf, "compile_result", "result_id", "log_output").select("result_id", F.explode(rules.error_lines(F.col("log_output"))).alias("msg"))

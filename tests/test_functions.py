@@ -127,3 +127,27 @@ def test_predicates(spark):
     df = spark.createDataFrame([("Xy", [1], 3)], "a string, l array<int>, b int")
     kept = lambda text: df.where(p.filter_expression(text)).count()
     assert kept("string.startsWithIC(a, 'xY') && !(b == 4) && include(l, 1)") == 1 and kept("string.endsWith(a, 'Y')") == 0 and kept("b != 3 || string.length(a) > 2") == 0
+
+
+def test_classes_of_all_phrases_in_both_engines(spark):
+    """Every phrase alone and joined with every seventh other: the table and the SQL written by itself give the same class."""
+    import duckdb
+
+    from sparkwright.functions import rules
+    from sparkwright.plans import class_sql
+
+    phrases = sorted({p.lstrip("^") for _, alts in rules.rule_table() for alt in alts for p in alt})
+    texts = phrases + [f"{a} X {b}" for i, a in enumerate(phrases) for b in phrases[i % 7 :: 7]] + ["nothing known", "", "Expected ';'"]
+    spark_side = [r["c"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, m string").select("i", rules.classify(F.col("m")).alias("c")).orderBy("i").collect()]
+    con = duckdb.connect()
+    con.execute("create table t (i int, m varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    other = [r[0] for r in con.execute(f"select {class_sql.classes('m')} from t order by i").fetchall()]
+    assert spark_side == other and len(set(other)) == 7
+
+
+def test_issues_ignore_case(spark):
+    from sparkwright.functions import rules
+
+    assert one(spark, "x: Fatal Error: 'Q.h' File not found", rules.issue_types) == ["missing_include"]
+    assert one(spark, "UNKNOWN type name 'x'; redefinition of 'y'", rules.issue_types) == ["duplicate_definition", "unknown_type"] and one(spark, "odd", rules.issue_types) == ["compile_error"]
