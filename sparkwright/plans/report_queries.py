@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import predicates, rules, text
-from ..operators import diagnostics, metrics, reports
+from ..functions import declarations, predicates, rules, text
+from ..operators import diagnostics, mapping, metrics
 from ..sources import files
 from ..tables import load, shared_dir
 from . import class_sql
@@ -246,3 +246,62 @@ def production_sources(spark, sf):
     """Translations that belong to the product: no helpers by name, no program of their own."""
     h = load(spark, sf, "headers", "header_id", "header_key", "raw_translated_code").where("header_key is not null")
     return h.select("header_id", predicates.production_source(F.concat(F.translate("header_key", "$", "_"), F.lit(".cpp")), F.coalesce("raw_translated_code", F.lit(""))).alias("production"))
+
+
+# ------------------------------------------------------------------ mapping
+_D = "trim(coalesce(raw_translated_code, ''))"
+
+
+@query(f"SELECT method_id, CASE WHEN coalesce(mapping_status = 'deleted_or_merged', false) THEN 'deleted_or_merged' WHEN {_D} = '' THEN 'unmapped' WHEN NOT contains({_D}, '(') THEN 'invalid_cpp_definition' WHEN coalesce(mapping_status = 'pure_virtual', false) OR regexp_matches({_D}, '=\\s*0\\s*;?\\s*$') THEN 'pure_virtual' WHEN regexp_matches({_D}, '=\\s*(default|delete)\\s*;?\\s*$') THEN 'defaulted_or_deleted' WHEN contains({_D}, '{{') THEN 'already_implemented' WHEN coalesce(method_body_location = 'header', false) THEN 'needs_header_body' ELSE 'needs_cpp_body' END AS status FROM methods")
+def item_statuses(spark, sf):
+    """The status that each method's definition gives it."""
+    m = load(spark, sf, "methods", "method_id", "raw_translated_code", "mapping_status", "method_body_location")
+    return m.select("method_id", mapping.item_status(F.col("raw_translated_code"), F.col("method_body_location") == "header", F.col("mapping_status") == "deleted_or_merged", F.col("mapping_status") == "pure_virtual").alias("status"))
+
+
+@query("""WITH e AS (SELECT DISTINCT project || '|' || run_id || '|' || method_key AS k FROM methods WHERE project IS NOT NULL AND method_key IS NOT NULL), m AS (SELECT project || '|' || run_id || '|' || regexp_replace(dst, '^\\([A-Z]*\\)', '') AS k, count(*) AS n FROM (SELECT DISTINCT project, run_id, src, dst FROM call_edge WHERE project IS NOT NULL AND dst IS NOT NULL) c GROUP BY 1)
+  SELECT coalesce(e.k, m.k) AS key, CASE WHEN m.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unknown' ELSE 'duplicate' END AS violation FROM e FULL OUTER JOIN m ON e.k = m.k WHERE m.k IS NULL OR e.k IS NULL OR m.n > 1""")
+def completeness_violations(spark, sf):
+    """Methods that nothing names, names that no method has, and methods named more than once."""
+    k = lambda c: F.concat_ws("|", "project", "run_id", c).alias("key")
+    e = load(spark, sf, "methods", *RUN, "method_key").where("project is not null and method_key is not null").select(k("method_key"))
+    m = load(spark, sf, "call_edge", *RUN, "src", "dst").where("project is not null and dst is not null").distinct().select(k(F.regexp_replace("dst", r"^\([A-Z]*\)", "")))
+    return mapping.completeness_violations(e, m, "key")
+
+
+@query(r"""SELECT method_id, array_to_string(list_filter([CASE WHEN regexp_matches(code, '\bstatic\b') AND NOT regexp_matches(raw_translated_code, '\bstatic\b') THEN 'static_lost' END, CASE WHEN contains(code, '...') AND NOT regexp_matches(raw_translated_code, '\.\.\.|vector|initializer_list') THEN 'varargs_lost' END,
+  CASE WHEN regexp_matches(code, '\bvoid\s+\w+\s*\(') <> regexp_matches(raw_translated_code, '\bvoid\s+[\w:]+\s*\(') THEN 'void_mismatch' END], lambda v: v IS NOT NULL), ';') AS lost FROM methods WHERE code IS NOT NULL AND raw_translated_code IS NOT NULL""")
+def semantic_losses(spark, sf):
+    """What a translation lost of its method's signature."""
+    m = load(spark, sf, "methods", "method_id", "code", "raw_translated_code").where("code is not null and raw_translated_code is not null")
+    return m.select("method_id", F.array_join(mapping.semantic_warnings(F.col("code"), F.col("raw_translated_code")), ";").alias("lost"))
+
+
+@query("""WITH t AS (SELECT project, run_id, header_key, arg_min(header_type, header_id) AS header_type FROM headers WHERE header_key IS NOT NULL GROUP BY ALL)
+  SELECT m.method_id, coalesce(t.header_type, '') <> 'interface' AND NOT coalesce(m.skip_translation, false) AND NOT coalesce(m.mapping_status = 'deleted_or_merged', false) AND coalesce(trim(m.method_body_location), '') <> '' AND coalesce(trim(m.raw_translated_code), '') = '' AS pending FROM methods m LEFT JOIN t USING (project, run_id, header_key)""")
+def translation_queue(spark, sf):
+    """Methods that still wait for a translation: of no interface, not skipped or merged, with a place for their body."""
+    t = load(spark, sf, "headers", *RUN, "header_key", "header_id", "header_type").where("header_key is not null").groupBy(*RUN, "header_key").agg(F.min_by("header_type", "header_id").alias("header_type"))
+    m = load(spark, sf, "methods", "method_id", *RUN, "header_key", "skip_translation", "mapping_status", "method_body_location", "raw_translated_code").join(t, [*RUN, "header_key"], "left")
+    return m.select("method_id", predicates.pending_method(F.col("header_type"), F.col("skip_translation"), F.col("mapping_status") == "deleted_or_merged", F.col("method_body_location"), predicates.filled(F.col("raw_translated_code"))).alias("pending"))
+
+
+_BARE = "regexp_replace(raw_translated_code, '(\"(?:\\\\.|[^\"\\\\\\n])*\"|''(?:\\\\.|[^''\\\\\\n])*'')|//[^\\n]*|/\\*(?:[^*]|\\*+[^*/])*(?:\\*+/|$)', '\\1', 'g')"
+
+
+@query(f"SELECT header_id, array_to_string(list_transform(regexp_extract_all({_BARE}, '(?m)^\\s*static\\s+(?:const\\s+)?[\\w:<>, *&]+?\\s+([A-Za-z_]\\w*)\\s*;', 1), lambda n: n), ';') AS statics FROM headers WHERE raw_translated_code IS NOT NULL AND NOT regexp_matches({_BARE}, 'static\\s+(constexpr|inline)')")
+def static_declared(spark, sf):
+    """Static data members of each translation that need a definition elsewhere."""
+    names = text.batch(lambda c: ";".join(n for _, n in declarations.static_members(c)))
+    h = load(spark, sf, "headers", "header_id", "raw_translated_code").where("raw_translated_code is not null")
+    bare = text.batch(text.strip_comments)(F.col("raw_translated_code"))
+    return h.where(~bare.rlike(r"static\s+(constexpr|inline)")).select("header_id", names(F.col("raw_translated_code")).alias("statics"))
+
+
+@query("SELECT m.method_id, contains(coalesce(f.target, ''), regexp_extract(m.method_key, ':([^(]*)', 1) || '(') AS named FROM methods m LEFT JOIN (SELECT project, run_id, header_key, arg_min(raw_translated_code, header_id) FILTER (raw_translated_code IS NOT NULL) AS target FROM headers WHERE header_key IS NOT NULL GROUP BY ALL) f USING (project, run_id, header_key) WHERE m.method_key IS NOT NULL AND regexp_extract(m.method_key, ':([^(]*)', 1) <> ''")
+def header_mentions(spark, sf):
+    """Whether a header's translation names each of its methods."""
+    from .graph_queries import first_targets
+
+    m = load(spark, sf, "methods", "method_id", *RUN, "header_key", "method_key").where("method_key is not null").withColumn("name", F.regexp_extract("method_key", r":([^(]*)", 1)).where("name <> ''")
+    return m.join(first_targets(spark, sf), [*RUN, "header_key"], "left").select("method_id", F.contains(F.coalesce("target", F.lit("")), F.concat("name", F.lit("("))).alias("named"))
