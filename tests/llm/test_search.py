@@ -131,7 +131,7 @@ def test_backward_model():
 def test_counts_cover_all_rows_and_have_a_bound(spark):
     whole = [("a", f"The reader number {i} waits until the side has closed.") for i in range(50)] + [("b", f"x{i}();\n}}") for i in range(20)]
     models = truncation.fit(spark.createDataFrame(whole, "record_kind string, body string").repartition(5))
-    assert models["a"]["P0|"][0] == 50 and models["a"]["P0|closed."][0] == 50 and models["b"]["C00|}"][0] == 20
+    assert models["a"]["P0|"][0] == 50 and models["a"]["P0|closed."][0] == 50 and models["b"]["P0|}"][0] == 20
     assert abs(models["a"]["P0|"][1] - sum(len(t) - 1 for k, t in whole if k == "a")) < 1e-6
     assert sum(len(m) for m in models.values()) <= sum((truncation.ORDER + 1) * (1 + len(t) / 20) for _, t in whole) / truncation.LEAST_SUPPORT + 60
 
