@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules, text
 from ..operators import callgraph, ledger, metrics, rounds
-from ..tables import load
+from ..tables import Stage, load
 from . import class_sql
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,9 +648,11 @@ def closure(spark, sf):
     """All pairs of methods of which one reaches the other."""
     from ..operators.hierarchy import hierarchies
 
-    e = inner(spark, sf)
-    names = e.select(*RUN, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.xxhash64(*RUN, "node"))
-    ids = e.select(*RUN, F.xxhash64(*RUN, "src").alias("parent"), F.xxhash64(*RUN, "dst").alias("child"))
+    st = Stage(spark, "closure")
+    e = st.put(inner(spark, sf))
+    # numbers that a written table gives are unique, unlike hashes
+    names = st.put(e.select(*RUN, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    ids = e.join(names.withColumnsRenamed({"node": "src", "id": "parent"}), [*RUN, "src"]).join(names.withColumnsRenamed({"node": "dst", "id": "child"}), [*RUN, "dst"]).select(*RUN, "parent", "child")
     pairs = hierarchies(spark, ids).select(*RUN, F.col("node_id").alias("a"), F.explode("descendants").alias("b"))
     return pairs.join(names.withColumnsRenamed({"id": "a", "node": "src"}), [*RUN, "a"]).join(names.withColumnsRenamed({"id": "b", "node": "dst"}), [*RUN, "b"]).select(*RUN, "src", "dst")
 

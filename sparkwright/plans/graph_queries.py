@@ -409,3 +409,24 @@ def repair_loops(spark, sf, limit: int = 3, tries: int = 10):
     f = load(spark, sf, "compile_feedback", *RUN, "header_key", "round", "success").where("round is not null and header_key is not null")
     a = f.groupBy(*RUN, "header_key").agg(F.count(F.lit(1)).alias("turns"), F.bool_or(metrics.as_flag(F.col("success"), False)).alias("solved"))
     return a.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("solved")).alias("n_solved"), F.sum(F.least("turns", F.lit(tries))).alias("n_attempts"), F.count_if(~F.col("solved") & (F.col("turns") >= limit)).alias("n_at_limit"))
+
+
+# ------------------------------------------------------------------ relatives by spelling
+def _spellings(c: str) -> str:
+    for _ in range(6):
+        c = f"regexp_replace({c}, '<[^<>]*>', '', 'g')"
+    c = f"trim({c})"
+    parts = [c, f"regexp_extract({c}, '([^.]*)$', 1)", f"string_split({c}, '::')[-1]", f"regexp_extract({c}, '([^$]*)$', 1)", f"replace({c}, '$', '::')", f"regexp_extract({c}, '([^.$:]*)$', 1)"]
+    return f"list_filter([{', '.join(parts)}], lambda v: v <> '')"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT project, run_id, header_key, unnest({_spellings("header_key")}) AS nm FROM headers WHERE header_key IS NOT NULL),
+  r AS (SELECT DISTINCT project, run_id, header_key, unnest({_spellings("raw")}) AS nm FROM (SELECT project, run_id, header_key, parent_class AS raw FROM headers UNION ALL SELECT project, run_id, header_key, unnest(interfaces) FROM headers) x WHERE raw IS NOT NULL AND header_key IS NOT NULL)
+  SELECT DISTINCT r.project, r.run_id, r.header_key AS child, k.header_key AS parent FROM r JOIN k USING (project, run_id, nm) WHERE r.header_key <> k.header_key""")
+def kin_by_spelling(spark, sf):
+    """Headers that a parent's or interface's name fits in any spelling: whole, without packages, outer classes or type arguments."""
+    h = load(spark, sf, "headers", *RUN, "header_key", "parent_class", "interfaces").where("header_key is not null")
+    k = h.select(*RUN, F.col("header_key").alias("parent"), F.explode(text.name_candidates(F.col("header_key"))).alias("nm")).distinct()
+    raw = h.select(*RUN, F.col("header_key").alias("child"), F.explode(F.array_append(F.coalesce("interfaces", F.array().cast("array<string>")), F.col("parent_class"))).alias("raw")).where("raw is not null")
+    r = raw.select(*RUN, "child", F.explode(text.name_candidates(F.col("raw"))).alias("nm")).distinct()
+    return r.join(k, [*RUN, "nm"]).where("child <> parent").select(*RUN, "child", "parent").distinct()

@@ -99,13 +99,14 @@ def stubs(spark: SparkSession, folders: list[str]) -> DataFrame:
     return first_of(reduce(DataFrame.unionByName, read).where(ok), ["class_name"], ["dir_priority", "java_class"])
 
 
-def runs(spark: SparkSession, root: str, projects: list[str] | None = None) -> DataFrame:
-    """Runs found by their files' paths ``<version>/<project>/<ai>/runs/<run_id>/...``."""
+def runs(spark: SparkSession, root: str, projects: list[str] | None = None, clean: DataFrame | None = None) -> DataFrame:
+    """Runs found by their files' paths ``<version>/<project>/<ai>/runs/<run_id>/...``, but for those (project, run_id) that are clean already."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")  # the content column is pruned
     part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)/runs/([^/]+)/", i)
     x = files.select(part(1).alias("version"), part(2).alias("project"), part(3).alias("ai"), part(4).alias("run_id"), "modificationTime", "length").where("run_id <> ''")
     x = x.groupBy("version", "project", "ai", "run_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.max("modificationTime").alias("modified"))
-    return x.where(F.col("project").isin(projects)) if projects else x
+    x = x.where(F.col("project").isin(projects)) if projects else x
+    return x.join(clean.select("project", "run_id"), ["project", "run_id"], "left_anti") if clean is not None else x
 
 
 def run_log_status(log: Column, suffix: str) -> Column:

@@ -103,6 +103,7 @@ def test_files(spark, tmp_path):
     run.mkdir(parents=True)
     (run / "x.json").write_text("{}")
     assert tuple(files.runs(spark, str(tmp_path / "out"), ["proj"]).select("version", "project", "ai", "run_id", "n_files").first()) == ("v1", "proj", "m", "r1", 1)
+    assert files.runs(spark, str(tmp_path / "out"), None, spark.createDataFrame([("proj", "r1")], "project string, run_id string")).count() == 0
     bar = "=" * 20
     log = f"{bar} one {bar}\nCompiled a.cpp successfully.\n========== Agent repair\n{bar} two {bar}\nFailed to compile a.cpp.\n  Compiled header b.h successfully.\nCompiled c.cpp successfully\n========== Agent repair\nCompiled a.cpp successfully.\n{bar} three {bar}\nCompiled a.cpp successfully."
     status = lambda suffix: [tuple(x) for x in spark.createDataFrame([(log,)], "l string").select(files.run_log_status(F.col("l"), suffix).alias("s")).first()["s"]]
