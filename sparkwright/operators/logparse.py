@@ -413,12 +413,13 @@ def _read_batches(keys: list[str]):
 _IDS = "record_kind string, record_id long, block_no int, line_no int"
 
 
-def log_lines(spark: SparkSession, blocks: DataFrame) -> DataFrame:
-    """The lines of ``blocks`` (record_kind, record_id, block_no, body, yr) with their shapes, written once."""
+def log_lines(spark: SparkSession, blocks: DataFrame, whole: bool = False) -> DataFrame:
+    """The lines of ``blocks`` (record_kind, record_id, block_no, body, yr) with their shapes, written once; ``whole`` keeps them as they were too."""
     numbered = blocks.where("body is not null and body <> ''").withColumn("uid", F.monotonically_increasing_id())
     lines = numbered.select("uid", "record_kind", "record_id", "block_no", "yr", F.posexplode(F.split("body", "\n")).alias("k", "line"))
     lines = lines.select("uid", "record_kind", "record_id", "block_no", "yr", (F.col("k") + 1).alias("line_no"), "line", clean(F.col("line")).alias("t"))
-    return Stage(spark, "lines").put(lines.withColumn("shape", mask(F.col("t"))))
+    lines = lines.withColumn("shape", mask(F.col("t")))
+    return Stage(spark, "lines").put(lines if whole else lines.drop("line"))
 
 
 def parse_heads(spark: SparkSession, lines: DataFrame) -> DataFrame:
@@ -433,7 +434,7 @@ def parse_heads(spark: SparkSession, lines: DataFrame) -> DataFrame:
 
 def parse_logs(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     """Entries of ``blocks`` with their continuation lines; texts are put together again, each from its own lines."""
-    lines = log_lines(spark, blocks)
+    lines = log_lines(spark, blocks, True)
     heads = parse_heads(spark, lines).select("uid", "line_no", F.struct("entry_time", "log_level", "component", "message").alias("h"))
     texts = lines.select("uid", "record_kind", "record_id", "block_no", "line_no", "line").join(heads, ["uid", "line_no"], "left")
     rows = texts.groupBy("uid", "record_kind", "record_id", "block_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "h"))).alias("ls"))  # one text a group
