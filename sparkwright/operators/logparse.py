@@ -413,13 +413,13 @@ def _read_batches(keys: list[str]):
 _IDS = "record_kind string, record_id long, block_no int, line_no int"
 
 
-def log_lines(spark: SparkSession, blocks: DataFrame, whole: bool = False) -> DataFrame:
-    """The lines of ``blocks`` (record_kind, record_id, block_no, body, yr) with their shapes, written once; ``whole`` keeps them as they were too."""
-    numbered = blocks.where("body is not null and body <> ''").withColumn("uid", F.monotonically_increasing_id())
-    lines = numbered.select("uid", "record_kind", "record_id", "block_no", "yr", F.posexplode(F.split("body", "\n")).alias("k", "line"))
-    lines = lines.select("uid", "record_kind", "record_id", "block_no", "yr", (F.col("k") + 1).alias("line_no"), "line", clean(F.col("line")).alias("t"))
-    lines = lines.withColumn("shape", mask(F.col("t")))
-    return Stage(spark, "lines").put(lines if whole else lines.drop("line"))
+def log_lines(spark: SparkSession, blocks: DataFrame) -> DataFrame:
+    """The lines of ``blocks`` (record_kind, record_id, block_no, body, yr, and uid where texts are numbered already) with their shapes, written once."""
+    texts = blocks.where("body is not null and body <> ''")
+    texts = texts if "uid" in blocks.columns else texts.withColumn("uid", F.monotonically_increasing_id())
+    lines = texts.select("uid", "record_kind", "record_id", "block_no", "yr", F.posexplode(F.split("body", "\n")).alias("k", "line"))
+    lines = lines.select("uid", "record_kind", "record_id", "block_no", "yr", (F.col("k") + 1).alias("line_no"), clean(F.col("line")).alias("t"))
+    return Stage(spark, "lines").put(lines.withColumn("shape", mask(F.col("t"))))
 
 
 def parse_heads(spark: SparkSession, lines: DataFrame) -> DataFrame:
@@ -433,19 +433,19 @@ def parse_heads(spark: SparkSession, lines: DataFrame) -> DataFrame:
 
 
 def parse_logs(spark: SparkSession, blocks: DataFrame) -> DataFrame:
-    """Entries of ``blocks`` with their continuation lines; texts are put together again, each from its own lines."""
-    lines = log_lines(spark, blocks, True)
-    heads = parse_heads(spark, lines).select("uid", "line_no", F.struct("entry_time", "log_level", "component", "message").alias("h"))
-    texts = lines.select("uid", "record_kind", "record_id", "block_no", "line_no", "line").join(heads, ["uid", "line_no"], "left")
-    rows = texts.groupBy("uid", "record_kind", "record_id", "block_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "h"))).alias("ls"))  # one text a group
-    starts = F.filter(F.transform("ls", lambda x: F.when(x["h"].isNotNull(), x["line_no"])), lambda n: n.isNotNull())
-    rows = rows.withColumn("starts", starts).where(F.size("starts") > 0)
-    rows = rows.select("record_kind", "record_id", "block_no", "ls", "starts", F.posexplode("starts").alias("i", "a"))
-    end = F.coalesce(F.get("starts", F.col("i") + 1), F.size("ls") + 1)
-    first = F.element_at("ls", F.col("a"))
-    more = F.transform(F.slice("ls", F.col("a") + 1, end - F.col("a") - 1), lambda x: F.regexp_replace(x["line"], r"\r+$", ""))
-    body = F.array_join(F.concat(F.array(first["h"]["message"]), more), "\n")
-    return rows.select("record_kind", "record_id", "block_no", F.col("a").alias("line_no"), F.coalesce(first["h"]["entry_time"], F.lit("none")).alias("entry_time"), first["h"]["log_level"].alias("log_level"), first["h"]["component"].alias("component"), body.alias("message"), (end - F.col("a")).alias("n_lines"))
+    """Entries of ``blocks`` with their continuation lines, which are cut out of the texts by the places of the heads."""
+    texts = Stage(spark, "texts").put(blocks.where("body is not null and body <> ''").withColumn("uid", F.monotonically_increasing_id()))
+    heads = parse_heads(spark, log_lines(spark, texts)).select("uid", F.struct("line_no", "entry_time", "log_level", "component", "message").alias("h"))
+    heads = heads.groupBy("uid").agg(F.sort_array(F.collect_list("h")).alias("hs"))  # one text a group
+    rows = texts.select("uid", "record_kind", "record_id", "block_no", F.split("body", "\n").alias("ls")).join(heads, "uid")
+
+    def entry(h: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("hs", i + 1)["line_no"], F.size("ls") + 1)
+        more = F.transform(F.slice("ls", h["line_no"] + 1, end - h["line_no"] - 1), lambda x: F.regexp_replace(x, r"\r+$", ""))
+        body = F.array_join(F.concat(F.array(h["message"]), more), "\n")
+        return F.struct(h["line_no"].alias("line_no"), F.coalesce(h["entry_time"], F.lit("none")).alias("entry_time"), h["log_level"].alias("log_level"), h["component"].alias("component"), body.alias("message"), (end - h["line_no"]).alias("n_lines"))
+
+    return rows.select("record_kind", "record_id", "block_no", F.explode(F.transform("hs", entry)).alias("e")).select("record_kind", "record_id", "block_no", "e.*")
 
 
 def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
