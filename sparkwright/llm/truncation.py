@@ -5,8 +5,10 @@ still open there (a code fence, a block, an object, an inline quotation). For ea
 often texts end in it and how often they go on, backed off from long to short contexts. A text's log-odds
 of ending against going on are thresholded per language and column; the thresholds come from the
 log-odds of all texts. Remarks about the cut and broken characters are taken off first and count as
-evidence. The model's counts, scores, thresholds and shares cover all rows: tasks count contexts, the counts are added
-up, and contexts that less than ``SUPPORT`` of a column's texts bear are left to their shorter ones. As all contexts
+evidence. The model's counts, scores, thresholds and shares cover all rows, and every place of every text counts as one
+where it goes on: first the contexts in which texts end are collected, as no others are ever asked for, then each task
+counts how often these stand at the places of its texts, and the counts are added up. Contexts are found by hashes of 64 bits.
+Contexts that less than ``SUPPORT`` of a column's texts bear are left to their shorter ones. As all contexts
 together bear at most ORDER + 1 times the mass of ends and twentieths of places, this also bounds the model's size.
 
 Null, empty and blank texts are neither cut nor complete: they are left out of the found rows and of the
@@ -17,23 +19,24 @@ from __future__ import annotations
 
 import json
 import math
-import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import Stage, load
 
-#: Places per text where it goes on, longest context.
-PLACES, ORDER = 12, 9
+#: Longest context.
+ORDER = 9
 #: The least support of a context: a share of the column's texts, and a number of texts.
 SUPPORT, LEAST_SUPPORT = 5e-4, 4.0
-#: Contexts that a task holds before it hands on its counts.
-HELD_CONTEXTS = 300_000
+#: Contexts that a task holds before it hands on its ends; characters whose places are counted at once.
+HELD_CONTEXTS, HELD_CHARS = 300_000, 1_000_000
 #: Between these log-odds the threshold is searched; where a column has no valley it is their middle.
 LOWEST, HIGHEST = -5.0, -2.0
 #: Weight of the shorter context's estimate, in texts.
@@ -56,6 +59,7 @@ LATIN_WORDS = {
 }
 _LATIN = {w: k for k, ws in LATIN_WORDS.items() for w in ws.split()}
 _WORDS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
+_IF, _ENDIF = re.compile(r"(?m)^\s*#\s*if"), re.compile(r"(?m)^\s*#\s*endif")
 
 
 def language(text: str) -> str:
@@ -96,7 +100,7 @@ def state(s: str) -> str:
     if "{" in s or s.startswith("#"):
         bare = _QUOTED.sub("", s) if '"' in s or "'" in s else s
         opened = bare.count("{") - bare.count("}")
-        guard = len(re.findall(r"(?m)^\s*#\s*if", s)) - len(re.findall(r"(?m)^\s*#\s*endif", s))
+        guard = len(_IF.findall(s)) - len(_ENDIF.findall(s))
         return f"C{opened > 0:d}{guard > 0:d}"
     return f"P{s.count('`') % 2}"
 
@@ -122,7 +126,9 @@ def final(text: str) -> tuple[str, bool]:
     """The text without trailing white space, remarks about a cut and broken characters; whether there were such."""
     s, marked = text.rstrip(), False
     while True:
-        t = _LONE.sub("", _REMARK.sub("", s)).rstrip()
+        # both search the whole text, so only where its last character allows them
+        t = _REMARK.sub("", s) if s[-1:] in ("]", ">", ")", "\ufffd") else s
+        t = (_LONE.sub("", t) if t and (t[-1] < " " or "\ud800" <= t[-1] <= "\udfff") else t).rstrip()
         if t == s:
             break
         s, marked = t, True
@@ -134,10 +140,176 @@ def final(text: str) -> tuple[str, bool]:
 def contexts(s: str) -> list[str]:
     """Contexts read backward, the shortest first."""
     st = state(s)
-    tail = _DIGIT.sub("0", s[-ORDER:].lower())
+    tail = _DIGIT.sub("0", "".join(c.lower()[0] for c in s[-ORDER:]))  # character by character, as a sigma's lower case depends on its neighbours
     return [st + "|" + tail[len(tail) - k :] for k in range(len(tail) + 1)]
 
 
+#: All states, numbered.
+STATES = ("F", "E", "J0", "J1", *(f"L{k}{q}" for k in range(5) for q in range(2)), "T0", "T1", "C00", "C01", "C10", "C11", "P0", "P1")
+_NO = {s: i for i, s in enumerate(STATES)}
+
+
+def prefix_states(s: str, codes: np.ndarray) -> np.ndarray:
+    """The number of ``state(s[:k])`` at each k, for the prefixes that do not end in white space; ``codes`` are the characters of ``s``."""
+    n = len(codes)
+    ticks = np.concatenate(([0], np.cumsum(codes == 96)))
+    fences = [m.end() for m in re.finditer("```", s)]
+    first = fences[0] if fences else n + 1  # from here on there is a fence
+    out = (_NO["P0"] + ticks % 2).astype(np.uint8)
+    brace = s.find("{")
+    block = 0 if s.startswith("#") else brace + 1 if brace >= 0 else first
+    if block < first:
+        change = np.zeros(n + 2, np.int64)
+        change[1 : n + 1] = (codes == 123).astype(np.int64) - (codes == 125)
+
+        def quoted(low: int, high: int) -> int:
+            """Takes the braces in quotations off where these close; within one that is not closed yet, only inner ones are."""
+            off = 0
+            for m in _QUOTED.finditer(s, low, high):
+                i, e = m.span()
+                if "{" in m[0] or "}" in m[0]:
+                    inner, held = quoted(i + 1, e - 1), m[0].count("{") - m[0].count("}")
+                    change[e] -= held + inner
+                    off -= held
+            return off
+
+        quoted(0, min(n, first))
+        guard = np.zeros(n + 2, np.int64)
+        for rule, by in ((_IF, 1), (_ENDIF, -1)):
+            for m in rule.finditer(s):
+                guard[m.end()] += by
+        c = _NO["C00"] + 2 * (np.cumsum(change) > 0) + (np.cumsum(guard) > 0)
+        out[block:first] = c[block : min(first, n + 1)]
+    for k, a in enumerate(fences):
+        b = fences[k + 1] if k + 1 < len(fences) else n + 1
+        if k % 2 == 0:
+            out[a:b] = _NO["F"]
+            continue
+        # behind a closed fence, whose last signs may be more than three
+        while a < n and s[a] == "`" and a + 1 < b:
+            out[a] = _NO["E"]
+            a += 1
+        out[a:b] = _NO["E"]
+        q = a
+        while q < n and s[q].isspace():
+            q += 1
+        while q + 1 < b and q < n:
+            end = s.find("\n", q)
+            stop = min(b, n + 1 if end < 0 else end + 1)  # prefixes of this line are shorter than this
+            t = ticks[q + 1 : stop] - ticks[q]
+            if s.startswith(("- ", "* "), q):
+                arrow = s.find(">", q)
+                out[q + 1 : stop] = _NO["L00"] + 2 * np.minimum(t, 4) + (np.arange(q + 1, stop) > arrow if arrow >= 0 else 0)
+                out[q + 1 : min(q + 3, stop)] = _NO["T0"]
+            else:
+                out[q + 1 : stop] = _NO["T0"] + t % 2
+            q = stop
+    m = _OBJECT.match(s)
+    if m:
+        out[m.end() :] = _NO["J1"]
+        try:
+            out[json.JSONDecoder(strict=False).raw_decode(s)[1]] = _NO["J0"]
+        except ValueError:
+            pass
+    return out
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of all characters: as contexts hold them, and whether they are white space."""
+    every = [chr(c) for c in range(0x110000)]
+    return np.array([48 if c.isdecimal() else ord(c.lower()[0]) for c in every], np.uint64), np.array([c.isspace() for c in every])
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+_FACTOR, _ALL = 0x9E3779B97F4A7C15, 2**64 - 1
+
+
+@cache
+def _seed(kind: str, st: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{kind}\0{st}".encode("utf-8", "surrogatepass"))
+
+
+@cache
+def _seeds(kind: str) -> np.ndarray:
+    return np.array([_seed(kind, st) for st in STATES], np.uint64)
+
+
+def context_hash(kind: str, context: str) -> int:
+    """As ``Places`` computes it: from the state, then character by character backward."""
+    st, _, tail = context.partition("|")
+    h = _seed(kind, st)
+    for c in reversed(tail):
+        h = ((h ^ (ord(c) + 1)) * _FACTOR) & _ALL
+        h ^= h >> 32
+    return h
+
+
+class Places:
+    """How often each of some contexts, given by hashes, stands at a place where a text goes on."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes.astype(np.uint64))
+        self.counts = np.zeros(len(self.hashes), np.int64)
+        bits = max(int(len(self.hashes)).bit_length() + 5, 8)
+        self.shift = np.uint64(64 - bits)
+        slots = (self.hashes >> self.shift).view(np.int64)
+        # hashes by slot; the few that share one are searched for
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.slot[slots] = np.arange(len(slots), dtype=np.int32)
+        self.shared = np.zeros(1 << bits, bool)
+        self.shared[slots[1:][slots[1:] == slots[:-1]]] = True
+        self.held: list[tuple] = []
+        self.n = 0
+
+    def add(self, kind: str, text: str) -> None:
+        s = final(text)[0]
+        if len(s) > 1:
+            codes = _codes(s)
+            # the places up to the next visible character have one context, the last character is the end
+            at = np.flatnonzero(~_tables()[1][codes])
+            weight, states = np.diff(at), prefix_states(s, codes)
+            start, at = at[0], at[:-1]
+            states = states[at + 1]
+            if start:  # only white space so far: its first character stands for it
+                at, weight = np.concatenate(([0], at)), np.concatenate(([start], weight))
+                states = np.concatenate(([_NO[state(s[:1])]], states))
+            self.held.append((kind, codes, at, weight, states))
+            self.n += len(codes)
+            if self.n > HELD_CHARS:
+                self.flush()
+
+    def flush(self) -> None:
+        """Counts what is held, context by context from the shortest; a longer one is looked for only where the shorter one is known."""
+        if not self.held:
+            return
+        starts = np.cumsum([0] + [len(x[1]) for x in self.held[:-1]])
+        folded = _tables()[0][np.concatenate([x[1] for x in self.held])]
+        h = np.concatenate([_seeds(x[0])[x[4]] for x in self.held])
+        at = np.concatenate([x[2] + a for x, a in zip(self.held, starts)])
+        least = np.repeat(starts, [len(x[2]) for x in self.held])
+        weight = np.concatenate([x[3] for x in self.held])
+        self.held, self.n = [], 0
+        for k in range(ORDER + 1):
+            if k:
+                keep = at - k + 1 >= least
+                h, at, least, weight = h[keep], at[keep], least[keep], weight[keep]
+                h = (h ^ (folded[at - k + 1] + np.uint64(1))) * np.uint64(_FACTOR)
+                h ^= h >> np.uint64(32)
+            slots = (h >> self.shift).view(np.int64)
+            i = self.slot[slots]
+            known = self.hashes[i] == h
+            other = np.flatnonzero(self.shared[slots] & ~known)
+            if len(other):
+                i[other] = np.minimum(np.searchsorted(self.hashes, h[other]), len(self.hashes) - 1)
+                known[other] = self.hashes[i[other]] == h[other]
+            h, at, least, weight, i = h[known], at[known], least[known], weight[known], i[known]
+            self.counts += np.bincount(i, weight, len(self.counts)).astype(np.int64)
+
+
 class BackwardModel:
     """Counts of [ends, goes on] by context."""
 
@@ -145,21 +317,18 @@ class BackwardModel:
         self.counts: dict[str, list[float]] = {}
 
     def add(self, text: str) -> None:
-        """Counts the end of a text (unless a remark says that it was cut) and some places where it goes on."""
+        """Counts the end of a text (unless a remark says that it was cut) and all places where it goes on."""
         s, marked = final(text)
         if not s:
             return
         if not marked:
-            self._add(s, 0, 1.0)
-        rng = random.Random(len(s) * 1_000_003 + ord(s[-1]))
-        n = len(s)
-        places = min(PLACES, n - 1)
-        for _ in range(places):
-            self._add(s[: rng.randrange(1, n)].rstrip() or s[:1], 1, (n - 1) / places)
-
-    def _add(self, s: str, what: int, weight: float) -> None:
+            self._add(s, 0)
+        for k in range(1, len(s)):
+            self._add(s[:k].rstrip() or s[:1], 1)
+
+    def _add(self, s: str, what: int) -> None:
         for c in contexts(s):
-            self.counts.setdefault(c, [0.0, 0.0])[what] += weight
+            self.counts.setdefault(c, [0.0, 0.0])[what] += 1.0
 
     def log_odds(self, s: str) -> float:
         """Of ending against going on after ``s``: the mean of what the whole context and what is open alone say."""
@@ -201,31 +370,53 @@ def _score_batches(models: dict[str, dict[str, list[float]]]):
     return run
 
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    models: dict[str, BackwardModel] = {}
+def _end_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[tuple[str, str], float] = {}
 
     def rows() -> pd.DataFrame:
-        out = [(k, c, e, g) for k, m in models.items() for c, (e, g) in m.counts.items()]
-        models.clear()
-        return pd.DataFrame(out, columns=["record_kind", "context", "ends", "goes"]).astype({"ends": "float64", "goes": "float64"})
+        out = [(k, c, np.uint64(context_hash(k, c)).astype(np.int64), e) for (k, c), e in held.items()]
+        held.clear()
+        return pd.DataFrame(out, columns=["record_kind", "context", "hash", "ends"]).astype({"hash": "int64", "ends": "float64"})
 
     for pdf in batches:
         for kind, text in zip(pdf["record_kind"], pdf["body"]):
-            models.setdefault(kind, BackwardModel()).add(text)
-        if sum(len(m.counts) for m in models.values()) > HELD_CONTEXTS:
+            s, marked = final(text)
+            for c in contexts(s) if s else ():
+                held[kind, c] = held.get((kind, c), 0.0) + (not marked)
+        if len(held) > HELD_CONTEXTS:
             yield rows()
     yield rows()
 
 
+def _place_batches(hashes: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = Places(hashes)
+        for pdf in batches:
+            for kind, text in zip(pdf["record_kind"], pdf["body"]):
+                places.add(kind, text)
+        places.flush()
+        some = np.flatnonzero(places.counts)
+        yield pd.DataFrame({"hash": places.hashes[some].view(np.int64), "goes": places.counts[some].astype("float64")})
+
+    return run
+
+
 def fit(texts: DataFrame) -> dict[str, dict[str, list[float]]]:
-    """The counts of each column's model, over all its texts."""
-    counts = texts.select("record_kind", "body").mapInPandas(_count_batches, "record_kind string, context string, ends double, goes double")
-    counts = counts.groupBy("record_kind", "context").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    """The counts of each column's model in the contexts in which texts end, over all its texts and all their places."""
+    spark = texts.sparkSession
+    texts = texts.select("record_kind", "body")
+    ends = texts.mapInPandas(_end_batches, "record_kind string, context string, hash long, ends double")
+    ends = Stage(spark, "ends").put(ends.groupBy("record_kind", "context", "hash").agg(F.sum("ends").alias("ends")))
+    hashes = ends.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
+    if not len(hashes):
+        return {}
+    goes = texts.mapInPandas(_place_batches(hashes), "hash long, goes double").groupBy("hash").agg(F.sum("goes").alias("goes"))
+    counts = ends.join(goes, "hash", "left").na.fill(0.0, ["goes"]).where("ends + goes > 0")
     size = texts.groupBy("record_kind").agg(F.greatest(F.lit(LEAST_SUPPORT), F.count(F.lit(1)) * SUPPORT).alias("least"))
     kept = counts.join(F.broadcast(size), "record_kind").where((F.col("ends") + F.col("goes") / 20 >= F.col("least")) | (F.length("context") < 6))  # a row a column
     models: dict[str, dict[str, list[float]]] = {}
-    for kind, context, ends, goes in kept.select("record_kind", "context", "ends", "goes").collect():
-        models.setdefault(kind, {})[context] = [ends, goes]
+    for kind, context, e, g in kept.select("record_kind", "context", "ends", "goes").collect():
+        models.setdefault(kind, {})[context] = [e, g]
     return models
 
 

@@ -136,6 +136,31 @@ def test_counts_cover_all_rows_and_have_a_bound(spark):
     assert sum(len(m) for m in models.values()) <= sum((truncation.ORDER + 1) * (1 + len(t) / 20) for _, t in whole) / truncation.LEAST_SUPPORT + 60
 
 
+def test_states_of_all_prefixes():
+    rng = random.Random(5)
+    bits = ["`", "```", "```\n", "{", "}", '"', '\\"', "'", "\n", " ", "- ", ">", "#if", "#endif", "# if\n", "a", '{"', "[", '":1', "'{'", '"{}"', '"a \'{\' b"', "é"]
+    for _ in range(4000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 18))).rstrip()
+        got = truncation.prefix_states(s, truncation._codes(s)) if s else []
+        for k in range(1, len(s) + 1):
+            if s[k - 1].strip():
+                assert truncation.STATES[got[k]] == state(s[:k]), s[:k]
+
+
+def test_counts_cover_all_places(spark):
+    body = "Σας 7 {x} waits.\n\n```cpp\nvoid f() {\n    g(\"{\");\n}\n```\n- `a` > `b`"
+    texts = [("a", f"{'word ' * i}ends here {i}, then it goes on: {body[: 20 + i]}") for i in range(60)] + [("b", body[:i]) for i in range(2, len(body))] + [("b", "  x"), ("b", " a b [...]")]
+    models = truncation.fit(spark.createDataFrame(texts, "record_kind string, body string").repartition(3))
+    for kind in "ab":
+        whole = BackwardModel()
+        for k, t in texts:
+            if k == kind:
+                whole.add(t)
+        assert len(models[kind]) > 20 and all(whole.counts[c] == n for c, n in models[kind].items())
+        # every place of every text is one, not some of them
+        assert sum(n[1] for c, n in whole.counts.items() if c.endswith("|")) == sum(len(final(t)[0]) - 1 for k, t in texts if k == kind)
+
+
 def test_passages_in_blocks(spark, monkeypatch):
     docs = [(i, " ".join(f"w{j}" for j in range(i, i + 20))) for i in range(0, 200, 5)]
     items = [(i, " ".join(f"w{j}" for j in range(i, i + 16))) for i in range(0, 190, 7)]
